@@ -229,8 +229,7 @@ def jn6(fx: Fixtures) -> DataFrame:
 def jn7(fx: Fixtures) -> DataFrame:
     """Manifests known to be at the target: the watermark and shared live pins."""
     ready, members = ready_parts(fx)
-    present, _ = mirror.proven_present(fx.source, fx.dest, ready, members, fx.mirror_now)
-    return present
+    return mirror.present_manifests(fx.source, fx.dest, ready, members, fx.mirror_now)
 
 
 @query(

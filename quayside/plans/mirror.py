@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quayside.operators.ordered import row_number_by
 from quayside.operators.snapshot import (
-    Catalog, closure_members, closure_objects, heads, live_pins, member_objects,
+    Catalog, closure_members, heads, live_pins, member_objects,
 )
+from quayside.session import settle
 
 PAIR = ["db_key", "target"]
 PAIR_KEYS = ("db_key", "target")
@@ -54,33 +55,54 @@ def pair_states(source: DataFrame, dest: DataFrame, pairs: DataFrame) -> DataFra
     )
 
 
-def proven_present(source: Catalog, dest: Catalog, pending: DataFrame, members: DataFrame,
-                   now: Column) -> tuple[DataFrame, DataFrame]:
-    """(manifests, objects) already at the target, known without listing it.
+def present_manifests(source: Catalog, dest: Catalog, pending: DataFrame, members: DataFrame,
+                      now: Column) -> DataFrame:
+    """(db_key, target, manifest_id) known to be at the target without listing it.
 
-    The watermark's own objects are there because commits are complete. So is
-    what a checkpoint pins that is live in both the watermark and the head:
-    ids are matched, not the manifests they pin.
+    That is the watermark, and what a checkpoint pins that is live in both the
+    watermark and the head. Checkpoint ids are matched, not the manifests they
+    pin. Commits are complete, so these manifests' objects are there too.
     """
-    marks = pending.filter(F.col("watermark").isNotNull()).select(
-        *PAIR, F.col("watermark").alias("manifest_id")
-    )
-    own_objects = dest.objects.join(marks, [*PAIR, "manifest_id"]).select(*PAIR, "kind", "object_name")
+    marks = watermarks(pending)
     roots = pending.select("db_key", F.col("head").alias("manifest_id")).distinct()
     live_in_head = live_pins(source.checkpoints, roots, now).select("db_key", "cp_id")
     shared = (
         live_pins(dest.checkpoints, marks, now, PAIR_KEYS)
         .join(live_in_head, ["db_key", "cp_id"], "left_semi")
-        .select(*PAIR, F.col("pinned_id").alias("member_id")).distinct()
-        .join(members.select("db_key", "member_id"), ["db_key", "member_id"], "left_semi")
+        .select(*PAIR, F.col("pinned_id").alias("manifest_id"))
+        .join(
+            members.select("db_key", F.col("member_id").alias("manifest_id")),
+            ["db_key", "manifest_id"], "left_semi",
+        )
+    )
+    return marks.unionByName(shared).distinct()
+
+
+def watermarks(pending: DataFrame) -> DataFrame:
+    return pending.filter(F.col("watermark").isNotNull()).select(
+        *PAIR, F.col("watermark").alias("manifest_id")
     )
-    shared_objects = shared.join(
-        member_objects(members, source.objects), ["db_key", "member_id"]
-    ).select(*PAIR, "kind", "object_name")
-    manifests = marks.unionByName(
-        shared.select(*PAIR, F.col("member_id").alias("manifest_id"))
-    ).distinct()
-    return manifests, own_objects.unionByName(shared_objects)
+
+
+def unproven_objects(source: Catalog, dest: Catalog, ready: DataFrame, members: DataFrame,
+                     present: DataFrame) -> DataFrame:
+    """(db_key, target, copier, kind, object_name): closure objects that may be missing.
+
+    One pass over the members' objects marks those some present member holds;
+    only what is left is compared with the watermark's own objects.
+    """
+    there = present.select(*PAIR, F.col("manifest_id").alias("member_id"), F.lit(True).alias("_there"))
+    unmarked = (
+        member_objects(members, source.objects)
+        .join(ready.select(*PAIR, "copier"), "db_key")
+        .join(there, [*PAIR, "member_id"], "left")
+        .groupBy(*PAIR, "copier", "kind", "object_name").agg(F.max("_there").alias("_there"))
+        .filter(F.col("_there").isNull()).drop("_there")
+    )
+    own = dest.objects.join(watermarks(ready), [*PAIR, "manifest_id"], "left_semi").select(
+        *PAIR, "kind", "object_name"
+    )
+    return unmarked.join(own, [*PAIR, "kind", "object_name"], "left_anti")
 
 
 def missing_at_target(candidates: DataFrame, listing: DataFrame) -> DataFrame:
@@ -106,25 +128,23 @@ def sync_plan(source: Catalog, dest: Catalog, dest_listing: DataFrame, pairs: Da
 
     ``pairs`` is (db_key, target, copier). The frames of ``dest`` and
     ``dest_listing`` carry ``target`` too. Pairs with nothing to do are dropped
-    before any object row is read.
+    before any object row is read. The small tables every step starts from, and
+    the copy list, are written to the shared folder once.
     """
-    states = pair_states(source.manifests, dest.manifests, pairs)
+    states = settle(pair_states(source.manifests, dest.manifests, pairs), "sync-states")
     pending = states.filter(F.col("state").isNull())
     roots = pending.select("db_key", F.col("head").alias("manifest_id")).distinct()
-    members = closure_members(source, roots, now)
+    members = settle(closure_members(source, roots, now), "sync-members")
     # A pinned manifest that is gone makes the whole closure unusable.
     broken = members.filter(~F.col("present")).select("db_key").distinct()
     ready = pending.join(broken, "db_key", "left_anti")
     usable = members.join(broken, "db_key", "left_anti")
 
-    present, proven = proven_present(source, dest, ready, usable, now)
-    candidates = (
-        closure_objects(usable, source.objects)
-        .join(ready.select(*PAIR, "copier"), "db_key")
-        .select(*PAIR, "copier", "kind", "object_name")
-        .join(proven, [*PAIR, "kind", "object_name"], "left_anti")
+    present = present_manifests(source, dest, ready, usable, now)
+    candidates = unproven_objects(source, dest, ready, usable, present)
+    copies = settle(
+        missing_at_target(candidates, dest_listing).select(*PAIR, "kind", "object_name"), "sync-copies"
     )
-    copies = missing_at_target(candidates, dest_listing).select(*PAIR, "kind", "object_name")
     to_commit = (
         usable.select("db_key", F.col("member_id").alias("manifest_id"))
         .join(ready.select(*PAIR), "db_key").select(*PAIR, "manifest_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quayside.operators.ordered import asof_round_down
 from quayside.operators.snapshot import Catalog, closure_members, closure_objects
 from quayside.plans.mirror import commit_order
+from quayside.session import settle
 
 _DAY_MICROS = 86_400_000_000
 
@@ -75,10 +76,12 @@ def restore_plan(backup: Catalog, requests: DataFrame, samples: DataFrame, occup
     """
     sample_keys = ["db_key"] if sample_keys is None else sample_keys
     full = occupied.select("dest").distinct().withColumn("_full", F.lit(True))
-    points = resolve_points(backup, requests, samples, sample_keys).join(full, "dest", "left")
+    points = settle(
+        resolve_points(backup, requests, samples, sample_keys).join(full, "dest", "left"), "restore-points"
+    )
     open_points = points.filter(F.col("_full").isNull() & F.col("chosen").isNotNull())
     roots = open_points.select("db_key", F.col("chosen").alias("manifest_id")).distinct()
-    members = closure_members(backup, roots, now)
+    members = settle(closure_members(backup, roots, now), "restore-members")
     dangling = members.filter(~F.col("present")).select("db_key", "head").distinct()
     usable = members.join(dangling, ["db_key", "head"], "left_anti")
 

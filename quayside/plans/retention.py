@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quayside.functions.names import manifest_name
 from quayside.functions.predicates import micros_between
 from quayside.operators.snapshot import Catalog, heads, live_pins
+from quayside.session import settle
 
 PAIR = ["db_key", "target"]
 PAIR_KEYS = ("db_key", "target")
@@ -84,7 +85,7 @@ def prune_plan(source: Catalog, dest: Catalog, dest_listing: DataFrame, policy:
     Returns (db_key, target, kind, object_name, decision, reason).
     """
     active = policy.filter(F.col("keep_s").isNotNull())
-    kept = kept_manifests(dest, active, now)
+    kept = settle(kept_manifests(dest, active, now), "prune-kept")
     out = [*PAIR, "kind", "object_name", "decision", "reason"]
 
     kept_flag = kept.select(*PAIR, "manifest_id", F.lit(True).alias("_kept"))

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -65,3 +65,16 @@ def ship_package(spark: SparkSession) -> None:
     )
     context.addPyFile(archive)
     context._quayside_shipped = True
+
+
+def settle(df: DataFrame, purpose: str) -> DataFrame:
+    """Compute ``df`` once, write it to the shared folder and return the written table.
+
+    For an intermediate result that several later steps read: without this
+    each of them would compute it again. The files outlive a lost executor,
+    and their size tells the planner whether the table is small enough to be
+    broadcast.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
