@@ -1 +1,181 @@
-"""placeholder"""
+"""Streaming queries, run to the end of the given tables; their final tables are checked."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quayside.catalog.fixtures import HEARTBEAT_TIMEOUT, TARGET, Fixtures
+from quayside.catalog.mirror_queries import SYNC_VIEWS, TAIL_VIEWS, floors
+from quayside.catalog.registration import query
+from quayside.functions.names import heartbeat_parts
+from quayside.session import shared_dir
+from quayside.streaming.leases import lease_periods
+from quayside.streaming.liveness import LivenessTicks, liveness_periods
+from quayside.streaming.mirror import ContinuousMirror
+from quayside.streaming.settings import LastGoodSettings
+from quayside.streaming.state import run_available
+from quayside.streaming.tail import LogTail
+
+LEASE_SECONDS = 6 * 3600
+# Where the events are cut into three arrivals.
+ARRIVALS = ["2024-01-11 00:00:00", "2024-01-21 00:00:00"]
+
+
+def streamed(fx: Fixtures, table: str) -> DataFrame:
+    """A given table as a stream of its file."""
+    reader = fx.spark.readStream.schema(fx.table(table).schema)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(fx.sf_dir)
+
+
+def to_table(fx: Fixtures, stream: DataFrame, purpose: str) -> DataFrame:
+    """Run a stream to its end in append mode; the rows it emitted."""
+    path = shared_dir(fx.spark, purpose)
+    sink = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out")
+    sink.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return fx.spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def naive(df: DataFrame, *columns: str) -> DataFrame:
+    for column in columns:
+        df = df.withColumn(column, F.col(column).cast("timestamp_ntz"))
+    return df
+
+
+def in_arrivals(fx: Fixtures, events: DataFrame, purpose: str, columns: list[str], each) -> None:
+    """Feed the events in three arrivals; the stream restarts from its checkpoint for each."""
+    path = shared_dir(fx.spark, purpose)
+    arrival = sum((F.col("ts") >= F.lit(cut).cast("timestamp_ntz")).cast("int") for cut in ARRIVALS)
+    rows = events.withColumn("arrival", arrival)
+    schema = events.select(*columns).schema
+    for number in range(len(ARRIVALS) + 1):
+        rows.filter(F.col("arrival") == number).select(*columns).write.mode("append").parquet(f"{path}/in")
+        run_available(fx.spark.readStream.schema(schema).parquet(f"{path}/in"), each, f"{path}/checkpoint")
+
+
+def sessions_sql(source: str, key: str, gap_us: int) -> str:
+    return f"""SELECT {key}, min(ts) AS start_ts, max(ts) AS last_ts, count(*) AS n, max_by(event_type, ts) AS last_type FROM
+      (SELECT *, sum(fresh) OVER (PARTITION BY {key} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS part FROM
+        (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY {key} ORDER BY ts)) < {gap_us} THEN 0 ELSE 1 END AS fresh FROM {source})) GROUP BY {key}, part"""
+
+
+NODE_SERVICE = "CASE last_type WHEN 'click' THEN 'gc' WHEN 'view' THEN 'compactor-coordinator' WHEN 'purchase' THEN 'compaction-workers' WHEN 'signup' THEN 'mirror' ELSE '' END"
+CLOSED = "SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events"
+
+
+@query(
+    "sm1_liveness_periods",
+    f"""SELECT concat('node-', CAST(user_id AS VARCHAR)) AS node_id, start_ts AS up_at, make_timestamp(epoch_us(last_ts) + {HEARTBEAT_TIMEOUT}000000) AS down_at, n AS heartbeats, {NODE_SERVICE} AS services
+    FROM fx_session WHERE epoch_us(last_ts) + {HEARTBEAT_TIMEOUT}000000 - 1 <= ({CLOSED})""",
+    {"fx_session": sessions_sql("events", "user_id", HEARTBEAT_TIMEOUT * 1_000_000)},
+)
+def sm1_periods(fx: Fixtures) -> DataFrame:
+    """Periods of liveness that had ended when the stream did."""
+    rows = fx.heartbeat_rows(streamed(fx, "events"))
+    named = rows.select(
+        "node_id", "ts", heartbeat_parts(F.element_at(F.split("path", "/"), -1))["services"].alias("services")
+    )
+    out = to_table(fx, liveness_periods(named, HEARTBEAT_TIMEOUT), "liveness-periods")
+    return naive(out, "up_at", "down_at").withColumn("services", F.array_join("services", ","))
+
+
+TICK_VIEWS = {
+    "fx_tick": f"""SELECT 0 AS tick, max(ts) AS now FROM events WHERE ts < TIMESTAMP '{ARRIVALS[0]}' UNION ALL SELECT 1, max(ts) FROM events WHERE ts < TIMESTAMP '{ARRIVALS[1]}' UNION ALL SELECT 2, max(ts) FROM events""",
+    "fx_seen": """SELECT t.tick, t.now, e.user_id, max(e.ts) AS ts, arg_max(e.event_type, e.ts) AS last_type FROM fx_tick t JOIN events e ON e.ts <= t.now GROUP BY ALL""",
+    "fx_alive": f"SELECT tick, now, user_id, {NODE_SERVICE} AS services, epoch_us(now) - epoch_us(ts) < {HEARTBEAT_TIMEOUT}000000 AS live FROM fx_seen",
+    "fx_step": "SELECT *, coalesce(lag(live) OVER w, false) AS was, lag(services) OVER w AS old_services FROM fx_alive WINDOW w AS (PARTITION BY user_id ORDER BY tick)",
+}
+
+
+@query(
+    "sm1_liveness_ticks",
+    """SELECT concat('node-', CAST(user_id AS VARCHAR)) AS node_id, CASE WHEN live AND NOT was THEN 'up' WHEN was AND NOT live THEN 'down' ELSE 'role' END AS change, now AS at, services FROM fx_step WHERE live <> was OR (live AND was AND services <> old_services)""",
+    TICK_VIEWS,
+)
+def sm1_ticks(fx: Fixtures) -> DataFrame:
+    """Up, down and role changes over three looks at the fleet."""
+    rows = fx.heartbeat_rows(fx.table("events")).select("node_id", "ts", "path")
+
+    def clock(nodes: DataFrame):
+        return nodes.agg(F.max("last_modified").alias("now")).scalar()
+
+    ticks = LivenessTicks(fx.spark, shared_dir(fx.spark, "liveness-ticks"), HEARTBEAT_TIMEOUT, clock)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        parts = heartbeat_parts(F.element_at(F.split("path", "/"), -1))
+        ticks(
+            batch.select(
+                "node_id", parts["services"].alias("services"), F.col("ts").cast("timestamp").alias("last_modified"),
+                F.col("path").alias("location"), F.lit(False).alias("deleted"),
+            ),
+            batch_id,
+        )
+
+    in_arrivals(fx, rows, "liveness-arrivals", ["node_id", "ts", "path"], each)
+    events = naive(ticks.events.everything(), "at").drop("micro_batch")
+    return events.withColumn("services", F.array_join("services", ","))
+
+
+@query("sm2_log_tail", f"SELECT db_key, '{TARGET}' AS target, wal_id FROM fx_run", TAIL_VIEWS)
+def sm2(fx: Fixtures) -> DataFrame:
+    """WAL ids tailed from each floor, arriving out of order over several batches."""
+    path = shared_dir(fx.spark, "log-tail")
+    target = F.lit(TARGET).alias("target")
+    wal = fx.wal.select("db_key", target, "wal_id")
+    # Hashing the ids to files makes each batch hold every n-th id at random.
+    wal.repartition(4, "wal_id").write.parquet(f"{path}/in")
+    tail = LogTail(fx.spark, path, floors(fx).select("db_key", target, "floor"))
+    stream = (
+        fx.spark.readStream.schema(wal.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    )
+    run_available(stream, tail, f"{path}/checkpoint")
+    return tail.emitted.everything().drop("micro_batch")
+
+
+@query(
+    "sm3_settings_stream",
+    """SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS latest_version, max(event_id) FILTER (WHERE value >= 5) AS used_version, max_by(event_type, event_id) FILTER (WHERE value >= 5) AS payload, used_version IS NULL AS disabled,
+      CASE WHEN used_version IS NULL THEN 'invalid settings; database disabled' WHEN used_version < latest_version THEN 'invalid settings; keeping last good' END AS warning FROM events GROUP BY user_id""",
+)
+def sm3_stream(fx: Fixtures) -> DataFrame:
+    """Last-good settings kept over three arrivals of versions."""
+    keeper = LastGoodSettings(fx.spark, shared_dir(fx.spark, "last-good"))
+    versions = fx.table("events").select(
+        F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("version"),
+        (F.col("value") >= 5).alias("valid"), F.col("event_type").alias("payload"), "ts",
+    )
+    in_arrivals(fx, versions, "settings-arrivals", ["key", "version", "valid", "payload"], keeper)
+    return keeper.view()
+
+
+@query(
+    "sm4_continuous_mirror",
+    "SELECT *, row_number() OVER (PARTITION BY db_key, target ORDER BY manifest_id) AS commit_seq FROM fx_commit",
+    SYNC_VIEWS,
+)
+def sm4(fx: Fixtures) -> DataFrame:
+    """Commits planned as source manifests stream in, and nothing twice."""
+    job = ContinuousMirror(
+        fx.spark, shared_dir(fx.spark, "continuous-mirror"), fx.source, fx.dest, fx.dst_object, fx.pair, fx.mirror_now
+    )
+    arrived = streamed(fx, "orders").select(
+        (F.col("o_custkey") % 20).alias("db_key"), F.col("o_orderkey").alias("manifest_id")
+    )
+    known = fx.src_manifest.select("db_key", "manifest_id")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        job(batch.join(known, ["db_key", "manifest_id"], "left_semi"), batch_id)
+
+    run_available(arrived, each, shared_dir(fx.spark, "mirror-checkpoint"))
+    return job.commits.everything().drop("micro_batch")
+
+
+@query(
+    "sm6_lease_periods",
+    f"""SELECT user_id AS pin_id, start_ts AS held_from, make_timestamp(epoch_us(last_ts) + {LEASE_SECONDS}000000) AS lapses_at, n AS refreshes FROM fx_session WHERE epoch_us(last_ts) + {LEASE_SECONDS}000000 - 1 <= ({CLOSED})""",
+    {"fx_session": sessions_sql("events", "user_id", LEASE_SECONDS * 1_000_000)},
+)
+def sm6(fx: Fixtures) -> DataFrame:
+    """Stretches over which each pin was kept alive, with events as refreshes."""
+    refreshes = streamed(fx, "events").select(F.col("user_id").alias("pin_id"), "ts")
+    return naive(to_table(fx, lease_periods(refreshes, LEASE_SECONDS), "leases"), "held_from", "lapses_at")
