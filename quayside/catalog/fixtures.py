@@ -92,12 +92,15 @@ class Fixtures:
 
     @cached_property
     def target_with_exact(self) -> DataFrame:
-        """The targets and, per region, one without a prefix (the last disabled)."""
-        exact = self.table("region").select(
+        """The targets and, per region, one without a prefix; one of those is enabled.
+
+        The url of such a target is that of a registered database.
+        """
+        databases = self.database.select((F.col("db_key") / 25).alias("_at"), "db_url")
+        exact = self.table("region").join(databases, F.col("r_regionkey") == F.col("_at")).select(
             F.concat(F.lit("all"), F.col("r_regionkey").cast("string")).alias("target"),
             F.lit(None).cast("string").alias("source_prefix"),
-            F.concat(F.lit("s3://data/tenant"), F.col("r_regionkey").cast("string"), F.lit("/db"),
-                     (F.col("r_regionkey") * 25).cast("string")).alias("url"),
+            F.col("db_url").alias("url"),
             (F.col("r_regionkey") != 1).alias("disabled"),
         )
         return self.target.unionByName(exact)
@@ -275,8 +278,14 @@ class Fixtures:
         )
 
     def _objects(self, manifests: DataFrame, keys: list[str]) -> DataFrame:
-        compacted = self.sst.join(manifests.select(*keys, "manifest_id"), ["db_key", "manifest_id"]).select(
-            *keys, "manifest_id", F.lit("compacted").alias("kind"), compacted_name(F.col("ulid")).alias("object_name")
+        number = F.col("manifest_id") - F.col("manifest_id") % 200 + F.col("l_linenumber")
+        lines = self.table("lineitem").select(F.col("l_orderkey").alias("manifest_id"), "l_linenumber")
+        compacted = (
+            manifests.select(*keys, "manifest_id").join(lines, "manifest_id").distinct()
+            .select(
+                *keys, "manifest_id", F.lit("compacted").alias("kind"),
+                compacted_name(F.lpad(number.cast("string"), 26, "0")).alias("object_name"),
+            )
         )
         return compacted.unionByName(window_objects(manifests, tuple(keys)))
 
@@ -353,7 +362,7 @@ SQL: dict[str, str] = {
     "fx_node": f"""SELECT node_id, letters, location, last_modified, epoch_us(TIMESTAMP '{HEARTBEAT_NOW}') - epoch_us(last_modified) AS age_us, CASE letters WHEN 'g' THEN 'gc' WHEN 'c' THEN 'compactor-coordinator' WHEN 'w' THEN 'compaction-workers' WHEN 'm' THEN 'mirror' END AS service FROM fx_heartbeat QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY last_modified DESC, location) = 1""",
     "fx_live": f"""SELECT * FROM fx_node WHERE age_us < {HEARTBEAT_TIMEOUT}000000""",
     "fx_target": """SELECT concat('t', CAST(n_nationkey AS VARCHAR)) AS target, concat('s3://data/tenant', CAST(n_nationkey AS VARCHAR)) AS source_prefix, CASE WHEN n_nationkey % 7 = 0 THEN 's3://dr/shared' ELSE concat('s3://dr', CAST(n_regionkey AS VARCHAR), '/mirrors/tenant', CAST(n_nationkey AS VARCHAR)) END AS url, n_nationkey % 11 = 0 AS disabled FROM nation""",
-    "fx_target_x": """SELECT * FROM fx_target UNION ALL SELECT concat('all', CAST(r_regionkey AS VARCHAR)), NULL, concat('s3://data/tenant', CAST(r_regionkey AS VARCHAR), '/db', CAST(r_regionkey * 25 AS VARCHAR)), r_regionkey <> 1 FROM region""",
+    "fx_target_x": """SELECT * FROM fx_target UNION ALL SELECT concat('all', CAST(r_regionkey AS VARCHAR)), NULL, db_url, r_regionkey <> 1 FROM region JOIN fx_database ON db_key = r_regionkey * 25""",
     "fx_target_over": """SELECT c_custkey AS db_key, CASE WHEN c_custkey % 9 <= 3 THEN concat('t', CAST(c_nationkey AS VARCHAR)) ELSE concat('own', CAST(c_custkey % 4 AS VARCHAR)) END AS target, CASE WHEN c_custkey % 9 = 0 THEN concat('gs://own/db', CAST(c_custkey AS VARCHAR)) END AS url, CASE WHEN c_custkey % 9 = 1 THEN true END AS disabled, CASE WHEN c_custkey % 9 = 2 THEN 'periodic' END AS mode, CASE WHEN c_custkey % 9 = 3 THEN c_custkey % 5 END AS copy_parallelism FROM customer""",
     "fx_override": """SELECT c_custkey AS db_key, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey % 4 + 1 AS BIGINT) END AS workers_count, CASE c_mktsegment WHEN 'MACHINERY' THEN 'gc' WHEN 'HOUSEHOLD' THEN 'gc,compaction-workers' WHEN 'BUILDING' THEN '' END AS services, CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey % 900 AS DOUBLE) END AS gc_min_age_s FROM customer""",
     "fx_fleet": """SELECT CAST(max(p_size) % 4 + 1 AS BIGINT) AS workers_count, CAST(min(p_size) * 120 AS DOUBLE) AS gc_min_age_s, CAST(max(p_size) + 10 AS DOUBLE) AS poll_s FROM part""",

@@ -446,17 +446,17 @@ def ag7(fx: Fixtures) -> DataFrame:
 @query(
     "jb7_churn_report",
     """SELECT db_url, service, target, string_agg(node_id, ',' ORDER BY node_id) FILTER (WHERE rank <= k AND after > k) AS lost, string_agg(node_id, ',' ORDER BY node_id) FILTER (WHERE after <= k AND rank > k) AS gained, true AS explained
-    FROM (SELECT *, CASE WHEN node_id = (SELECT max(node_id) FROM fx_live) THEN 999999 ELSE row_number() OVER (PARTITION BY db_url, service, target ORDER BY node_id = (SELECT max(node_id) FROM fx_live), rank) END AS after FROM fx_ranked)
+    FROM (SELECT *, CASE WHEN node_id = (SELECT node_id FROM fx_busiest) THEN 999999 ELSE row_number() OVER (PARTITION BY db_url, service, target ORDER BY node_id = (SELECT node_id FROM fx_busiest), rank) END AS after FROM fx_ranked)
     GROUP BY db_url, service, target HAVING count(*) FILTER (WHERE (rank <= k) <> (after <= k)) > 0""",
-    PLACEMENT_VIEWS,
+    {**PLACEMENT_VIEWS, "fx_busiest": "SELECT node_id FROM fx_owned GROUP BY node_id ORDER BY count(*) DESC, node_id DESC LIMIT 1"},
 )
 def jb7(fx: Fixtures) -> DataFrame:
-    """What moves when the last node leaves; only its own assignments may."""
-    nodes = live(fx)
-    last = nodes.agg(F.max("node_id").alias("m")).scalar()
-    moved = placement.ownership_changes(
-        ranked(fx), placement.rank_nodes(wanted(fx), nodes.filter(F.col("node_id") != last))
-    )
+    """What moves when the busiest node leaves; only its own assignments may."""
+    nodes, before = live(fx), ranked(fx)
+    load = F.struct("owned", "node_id")
+    last = placement.balance(before, nodes).agg(F.max_by("node_id", load).alias("m")).scalar()
+    after = placement.rank_nodes(wanted(fx), nodes.filter(F.col("node_id") != last))
+    moved = placement.ownership_changes(before, after)
     text = {c: F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c) for c in ("lost", "gained")}
     return moved.select(
         "db_url", "service", "target", text["lost"], text["gained"],
@@ -557,6 +557,17 @@ def jn12(fx: Fixtures) -> DataFrame:
     return targets.registered_destinations(applied(fx), fx.database)
 
 
+@query(
+    "jb1_unmirrored_databases",
+    """SELECT d.db_key, d.db_url FROM fx_database d JOIN fx_settings s USING (db_key) WHERE contains(s.services, 'mirror') AND NOT EXISTS (SELECT 1 FROM fx_target t WHERE NOT t.disabled AND starts_with(d.db_url, concat(t.source_prefix, '/')))""",
+)
+def jb1_unmirrored(fx: Fixtures) -> DataFrame:
+    """Databases that want mirroring and that no prefix target covers."""
+    inherited, _ = settings.merge_targets(fx.target, fx.target_override)
+    mirroring = resolved(fx).filter(F.array_contains("services", "mirror")).select("db_key", "db_url")
+    return targets.unmirrored(mirroring, targets.applied_targets(fx.database, inherited))
+
+
 @query(
     "jb1_status_nodes",
     f"SELECT node_id, age_us < {HEARTBEAT_TIMEOUT}000000 AS live, CAST(floor(age_us / 1000000) AS BIGINT) AS heartbeat_age_s, coalesce(service, '') AS services FROM fx_node",

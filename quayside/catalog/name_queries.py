@@ -300,15 +300,18 @@ def prj13(fx: Fixtures) -> DataFrame:
     return fx.table("pages").select("page_id", r["remote"].alias("remote"), r["error"].alias("error"))
 
 
-@query("prj14_settings_fingerprint")
+@query(
+    "prj14_settings_fingerprint",
+    """SELECT o.db_key, coalesce(o.services, 'all') <> 'all' OR coalesce(o.workers_count, f.workers_count) <> f.workers_count OR coalesce(o.gc_min_age_s, f.gc_min_age_s) <> f.gc_min_age_s AS changed FROM fx_override o, fx_fleet f""",
+)
 def prj14(fx: Fixtures) -> DataFrame:
-    """A change-detection fingerprint per database's resolved settings."""
+    """Whose settings fingerprint changes when the overrides are dropped."""
     from quayside.operators.settings import SETTINGS, resolve
 
-    resolved = resolve(fx.database, fx.override, fx.fleet)
-    return resolved.select(
-        "db_key", predicates.fingerprint(*[F.col(s.column) for s in SETTINGS]).alias("fingerprint")
-    )
+    print_of = predicates.fingerprint(*[F.col(s.column) for s in SETTINGS])
+    tuned = resolve(fx.database, fx.override, fx.fleet).select("db_key", print_of.alias("tuned"))
+    plain = resolve(fx.database, None, fx.fleet).select("db_key", print_of.alias("plain"))
+    return tuned.join(plain, "db_key").select("db_key", (F.col("tuned") != F.col("plain")).alias("changed"))
 
 
 @query(

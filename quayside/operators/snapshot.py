@@ -29,13 +29,13 @@ class Catalog:
 
 
 def manifest_objects(manifests: DataFrame, keys: tuple[str, ...] = ("db_key",)) -> DataFrame:
-    """The data objects each nested manifest row references, as distinct rows.
+    """The data objects each nested manifest row references, each once.
 
     ``l0``, every run's ``ssts``, and the same of every segment are lists of
     ``struct<ulid, wal_id>``; an entry with a WAL id is a WAL object. The WAL
     window between the replay position and the next id is open on both ends.
-    All lists of a row become one array before the explode, so the table is
-    read once and the only shuffle is the distinct.
+    A manifest is one row, so its set of names is made within the row: the
+    table is read once and nothing is shuffled.
     """
     ids = [*keys, "manifest_id"]
     runs = F.flatten(F.transform("runs", lambda r: r["ssts"]))
@@ -49,34 +49,26 @@ def manifest_objects(manifests: DataFrame, keys: tuple[str, ...] = ("db_key",))
     views = F.concat(*[F.coalesce(part, none) for part in (F.col("l0"), runs, in_segments)])
     listed = F.transform(
         views,
-        lambda v: F.when(
-            v["wal_id"].isNotNull(),
-            F.struct(F.lit("wal").alias("kind"), wal_name(v["wal_id"]).alias("object_name")),
-        ).otherwise(
-            F.struct(F.lit("compacted").alias("kind"), compacted_name(v["ulid"]).alias("object_name"))
-        ),
-    )
-    every = F.concat(listed, _window_objects())
-    return (
-        manifests.select(*ids, F.explode(every).alias("o"))
-        .select(*ids, "o.kind", "o.object_name")
-        .distinct()
+        lambda v: F.coalesce(wal_name(v["wal_id"]), compacted_name(v["ulid"])),
     )
+    names = F.array_distinct(F.concat(listed, _window_names()))
+    return _named_objects(manifests, ids, names)
+
 
+def _window_names() -> Column:
+    return F.transform(open_range(F.col("replay_after_wal_id"), F.col("next_wal_sst_id")), wal_name)
 
-def _window_objects() -> Column:
-    return F.transform(
-        open_range(F.col("replay_after_wal_id"), F.col("next_wal_sst_id")),
-        lambda i: F.struct(F.lit("wal").alias("kind"), wal_name(i).alias("object_name")),
+
+def _named_objects(manifests: DataFrame, ids: list[str], names: Column) -> DataFrame:
+    return manifests.select(*ids, F.explode(names).alias("object_name")).select(
+        *ids, F.substring_index("object_name", "/", 1).alias("kind"), "object_name"
     )
 
 
 def window_objects(manifests: DataFrame, keys: tuple[str, ...] = ("db_key",)) -> DataFrame:
     """Only the WAL-window objects of flat manifest rows."""
     ids = [*keys, "manifest_id"]
-    return manifests.select(*ids, F.explode(_window_objects()).alias("o")).select(
-        *ids, "o.kind", "o.object_name"
-    )
+    return _named_objects(manifests, ids, _window_names())
 
 
 def heads(manifests: DataFrame, keys: tuple[str, ...] = ("db_key",)) -> DataFrame:
@@ -125,8 +117,14 @@ def closure_members(catalog: Catalog, roots: DataFrame, now: Column,
 
 
 def member_objects(members: DataFrame, objects: DataFrame, keys: tuple[str, ...] = ("db_key",)) -> DataFrame:
-    """(keys, head, member_id, kind, object_name) for closure members."""
-    content = objects.withColumnRenamed("manifest_id", "member_id")
+    """(keys, head, member_id, kind, object_name) for closure members.
+
+    The semi join comes first because, unlike the join, it can move below a
+    distinct or union inside ``objects``: only members' rows get that far.
+    """
+    wanted = members.select(*keys, F.col("member_id").alias("manifest_id"))
+    content = objects.join(wanted, [*keys, "manifest_id"], "left_semi")
+    content = content.withColumnRenamed("manifest_id", "member_id")
     return members.select(*keys, "head", "member_id").join(content, [*keys, "member_id"])
 
 

@@ -9,6 +9,7 @@ from quayside.functions.hashing import node_score
 from quayside.functions.names import compacted_name, manifest_name, registry_name, wal_name
 from quayside.operators.placement import rank_nodes
 from quayside.operators.snapshot import Catalog, heads, live_pins
+from quayside.session import settle
 
 PAIR = ["db_key", "target"]
 PAIR_KEYS = ("db_key", "target")
@@ -32,12 +33,13 @@ def completeness_problems(source: Catalog, dest: Catalog, dest_listing: DataFram
         .join(still_listed, ["db_key", "cp_id"], "left_semi")
         .select(*PAIR, F.col("pinned_id").alias("manifest_id")).distinct()
     )
+    members = settle(tops.unionByName(pinned).distinct(), "audit-members")
     have = dest.manifests.select(*PAIR, "manifest_id")
-    lost_manifests = pinned.join(have, [*PAIR, "manifest_id"], "left_anti").select(
+    lost_manifests = members.join(have, [*PAIR, "manifest_id"], "left_anti").select(
         *PAIR, "manifest_id", manifest_name(F.col("manifest_id")).alias("object_name"),
         F.lit("pinned manifest missing").alias("problem"),
     )
-    needed = dest.objects.join(tops.unionByName(pinned).distinct(), [*PAIR, "manifest_id"], "left_semi")
+    needed = dest.objects.join(members, [*PAIR, "manifest_id"], "left_semi")
     lost_objects = needed.join(
         dest_listing.select(*PAIR, "kind", "object_name"), [*PAIR, "kind", "object_name"], "left_anti"
     ).select(*PAIR, "manifest_id", "object_name", F.lit("object missing").alias("problem"))

@@ -112,10 +112,11 @@ def missing_at_target(candidates: DataFrame, listing: DataFrame) -> DataFrame:
     compacted objects only for the ``external`` one: re-copying an immutable
     object is harmless and the other copiers skip the check.
     """
-    checked = candidates.filter((F.col("kind") == "wal") | (F.col("copier") == "external"))
-    unchecked = candidates.filter((F.col("kind") != "wal") & (F.col("copier") != "external"))
-    there = listing.select(*PAIR, "kind", "object_name")
-    return checked.join(there, [*PAIR, "kind", "object_name"], "left_anti").unionByName(unchecked)
+    c, there = candidates.alias("c"), listing.select(*PAIR, "kind", "object_name").alias("t")
+    same = (F.col("c.kind") == "wal") | (F.col("c.copier") == "external")
+    for key in [*PAIR, "kind", "object_name"]:
+        same = same & (F.col(f"c.{key}") == F.col(f"t.{key}"))
+    return c.join(there, same, "left_anti")
 
 
 def commit_order(members: DataFrame, keys: list[str]) -> DataFrame:
@@ -136,7 +137,7 @@ def sync_plan(source: Catalog, dest: Catalog, dest_listing: DataFrame, pairs: Da
     roots = pending.select("db_key", F.col("head").alias("manifest_id")).distinct()
     members = settle(closure_members(source, roots, now), "sync-members")
     # A pinned manifest that is gone makes the whole closure unusable.
-    broken = members.filter(~F.col("present")).select("db_key").distinct()
+    broken = settle(members.filter(~F.col("present")).select("db_key").distinct(), "sync-broken")
     ready = pending.join(broken, "db_key", "left_anti")
     usable = members.join(broken, "db_key", "left_anti")
 

@@ -43,7 +43,7 @@ def spared_objects(source: Catalog) -> DataFrame:
     pins = source.checkpoints.join(roots, ["db_key", "manifest_id"], "left_semi").select(
         "db_key", F.col("pinned_id").alias("manifest_id")
     )
-    members = roots.unionByName(pins).distinct()
+    members = settle(roots.unionByName(pins).distinct(), "prune-spared")
     return (
         source.objects.join(members, ["db_key", "manifest_id"], "left_semi")
         .select("db_key", "kind", "object_name").distinct()

@@ -33,10 +33,12 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
     return sorted((tuple(row[i] for i in order) for row in rows), key=repr)
 
 
-def difference(spark, sf_dir: str, query, sql: str, con) -> str | None:
-    """None if both sides agree, else what differs."""
+def difference(spark, sf_dir: str, query, sql: str, con, counts: list[int] | None = None) -> str | None:
+    """None if both sides agree, else what differs. ``counts`` receives the row count."""
     df = query(spark, sf_dir)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    if counts is not None:
+        counts.append(len(got))
     cursor = con.execute(sql)
     columns = [c[0] for c in cursor.description]
     want = rows_of(columns, cursor.fetchall())
@@ -71,8 +73,9 @@ def main() -> int:
             if args.explain:
                 queries[name](spark, sf_dir).explain("formatted")
             if name in oracles:
-                found = difference(spark, sf_dir, queries[name], oracles[name], con)
-                rows = "ok"
+                counts: list[int] = []
+                found = difference(spark, sf_dir, queries[name], oracles[name], con, counts)
+                rows = f"ok {counts[0]} rows"
             else:
                 found, rows = None, f"rows only: {queries[name](spark, sf_dir).count()}"
         except Exception as error:  # noqa: BLE001
