@@ -15,6 +15,16 @@ def union(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.select(*on).unionByName(right.select(*on)).distinct()
 
 
+def looked_up(big: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """The distinct ``on`` rows of ``big`` that ``wanted`` asks for.
+
+    An anti join of a few wanted rows with a large listing would shuffle the
+    whole listing. Looking the rows up first does not: where ``wanted`` is small
+    by its known size it is broadcast, and the listing is only filtered.
+    """
+    return big.select(*on).join(wanted.select(*on), on, "left_semi").distinct()
+
+
 def open_range(low, high):
     """The integers strictly between two columns, as an array (empty if none)."""
     return F.when(high - low > 1, F.sequence(low + 1, high - 1)).otherwise(

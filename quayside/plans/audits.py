@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quayside.functions.hashing import node_score
 from quayside.functions.names import compacted_name, manifest_name, registry_name, wal_name
 from quayside.operators.placement import rank_nodes
+from quayside.operators.sets import looked_up
 from quayside.operators.snapshot import Catalog, heads, live_pins
 from quayside.session import settle
 
@@ -40,9 +41,11 @@ def completeness_problems(source: Catalog, dest: Catalog, dest_listing: DataFram
         F.lit("pinned manifest missing").alias("problem"),
     )
     needed = dest.objects.join(members, [*PAIR, "manifest_id"], "left_semi")
-    lost_objects = needed.join(
-        dest_listing.select(*PAIR, "kind", "object_name"), [*PAIR, "kind", "object_name"], "left_anti"
-    ).select(*PAIR, "manifest_id", "object_name", F.lit("object missing").alias("problem"))
+    needed = settle(needed.select(*PAIR, "manifest_id", "kind", "object_name"), "audit-needed")
+    on = [*PAIR, "kind", "object_name"]
+    lost_objects = needed.join(looked_up(dest_listing, needed, on), on, "left_anti").select(
+        *PAIR, "manifest_id", "object_name", F.lit("object missing").alias("problem")
+    )
     return lost_manifests.unionByName(lost_objects)
 
 

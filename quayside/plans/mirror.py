@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.operators.ordered import row_number_by
+from quayside.operators.sets import looked_up
 from quayside.operators.snapshot import (
     Catalog, closure_members, heads, live_pins, member_objects,
 )
@@ -112,11 +113,10 @@ def missing_at_target(candidates: DataFrame, listing: DataFrame) -> DataFrame:
     compacted objects only for the ``external`` one: re-copying an immutable
     object is harmless and the other copiers skip the check.
     """
-    c, there = candidates.alias("c"), listing.select(*PAIR, "kind", "object_name").alias("t")
-    same = (F.col("c.kind") == "wal") | (F.col("c.copier") == "external")
-    for key in [*PAIR, "kind", "object_name"]:
-        same = same & (F.col(f"c.{key}") == F.col(f"t.{key}"))
-    return c.join(there, same, "left_anti")
+    on = [*PAIR, "kind", "object_name"]
+    checked = (F.col("kind") == "wal") | (F.col("copier") == "external")
+    there = looked_up(listing, candidates.filter(checked), on).withColumn("_there", F.lit(True))
+    return candidates.join(there, on, "left").filter(~checked | F.col("_there").isNull()).drop("_there")
 
 
 def commit_order(members: DataFrame, keys: list[str]) -> DataFrame:
@@ -142,7 +142,7 @@ def sync_plan(source: Catalog, dest: Catalog, dest_listing: DataFrame, pairs: Da
     usable = members.join(broken, "db_key", "left_anti")
 
     present = present_manifests(source, dest, ready, usable, now)
-    candidates = unproven_objects(source, dest, ready, usable, present)
+    candidates = settle(unproven_objects(source, dest, ready, usable, present), "sync-candidates")
     copies = settle(
         missing_at_target(candidates, dest_listing).select(*PAIR, "kind", "object_name"), "sync-copies"
     )

@@ -2,30 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.names import heartbeat_parts, object_class
 from quayside.functions.predicates import age_micros
 
 
-def list_objects(spark: SparkSession, root: str) -> DataFrame:
-    """LIST everything under a folder, without reading any content.
+_LISTED = "root string, path string, last_modified timestamp, size bigint, etag string"
+
 
-    A missing folder is an empty listing; any other error is raised. The file
-    system has no etag, so that column is NULL; an inventory table may have it.
+def list_objects(roots: DataFrame) -> DataFrame:
+    """LIST the folders of ``roots`` (column ``root``): one row per object.
+
+    Each root is listed by a task of its own, so many databases, or many
+    prefixes of a large one, are listed side by side. A missing folder is an
+    empty listing; any other error fails the job. (Spark's own file sources
+    leave out empty files, and an empty registry file is a registered
+    database.) Use an inventory table for folders too large to list.
     """
-    try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "path string, last_modified timestamp, size bigint, etag string")
-    return files.select(
-        "path", F.col("modificationTime").alias("last_modified"), F.col("length").alias("size"),
-        F.lit(None).cast("string").alias("etag"),
-    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        columns = ["root", "path", "last_modified", "size", "etag"]
+        for batch in batches:
+            for root in batch["root"]:
+                store, inner = fs.FileSystem.from_uri(root)
+                selector = fs.FileSelector(inner, allow_not_found=True, recursive=True)
+                found = [
+                    (root, info.path, info.mtime, info.size, None)
+                    for info in store.get_file_info(selector) if info.is_file
+                ]
+                listed = pd.DataFrame(found, columns=columns)
+                listed["last_modified"] = pd.to_datetime(listed["last_modified"], utc=True)
+                yield listed
+
+    return roots.select("root").distinct().mapInPandas(run, _LISTED)
 
 
 def heartbeat_entries(listing: DataFrame, now: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quayside.functions.predicates import age_micros, is_live
 from quayside.streaming.state import StateTable
 
-_STATE = "node_id string, services array<string>, last_modified timestamp, location string, live boolean"
+_STATE = "node_id string, services array<string>, last_modified timestamp, location string, deleted boolean, live boolean"
 _EVENTS = "node_id string, change string, at timestamp, services array<string>"
 
 
@@ -59,10 +59,9 @@ class LivenessTicks:
         """``batch`` is (node_id, services, last_modified, location, deleted)."""
         before = self.state.before(batch_id)
         seen = F.struct("last_modified", "deleted", "location", "services")
-        known = before.withColumn("deleted", F.lit(False))
         columns = ["node_id", "services", "last_modified", "location", "deleted"]
         youngest = (
-            known.select(columns).unionByName(batch.select(columns))
+            before.select(columns).unionByName(batch.select(columns))
             .groupBy("node_id").agg(F.max(seen).alias("h")).select("node_id", "h.*")
         )
         now = self.now(youngest)
