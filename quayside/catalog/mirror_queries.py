@@ -304,6 +304,25 @@ def snk3(fx: Fixtures) -> DataFrame:
     return objects.copy_objects(plan, f"{root}/source", f"{root}/dest")
 
 
+@query(
+    "src1_listed_objects",
+    "SELECT concat('manifest/page-', CAST(page_id AS VARCHAR)) AS object_name, CASE WHEN page_id % 3 = 0 THEN 0 ELSE strlen(url) END AS size FROM pages",
+)
+def src1_listed(fx: Fixtures) -> DataFrame:
+    """A folder with an object per page, every third one empty, listed."""
+    from quayside.session import shared_dir
+
+    root = shared_dir(fx.spark, "listing")
+    pages = fx.table("pages").select(
+        F.concat(F.lit("manifest/page-"), F.col("page_id").cast("string")).alias("object_name"),
+        F.when(F.col("page_id") % 3 == 0, F.encode(F.lit(""), "UTF-8")).otherwise(F.encode("url", "UTF-8")).alias("content"),
+    )
+    objects.put_objects(pages, root).write.format("noop").mode("overwrite").save()
+    roots = fx.spark.createDataFrame([(root,)], "root string")
+    name = F.regexp_extract("path", "(manifest/.*)$", 1).alias("object_name")
+    return listings.list_objects(roots).select(name, "size")
+
+
 # ----------------------------------------------------------- ordered ids
 
 

@@ -79,7 +79,8 @@ def candidate_counts(keys: DataFrame, nodes: DataFrame) -> DataFrame:
     per_service = offers(nodes).groupBy("service").agg(
         F.count(F.lit(1)).alias("n_candidates"), F.min("node_id").alias("first_candidate")
     )
-    return keys.join(per_service, "service", "left").withColumn(
+    # Broadcast: one row per known service, and names only parse to known ones.
+    return keys.join(F.broadcast(per_service), "service", "left").withColumn(
         "n_candidates", F.coalesce("n_candidates", F.lit(0).cast("bigint"))
     )
 

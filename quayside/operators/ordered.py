@@ -66,6 +66,22 @@ def next_id(df: DataFrame, keys: list[str], order: str, out: str, width: int = R
     )
 
 
+def _sample_spans(samples: DataFrame, keys: list[str], sample: str, width: int | None) -> DataFrame:
+    low, high = F.min(sample), F.max(sample)
+    fitted = F.ceil((high - low + 1) / F.ceil(F.sqrt(F.count(sample))))
+    chosen = F.lit(width) if width else F.greatest(fitted, F.lit(1))
+    return samples.groupBy(*keys).agg(
+        F.struct(low.alias("low"), high.alias("high"), chosen.cast("bigint").alias("width")).alias("_span")
+    )
+
+
+def _with_sample_range(df: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``_range``; numbers outside the samples' span fall into its end ranges."""
+    df = df.join(spans, keys) if keys else df.withColumn("_span", spans.scalar())
+    inside = F.least(F.greatest(F.col("_at"), F.col("_span.low") - 1), F.col("_span.high"))
+    return df.withColumn("_range", F.floor(inside / F.col("_span.width")).cast("bigint")).drop("_span")
+
+
 def asof_round_down(
     points: DataFrame,
     samples: DataFrame,
@@ -74,7 +90,7 @@ def asof_round_down(
     sample: str,
     value: str,
     out: str,
-    width: int = RANGE_WIDTH,
+    width: int | None = None,
     largest: bool = False,
 ) -> DataFrame:
     """Add ``out`` to ``points``: ``value`` of the newest sample at or below ``point``.
@@ -82,16 +98,16 @@ def asof_round_down(
     With ``largest`` it is the largest ``value`` of all samples at or below
     ``point`` instead. NULL where every sample is larger. ``keys`` may be empty
     for one shared series of samples.
+
+    Without a ``width`` each key gets one that cuts its samples' span into
+    about as many ranges as a range then holds samples.
     """
-    wanted = (
-        points.select(*keys, F.col(point).alias("_at")).filter(F.col(point).isNotNull()).distinct()
-        .withColumn("_range", _range_of("_at", width))
-    )
-    known = (
-        samples.groupBy(*keys, F.col(sample).alias("_at")).agg(F.max(value).alias("_value"))
-        .filter(F.col("_at").isNotNull())
-        .withColumn("_range", _range_of("_at", width))
+    wanted = points.select(*keys, F.col(point).alias("_at")).filter(F.col(point).isNotNull()).distinct()
+    known = samples.groupBy(*keys, F.col(sample).alias("_at")).agg(F.max(value).alias("_value")).filter(
+        F.col("_at").isNotNull()
     )
+    spans = _sample_spans(samples, keys, sample, width)
+    wanted, known = (_with_sample_range(df, spans, keys) for df in (wanted, known))
     # The last sample of every range, carried into the ranges after it.
     ranges = known.select(*keys, "_range", "_at", "_value").unionByName(
         wanted.select(*keys, "_range"), allowMissingColumns=True

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.names import registered_url, registry_url
+from quayside.session import settle
 
 
 def registry_entries(listing: DataFrame) -> DataFrame:
@@ -28,14 +29,14 @@ def alias_groups(entries: DataFrame) -> DataFrame:
 
     The canonical spelling wins, then the smaller file name. The winner is an
     aggregate per url and joined back, so a url with very many spellings does
-    not become one window.
+    not become one window. Winners are written first: a join that has plain
+    shuffles on both sides can split such a url over several tasks.
     """
     valid = entries.filter(F.col("url").isNotNull()).withColumn(
         "is_alias", ~F.col("decoded").eqNullSafe(F.col("url"))
     )
-    winners = valid.groupBy("url").agg(F.min(F.struct("is_alias", "file_name")).alias("w")).select(
-        "url", F.col("w.file_name").alias("winner")
-    )
+    winners = valid.groupBy("url").agg(F.min(F.struct("is_alias", "file_name")).alias("w"))
+    winners = settle(winners.select("url", F.col("w.file_name").alias("winner")), "registry-winners")
     return valid.join(winners, "url").withColumn("wins", F.col("file_name") == F.col("winner"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.urls import canonical_url, path_prefixes
+from quayside.session import settle
 
 # Sources up to this many are named together in one collision message.
 JOINED_SOURCES = 1_000
@@ -63,11 +64,13 @@ def collisions(applied: DataFrame) -> DataFrame:
     """Every source of a destination that more than one (database, target) maps to.
 
     One row per source, with the size of its group: a destination may have any
-    number of sources, so they are not gathered into one value.
+    number of sources, so they are not gathered into one value. The sizes are
+    written first, so that the join can split a very popular destination.
     """
-    sizes = (
+    sizes = settle(
         applied.groupBy("destination").agg(F.count(F.lit(1)).alias("n_sources"))
-        .filter(F.col("n_sources") > 1)
+        .filter(F.col("n_sources") > 1),
+        "collision-sizes",
     )
     return applied.join(sizes, "destination").select(
         "destination",

@@ -103,6 +103,8 @@ def prune_plan(source: Catalog, dest: Catalog, dest_listing: DataFrame, policy:
     )
 
     # One row per pair: whether data may go at all, and the guards' bounds.
+    # Written, so the listing is not shuffled where they are few, and a huge
+    # pair can be split where they are not.
     tops = heads(dest.manifests, PAIR_KEYS).select(
         *PAIR, F.when(F.col("readable"), F.col("next_wal_sst_id")).otherwise(0).alias("tail_floor")
     )
@@ -111,7 +113,7 @@ def prune_plan(source: Catalog, dest: Catalog, dest_listing: DataFrame, policy:
     # Every checkpoint a source still lists sits in its latest manifest.
     source_heads = heads(source.manifests).select("db_key", "manifest_id")
     listed = source.checkpoints.join(source_heads, ["db_key", "manifest_id"], "left_semi")
-    guards = (
+    guards = settle(
         active.join(tops, PAIR)
         .join(unreadable, PAIR, "left")
         .join(reachable, "db_key", "left")
@@ -121,7 +123,8 @@ def prune_plan(source: Catalog, dest: Catalog, dest_listing: DataFrame, policy:
             F.when(F.col("_reachable").isNull(), F.lit("source unreachable"))
             .when(F.col("_unreadable"), F.lit("a kept manifest is unreadable"))
             .alias("held"),
-        )
+        ),
+        "prune-guards",
     )
     referenced = (
         dest.objects.join(kept.select(*PAIR, "manifest_id"), [*PAIR, "manifest_id"], "left_semi")

@@ -10,16 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.operators.ordered import row_number_by
+from quayside.session import settle
 
 
 def create_if_absent(rows: DataFrame, existing: DataFrame, key: str, order: str) -> DataFrame:
     """Add ``created`` to each row: its key is new and it is the first to ask.
 
     The first asker per key is an aggregate, so a key requested very often is
-    reduced before the shuffle.
+    reduced before the shuffle. It is written before it is joined back, so that
+    the join can split such a key.
     """
     first = rows.groupBy(key).agg(F.min(order).alias("_first"))
-    fresh = first.join(existing.select(key), key, "left_anti").withColumn("_fresh", F.lit(True))
+    fresh = settle(
+        first.join(existing.select(key), key, "left_anti").withColumn("_fresh", F.lit(True)), "fresh-keys"
+    )
     return rows.join(fresh, key, "left").withColumn(
         "created", F.coalesce(F.col("_fresh") & (F.col(order) == F.col("_first")), F.lit(False))
     ).drop("_first", "_fresh")

@@ -37,7 +37,7 @@ def test_gaps(ids, width):
     assert {(r.k, r.gap_start, r.gap_end) for r in got} == want
 
 
-@pytest.mark.parametrize("width", WIDTHS)
+@pytest.mark.parametrize("width", [None, *WIDTHS])
 @pytest.mark.parametrize("largest", [False, True])
 def test_asof(spark, ids, width, largest):
     rows, _ = ids
