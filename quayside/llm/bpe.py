@@ -19,8 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import whole_text
-from quayside.session import ship_package
+from quayside.llm.common import ready, whole_text
 
 # Texts are handed to the tokenizer in parts of about so many characters.
 PART_CHARS = 50_000
@@ -69,25 +68,30 @@ def encode_text(text: str, rank_path: str, pattern: str) -> np.ndarray:
 
 
 def encode(
-    docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
 ) -> DataFrame:
-    """Per row: ``id_col``, ``n_tokens`` and ``tokens``, the packed ids of the whole text."""
-    ship_package(docs.sparkSession)
+    """Per row: ``id_col``, ``n_tokens`` and ``tokens``, the packed ids of the whole text.
+
+    With ``decoded`` also the bytes that the packed ids decode to, made in the same worker.
+    """
+    ready(docs.sparkSession)
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             tokens = [encode_text(text, rank_path, pattern) for text in batch["text"]]
-            yield pd.DataFrame({
+            out = {
                 "id": batch["id"],
                 "n_tokens": np.array([len(t) for t in tokens], dtype="int64"),
                 "tokens": [t.tobytes() for t in tokens],
-            })
+            }
+            if decoded:
+                out["decoded"] = [decode_bytes(t, rank_path, pattern) for t in out["tokens"]]
+            yield pd.DataFrame(out)
 
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return (
-        rows.mapInPandas(encoded, f"id {kind}, n_tokens bigint, tokens binary").withColumnRenamed("id", id_col)
-    )
+    columns = f"id {kind}, n_tokens bigint, tokens binary" + ", decoded binary" * decoded
+    return rows.mapInPandas(encoded, columns).withColumnRenamed("id", id_col)
 
 
 def decode_bytes(tokens: bytes, rank_path: str, pattern: str) -> bytes:
@@ -102,7 +106,7 @@ def decode(
     Bytes, not text: any cut between ids may fall inside a character. A null
     decodes to no bytes.
     """
-    ship_package(encoded.sparkSession)
+    ready(encoded.sparkSession)
 
     @F.pandas_udf("binary")
     def decoded(tokens: pd.Series) -> pd.Series:

@@ -22,7 +22,7 @@ def rank_file() -> tuple[str, str]:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = rank_file()
-    tokens = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    tokens = bpe.encode(table(spark, sf_dir, "documents"), path, pattern, decoded=True)
     return tokens.select(
         "doc_id", "n_tokens", F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayside.session import ship_package
+
 # Fixed value: a word is a run of anything but these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,6 +29,17 @@ def words_of(text: str) -> list[str]:
     return [w.decode() for w in text.encode().split()]
 
 
+def ready(spark: SparkSession) -> None:
+    """Prepare a session for Python workers on texts: the package, and batches of bounded size.
+
+    Arrow batches are cut by rows and by bytes, whichever comes first; with
+    the defaults a worker may hold many large texts at once.
+    """
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def fold(id_text: Column, folds: int) -> Column:
     """The remainder that decides on which side of a split a row falls."""
     return F.crc32(id_text.cast("string")) % F.lit(folds)

@@ -28,8 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import WORD, whole_text
-from quayside.session import settle, ship_package
+from quayside.llm.common import WORD, ready, whole_text
+from quayside.session import settle
 
 # Units per leaf, and residuals that meet in a group above the leaves.
 LEAF_UNITS = 2_048
@@ -113,7 +113,7 @@ def copy_numbers(sizes: DataFrame, targets: DataFrame, seed: int = 7, leaf_units
 
     ``sizes`` has ``id``, ``source`` and ``size`` per unit.
     """
-    ship_package(sizes.sparkSession)
+    ready(sizes.sparkSession)
     # One row per source; Spark broadcasts it by its true size or shuffles it.
     planned = sizes.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

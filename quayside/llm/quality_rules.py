@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import whole_text
-from quayside.session import settle, ship_package
+from quayside.llm.common import ready, whole_text
+from quayside.session import settle
 
 # The symbols that are counted.
 SYMBOLS = "#*$%&|<>"
@@ -139,7 +139,7 @@ def language_references(
     driver is bounded: at most ``1 / min_share`` languages of
     ``common_words`` words and seven classes.
     """
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), whole_text(text_col).alias("text"))
     words = rows.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word"))
     words = words.select("lang", F.btrim(F.lower("word"), F.lit(POINTS)).alias("word")).filter("word <> ''")
@@ -228,7 +228,7 @@ def judge(
     docs: DataFrame, references: list[dict], limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row: ``id_col`` and the measures of its whole text, with the verdict ``kept``."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by = Judge(references, limits)
@@ -244,7 +244,7 @@ def judge(
 
 def keep_good(docs: DataFrame, references: list[dict], limits: Limits = Limits(), text_col: str = "text") -> DataFrame:
     """The rows that the verdict keeps, with all their columns."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def is_kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
