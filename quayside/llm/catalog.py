@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import bpe, mixing, quality_rules
-from quayside.llm.common import table
+from quayside.llm import bpe, mixing, pii, quality_classifier, quality_rules, toxicity
+from quayside.llm.common import fold, table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -20,6 +20,37 @@ def rank_file() -> tuple[str, str]:
     return public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs)).withColumns({
+        "base": pii.as_text("base_spans"), "spans": pii.as_text("all_spans"),
+    })
+    counts = [
+        F.size(F.array_compact(F.transform("base_spans", lambda span: F.when(span["kind"] == kind, 1)))).cast("bigint").alias(f"n_{kind}")
+        for kind in pii.BASE_KINDS
+    ]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def _scored(scores: DataFrame, folds: int, held_fold: int) -> DataFrame:
+    return scores.select(
+        "doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_fold, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights = quality_classifier.fit(docs, labels, "quality", folds=3, held_fold=1)
+    return _scored(quality_classifier.score(docs, weights), 3, 1)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights = toxicity.fit(docs, labels, "toxic", folds=5, held_fold=0)
+    return _scored(toxicity.score(docs, weights), 5, 0)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = rank_file()
     tokens = bpe.encode(table(spark, sf_dir, "documents"), path, pattern, decoded=True)
@@ -41,8 +72,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
+        "op5_quality_classifier": op5_quality_classifier,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_mixing": op8_mixing,
+        "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
     }
 

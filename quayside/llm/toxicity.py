@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier that is held to equal scores when identity terms are swapped.
 
-A document is the set of its words; a word is the hash of itself and of its
-character n-grams, so inflected and compound forms share their evidence. The
+A document is the set of its words' hashed character n-grams, so inflected and
+compound forms share their evidence. The
 weights follow FTRL updates on labelled documents. After each document comes
 a counterfactual: one of its sentences with an identity term, and the same
 sentence with the term of another group; where the sentence has none, a term
@@ -21,18 +21,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm.common import ready, whole_text
-from quayside.llm.linear import Ftrl, Remembered, fitted, sigmoid, training_rows
+from quayside.llm.linear import Ftrl, fitted, sigmoid, training_rows
 
-BUCKETS = 1 << 18
+# A power of two.
+BUCKETS = 1 << 20
 EPOCHS = 3
 PENALTY = 2.0
 # Toxic documents are few; missing one costs more than the updates of a harmless one.
-POSITIVE_WEIGHT = 3.0
+POSITIVE_WEIGHT = 5.0
 
 # Terms that name a group neutrally; terms of one line can stand for one another.
 IDENTITY_TERMS = (
@@ -47,25 +47,38 @@ IDENTITY_TERMS = (
 _GROUP_OF = {term: group for group in IDENTITY_TERMS for term in group}
 _ALL_TERMS = sorted(_GROUP_OF)
 
-_WORD = re.compile(r"\w+")
+_BREAK = re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
-# Words beyond this length are known by their hash alone; they have no n-grams of interest.
-LONGEST_SPELLED = 40
+_EDGE = np.uint64(ord("_"))
+_STEP, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+GRAMS = (4, 5)
 
 
-def word_buckets(word: str, buckets: int = BUCKETS) -> np.ndarray:
-    """Buckets of a word and of its character n-grams of four and five, with marked ends."""
-    found = {xxhash.xxh64_intdigest(word, seed=3) % buckets}
-    if len(word) <= LONGEST_SPELLED:
-        marked = f"<{word}>"
-        for n in (4, 5):
-            for i in range(len(marked) - n + 1):
-                found.add(xxhash.xxh64_intdigest(marked[i : i + n], seed=n) % buckets)
-    return np.array(sorted(found), dtype=np.int64)
+def plain(text: str) -> str:
+    """The words of a text in small letters, with one underscore around each."""
+    return _BREAK.sub("_", f"_{text.lower()}_")
 
 
-def features(words: set[str], of_word: Remembered) -> np.ndarray:
-    return np.unique(np.concatenate([of_word[w] for w in sorted(words)])) if words else np.empty(0, dtype=np.int64)
+def grams(spelled: str, buckets: int) -> np.ndarray:
+    """Bucket of every character n-gram that lies within a word and its two edges."""
+    points = np.frombuffer(spelled.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    edges = np.concatenate([[0], np.cumsum(points == _EDGE)])
+    found, hashes = [], points
+    shift = np.uint64(64 - (buckets - 1).bit_length())
+    with np.errstate(over="ignore"):
+        for n in range(2, max(GRAMS) + 1):
+            if len(points) < n:
+                break
+            hashes = hashes[:-1] * _STEP + points[n - 1 :]
+            if n in GRAMS:
+                # No edge but at the first and last place.
+                inside = edges[n - 1 : len(points)] == edges[1 : len(points) - n + 2]
+                found.append(((hashes[inside] * _MIX) >> shift).astype(np.int64))
+    return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+
+
+def features(words: list[str], buckets: int) -> np.ndarray:
+    return np.unique(grams("_" + "_".join(words) + "_", buckets))
 
 
 def swapped(sentence: list[str], draw: np.random.Generator) -> tuple[list[str], list[str]]:
@@ -86,13 +99,13 @@ def swapped(sentence: list[str], draw: np.random.Generator) -> tuple[list[str],
 def fit_weights(
     rows: Iterable[tuple[str, float]], buckets: int = BUCKETS, epochs: int = EPOCHS, penalty: float = PENALTY
 ) -> np.ndarray:
-    of_word = Remembered(lambda word: word_buckets(word, buckets))
-    model = Ftrl(buckets, alpha=0.1, beta=1.0, l1=0.6, l2=0.5)
+    model = Ftrl(buckets, alpha=0.1, beta=1.0, l1=6.0, l2=0.1)
     examples = []
     for text, label in rows:
-        sentences = [s for s in (_WORD.findall(part) for part in _SENTENCE.findall(text.lower())) if s]
+        sentences = [plain(part).strip("_").split("_") for part in _SENTENCE.findall(text)]
+        sentences = [s for s in sentences if s != [""]]
         named = [s for s in sentences if any(word in _GROUP_OF for word in s)]
-        examples.append((features(set().union(*sentences), of_word), named or sentences, label))
+        examples.append((np.unique(grams(plain(text), buckets)), named or sentences, label))
     draw = np.random.default_rng(9)
     for _ in range(epochs):
         for i in draw.permutation(len(examples)):
@@ -100,14 +113,10 @@ def fit_weights(
             model.learn(at, np.ones(len(at)), label, POSITIVE_WEIGHT if label else 1.0)
             if not pool:
                 continue
-            one, other = (
-                set().union(*(of_word[word].tolist() for word in sentence))
-                for sentence in swapped(pool[int(draw.integers(len(pool)))], draw)
-            )
-            apart = sorted(one ^ other)
-            if apart:
-                sign = np.array([1.0 if bucket in one else -1.0 for bucket in apart])
-                apart = np.array(apart)
+            one, other = (features(s, buckets) for s in swapped(pool[int(draw.integers(len(pool)))], draw))
+            more, less = np.setdiff1d(one, other, True), np.setdiff1d(other, one, True)
+            apart, sign = np.concatenate([more, less]), np.repeat([1.0, -1.0], [len(more), len(less)])
+            if len(apart):
                 weights = model.weights(apart)
                 model.push(apart, weights, 2 * penalty * (weights @ sign) / len(apart) * sign)
     return model.all_weights()
@@ -120,23 +129,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     return fitted(training_rows(docs, labels, label, folds, held_fold, id_col, text_col), fit_weights)
 
 
-class Scorer:
-    """Scores texts; buckets that several words of a text share count once, as in training."""
-
-    def __init__(self, weights: np.ndarray):
-        self.weights, self.buckets = weights, max(len(weights) - 1, 1)
-        self.of_word = Remembered(self._telling)
-
-    def _telling(self, word: str) -> frozenset:
-        """The buckets of a word that have a weight; most have none."""
-        at = word_buckets(word, self.buckets)
-        return frozenset(at[self.weights[at] != 0].tolist())
-
-    def logit(self, text: str) -> float:
-        if len(self.weights) < 2:
-            return 0.0
-        told = set().union(*map(self.of_word.__getitem__, set(_WORD.findall(text.lower()))))
-        return float(self.weights[sorted(told)].sum(dtype=np.float64) + self.weights[-1]) if told else float(self.weights[-1])
+def logit(text: str, weights: np.ndarray) -> float:
+    """Every n-gram counts once, as in training; most have no weight and are left out first."""
+    if len(weights) < 2:
+        return 0.0
+    at = grams(plain(text), len(weights) - 1)
+    told = np.unique(at[weights[at] != 0])
+    return float(weights[told].sum(dtype=np.float64) + weights[-1])
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,9 +146,9 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     shared = spark.sparkContext.broadcast(weights.astype(np.float32) if len(weights) else np.zeros(1, np.float32))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by = Scorer(shared.value)
+        by = shared.value
         for batch in batches:
-            logits = np.array([by.logit(text) for text in batch["text"]], dtype=np.float64)
+            logits = np.array([logit(text, by) for text in batch["text"]], dtype=np.float64)
             yield pd.DataFrame({"id": batch["id"], "score": sigmoid(logits)})
 
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
