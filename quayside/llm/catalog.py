@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import bpe, mixing, pii, quality_classifier, quality_rules, toxicity
+from quayside.llm import bpe, jaccard_join, mixing, pii, quality_classifier, quality_rules, toxicity
 from quayside.llm.common import fold, table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -51,6 +51,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs, weights), 5, 0)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = rank_file()
     tokens = bpe.encode(table(spark, sf_dir, "documents"), path, pattern, decoded=True)
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_mixing": op8_mixing,
         "op9_toxicity": op9_toxicity,
