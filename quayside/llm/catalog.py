@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import bpe, jaccard_join, mixing, pii, quality_classifier, quality_rules, toxicity
+from quayside.llm import bpe, iblt, jaccard_join, mixing, pii, quality_classifier, quality_rules, toxicity
 from quayside.llm.common import fold, table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +32,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.compared(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next",
+    )
+
+
 def _scored(scores: DataFrame, folds: int, held_fold: int) -> DataFrame:
     return scores.select(
         "doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_fold, F.lit(False)).alias("held_out"), "score",
@@ -77,6 +84,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
+        "op2_fingerprints": op2_fingerprints,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_byte_bpe": op7_byte_bpe,
