@@ -2,9 +2,57 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quayside.llm import bpe, jaccard_join, mixing, pii, quality_rules
+from quayside.llm.catalog import rank_file
+from quayside.llm.common import table
+from quayside.session import settle
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, judged against references from these documents."""
+    return quality_rules.keep_good(docs, quality_rules.language_references(docs))
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return jaccard_join.one_per_group(docs, k=5, percent=80)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind."""
+    redacted = pii.redact(docs, pii.fit(docs))
+    return redacted.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the target of its source asks for."""
+    return mixing.mixed_rows(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, packed as unsigned 32-bit little-endian integers."""
+    return bpe.encode(docs, *rank_file())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", keep_good),
+    ("jaccard_join", keep_distinct),
+    ("pii", redact),
+    ("mixing", mix),
+    ("byte_bpe", encode),
+]
+
+# The rules, the rounding and the tokens cannot be said in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = settle(stage(spark, docs, sf_dir), name)
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import bpe, iblt, jaccard_join, mixing, pii, quality_classifier, quality_rules, toxicity
+from quayside.llm import bpe, html_extract, iblt, jaccard_join, mixing, pii, pseudo_likelihood, quality_classifier, quality_rules, toxicity
 from quayside.llm.common import fold, table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -39,6 +39,18 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_repeated"
+    )
+
+
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    words = pseudo_likelihood.vocabulary(docs)
+    return pseudo_likelihood.score(docs, words, pseudo_likelihood.train(docs, words))
+
+
 def _scored(scores: DataFrame, folds: int, held_fold: int) -> DataFrame:
     return scores.select(
         "doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_fold, F.lit(False)).alias("held_out"), "score",
@@ -85,6 +97,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_fingerprints": op2_fingerprints,
+        "op3_html_extraction": op3_html_extraction,
+        "op4_pseudo_likelihood": op4_pseudo_likelihood,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_byte_bpe": op7_byte_bpe,

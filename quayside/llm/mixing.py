@@ -152,21 +152,26 @@ def copy_numbers(sizes: DataFrame, targets: DataFrame, seed: int = 7, leaf_units
     return every.select("id", "source", copies.alias("copies"))
 
 
-def mix(
-    docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 7, id_col: str = "doc_id",
-    source_col: str = "source", text_col: str = "text",
-) -> DataFrame:
-    """Per row: id, source, ``size`` in words, its source's size and target, and its ``copies``."""
+def _planned(docs: DataFrame, share: float, most: float, seed: int, id_col: str, source_col: str, text_col: str):
+    """Rows with their sizes, the targets of the sources, and the copies of the units."""
     sized = settle(
         docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size")),
         "sizes",
     )
     units = sized.groupBy("id", "source").agg(F.sum("size").alias("size"))
     targets = settle(source_targets(units, share, most), "targets")
-    copies = settle(copy_numbers(units, targets, seed), "copies")
+    return sized, targets, settle(copy_numbers(units, targets, seed), "copies")
+
+
+def mix(
+    docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 7, id_col: str = "doc_id",
+    source_col: str = "source", text_col: str = "text",
+) -> DataFrame:
+    """Per row: id, source, ``size`` in words, its source's size and target, and its ``copies``."""
+    sized, targets, copies = _planned(docs, share, most, seed, id_col, source_col, text_col)
     return (
         _joined(_joined(sized, copies, ["id", "source"]), targets.drop("units"), ["source"])
-        .withColumnRenamed("id", id_col).withColumnRenamed("source", source_col)
+        .withColumnsRenamed({"id": id_col, "source": source_col})
     )
 
 
@@ -182,11 +187,9 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def mixed_rows(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 7, id_col: str = "doc_id",
                source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    taken = mix(docs, share, most, seed, id_col, source_col, text_col)
-    # Rows of one unit are taken equally often, so one row per unit tells all.
-    times = taken.groupBy(F.col(id_col).alias("_id"), F.col(source_col).alias("_source")).agg(F.first("copies").alias("_copies"))
+    _, _, copies = _planned(docs, share, most, seed, id_col, source_col, text_col)
+    times = copies.filter("copies > 0").select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("copies").cast("int").alias("_copies"))
     joined = docs.join(
         times, docs[id_col].eqNullSafe(times["_id"]) & docs[source_col].cast("string").eqNullSafe(times["_source"])
     )
-    copied = joined.filter("_copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
-    return copied.select(*docs.columns)
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
