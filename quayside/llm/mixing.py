@@ -99,7 +99,8 @@ def round_group(units: pd.DataFrame, last: bool) -> pd.DataFrame:
         if not 0.0 < a < 1.0:
             held = row if 0.0 < b < 1.0 else -1
     if held >= 0 and last:
-        chance[held] = 1.0 if draws[held] < chance[held] else 0.0
+        # The low bits of a draw, which no comparison before has looked at.
+        chance[held] = 1.0 if draws[held] * (1 << 26) % 1.0 < chance[held] else 0.0
     units["p"] = chance
     return units
 
@@ -108,6 +109,11 @@ def _settled(p: float) -> float:
     return 0.0 if p < 1e-12 else 1.0 if p > 1 - 1e-12 else p
 
 
+def _uniform(seed: int, *columns: str) -> Column:
+    """A number in [0, 1) that is the same in every run; another for every seed."""
+    return F.xxhash64(F.lit(seed), *columns).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+
+
 def copy_numbers(sizes: DataFrame, targets: DataFrame, seed: int = 7, leaf_units: int = LEAF_UNITS, fan_in: int = FAN_IN) -> DataFrame:
     """Per unit (source, id): ``copies``, the times that its rows are taken.
 
@@ -123,10 +129,10 @@ def copy_numbers(sizes: DataFrame, targets: DataFrame, seed: int = 7, leaf_units
         "id", "source", F.col("size").cast("double").alias("size"),
         F.floor(expected).cast("bigint").alias("whole"), (expected - F.floor(expected)).alias("p"),
         F.col("id").cast("string").alias("unit"), key.alias("draw"),
-        ((F.xxhash64(F.lit(seed + 1), F.col("id").cast("string"), F.col("source")).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))).alias("u"),
+        F.lit(0.0).alias("u"),
         F.pmod(key, groups).alias("leaf"), groups.alias("groups"),
     ).withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise(F.lit(0.0)))
-    decided = []
+    decided, depth = [], 0
     schema = level.schema
     most = targets.agg(F.max("units")).first()[0] or 0
     most = max(-(-most // leaf_units), 1)
@@ -137,6 +143,8 @@ def copy_numbers(sizes: DataFrame, targets: DataFrame, seed: int = 7, leaf_units
             # A source with fewer leaves than the largest one is finished at a lower level.
             return round_group(units, bool(units["groups"].iloc[0] == 1))
 
+        depth += 1
+        level = level.withColumn("u", _uniform(seed + depth, "unit", "source"))
         done = settle(level.groupBy("source", "leaf").applyInPandas(rounded, schema), "rounded")
         is_open = (F.col("p") > 0) & (F.col("p") < 1)
         decided.append(done.filter(~is_open))
