@@ -73,9 +73,8 @@ class Fixtures:
 
     @cached_property
     def heartbeat_listing(self) -> DataFrame:
-        """Object listing rows (path, last_modified) under ``nodes/``."""
-        seen = self.table("events").filter(F.col("ts") <= self.heartbeat_now)
-        return self.heartbeat_rows(seen).groupBy("path").agg(F.max("ts").alias("last_modified"))
+        """Object listing rows (path, last_modified) under ``nodes/``; some lie in the future."""
+        return self.heartbeat_rows(self.table("events")).groupBy("path").agg(F.max("ts").alias("last_modified"))
 
     @cached_property
     def target(self) -> DataFrame:
@@ -358,8 +357,8 @@ class Fixtures:
 # The same views in DuckDB SQL, in dependency order.
 SQL: dict[str, str] = {
     "fx_database": """SELECT c_custkey AS db_key, concat('s3://data/tenant', CAST(c_nationkey AS VARCHAR), '/db', CAST(c_custkey AS VARCHAR)) AS db_url, c_nationkey, c_mktsegment FROM customer""",
-    "fx_heartbeat": f"""SELECT concat('node-', CAST(user_id AS VARCHAR)) AS node_id, CASE event_type WHEN 'click' THEN 'g' WHEN 'view' THEN 'c' WHEN 'purchase' THEN 'w' WHEN 'signup' THEN 'm' ELSE 'x' END AS letters, concat('nodes/node-', CAST(user_id AS VARCHAR), '.', CASE event_type WHEN 'click' THEN 'g' WHEN 'view' THEN 'c' WHEN 'purchase' THEN 'w' WHEN 'signup' THEN 'm' ELSE 'x' END, '.json') AS location, max(ts) AS last_modified FROM events WHERE ts <= TIMESTAMP '{HEARTBEAT_NOW}' GROUP BY user_id, event_type""",
-    "fx_node": f"""SELECT node_id, letters, location, last_modified, epoch_us(TIMESTAMP '{HEARTBEAT_NOW}') - epoch_us(last_modified) AS age_us, CASE letters WHEN 'g' THEN 'gc' WHEN 'c' THEN 'compactor-coordinator' WHEN 'w' THEN 'compaction-workers' WHEN 'm' THEN 'mirror' END AS service FROM fx_heartbeat QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY last_modified DESC, location) = 1""",
+    "fx_heartbeat": f"""SELECT concat('node-', CAST(user_id AS VARCHAR)) AS node_id, CASE event_type WHEN 'click' THEN 'g' WHEN 'view' THEN 'c' WHEN 'purchase' THEN 'w' WHEN 'signup' THEN 'm' ELSE 'x' END AS letters, concat('nodes/node-', CAST(user_id AS VARCHAR), '.', CASE event_type WHEN 'click' THEN 'g' WHEN 'view' THEN 'c' WHEN 'purchase' THEN 'w' WHEN 'signup' THEN 'm' ELSE 'x' END, '.json') AS location, max(ts) AS last_modified FROM events GROUP BY user_id, event_type""",
+    "fx_node": f"""SELECT node_id, letters, location, last_modified, greatest(0, epoch_us(TIMESTAMP '{HEARTBEAT_NOW}') - epoch_us(last_modified)) AS age_us, CASE letters WHEN 'g' THEN 'gc' WHEN 'c' THEN 'compactor-coordinator' WHEN 'w' THEN 'compaction-workers' WHEN 'm' THEN 'mirror' END AS service FROM fx_heartbeat QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY age_us, location) = 1""",
     "fx_live": f"""SELECT * FROM fx_node WHERE age_us < {HEARTBEAT_TIMEOUT}000000""",
     "fx_target": """SELECT concat('t', CAST(n_nationkey AS VARCHAR)) AS target, concat('s3://data/tenant', CAST(n_nationkey AS VARCHAR)) AS source_prefix, CASE WHEN n_nationkey % 7 = 0 THEN 's3://dr/shared' ELSE concat('s3://dr', CAST(n_regionkey AS VARCHAR), '/mirrors/tenant', CAST(n_nationkey AS VARCHAR)) END AS url, n_nationkey % 11 = 0 AS disabled FROM nation""",
     "fx_target_x": """SELECT * FROM fx_target UNION ALL SELECT concat('all', CAST(r_regionkey AS VARCHAR)), NULL, db_url, r_regionkey <> 1 FROM region JOIN fx_database ON db_key = r_regionkey * 25""",

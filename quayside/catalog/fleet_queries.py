@@ -48,7 +48,7 @@ def src1(fx: Fixtures) -> DataFrame:
 
 @query(
     "src2_heartbeat_listing",
-    f"""SELECT node_id, CASE letters WHEN 'g' THEN 'gc' WHEN 'c' THEN 'compactor-coordinator' WHEN 'w' THEN 'compaction-workers' WHEN 'm' THEN 'mirror' ELSE '' END AS services, epoch_us(TIMESTAMP '{HEARTBEAT_NOW}') - epoch_us(last_modified) AS age_micros, location FROM fx_heartbeat""",
+    f"""SELECT node_id, CASE letters WHEN 'g' THEN 'gc' WHEN 'c' THEN 'compactor-coordinator' WHEN 'w' THEN 'compaction-workers' WHEN 'm' THEN 'mirror' ELSE '' END AS services, greatest(0, epoch_us(TIMESTAMP '{HEARTBEAT_NOW}') - epoch_us(last_modified)) AS age_micros, location FROM fx_heartbeat""",
 )
 def src2(fx: Fixtures) -> DataFrame:
     """Heartbeat names taken apart, with their age."""
@@ -138,9 +138,9 @@ def ag10(fx: Fixtures) -> DataFrame:
 
 @query(
     "src4_registry_warnings",
-    """SELECT file_name AS subject, concat('ignoring registry entry ', file_name, ': ', reject_reason) AS message FROM fx_entry WHERE url IS NULL
-    UNION ALL SELECT file_name, concat('registry entry ', file_name, ' is not canonical') FROM fx_group WHERE is_alias
-    UNION ALL SELECT file_name, concat('registry entries ', winner, ' and ', file_name, ' alias ', url, '; using ', winner) FROM fx_group WHERE file_name <> winner""",
+    """SELECT file_name AS subject, concat(file_name, ' is left out of the registry: ', reject_reason) AS message FROM fx_entry WHERE url IS NULL
+    UNION ALL SELECT file_name, concat(file_name, ' is not the preferred spelling of its url') FROM fx_group WHERE is_alias
+    UNION ALL SELECT file_name, concat(winner, ' stands for ', url, ', which ', file_name, ' names as well') FROM fx_group WHERE file_name <> winner""",
     REGISTRY_VIEWS,
 )
 def src4_warnings(fx: Fixtures) -> DataFrame:
@@ -166,7 +166,7 @@ def settings_documents(fx: Fixtures) -> DataFrame:
 DOCUMENT_VIEWS = {
     "fx_document": """SELECT db_key, db_key % 8 = 5 AS blank, db_key % 8 <> 5 AND db_key % 9 = 4 AS garbled FROM fx_database""",
     "fx_doc_violation": """SELECT db_key, '' AS field, 'is not a settings document' AS message FROM fx_document WHERE garbled
-      UNION ALL SELECT db_key, 'services', 'lists a service more than once' FROM fx_document WHERE NOT blank AND NOT garbled AND db_key % 7 = 1
+      UNION ALL SELECT db_key, 'services', 'has a repeated service' FROM fx_document WHERE NOT blank AND NOT garbled AND db_key % 7 = 1
       UNION ALL SELECT db_key, 'gc.typo', 'is not a known setting' FROM fx_document WHERE NOT blank AND NOT garbled AND db_key % 11 = 2
       UNION ALL SELECT db_key, 'gc.wal.interval', 'must be > 0' FROM fx_document WHERE NOT blank AND NOT garbled AND db_key % 5 = 0
       UNION ALL SELECT db_key, 'compaction-workers.count', 'has the wrong type' FROM fx_document WHERE NOT blank AND NOT garbled AND db_key % 13 = 3
@@ -259,11 +259,11 @@ def jn2_tuned(fx: Fixtures) -> DataFrame:
     "prj8_settings_violations",
     """SELECT db_key, 'layer' AS stage, 'compaction-workers.count' AS field, 'must be >= 1' AS message FROM fx_bad WHERE workers = 0
     UNION ALL SELECT db_key, 'layer', 'gc.wal.interval', 'must be > 0' FROM fx_bad WHERE interval_s = 0
-    UNION ALL SELECT db_key, 'layer', 'services', 'lists a service more than once' FROM fx_bad WHERE twice
+    UNION ALL SELECT db_key, 'layer', 'services', 'has a repeated service' FROM fx_bad WHERE twice
     UNION ALL SELECT db_key, 'layer', 'compactor-coordinator.scheduler.include_size_threshold', 'must be a positive number' FROM fx_bad WHERE threshold = 0 OR isnan(threshold)
-    UNION ALL SELECT db_key, 'resolved', 'compactor-coordinator.scheduler', 'min_compaction_sources exceeds max_compaction_sources' FROM fx_bad WHERE lo > 8
+    UNION ALL SELECT db_key, 'resolved', 'compactor-coordinator.scheduler', 'the least number of sources is above the largest' FROM fx_bad WHERE lo > 8
     UNION ALL SELECT db_key, 'target', 'copy_parallelism', 'must be >= 1' FROM fx_target_over WHERE copy_parallelism = 0
-    UNION ALL SELECT db_key, 'resolved target', 'url', 'is required unless the target is disabled' FROM fx_tuned WHERE url IS NULL AND NOT disabled""",
+    UNION ALL SELECT db_key, 'resolved target', 'url', 'is missing on an enabled target' FROM fx_tuned WHERE url IS NULL AND NOT disabled""",
     {
         **MERGED_VIEW,
         "fx_bad": """SELECT c_custkey AS db_key, c_custkey % 4 AS workers, c_custkey % 7 * 10 AS interval_s, c_custkey % 5 = 2 AS twice, CASE WHEN c_custkey % 13 = 1 THEN 'nan'::DOUBLE ELSE c_nationkey % 6 END AS threshold, c_nationkey AS lo FROM customer""",
@@ -596,12 +596,11 @@ def jb1_placements(fx: Fixtures) -> DataFrame:
 WARNING_VIEWS = {
     **PLACEMENT_VIEWS,
     "fx_used": "SELECT a.* FROM fx_applied a JOIN fx_settings s USING (db_key) WHERE contains(s.services, 'mirror')",
-    "fx_shared": "SELECT destination, count(*) AS n, string_agg(concat(db_url, ' target ', target), ' and ' ORDER BY concat(db_url, ' target ', target)) AS sources FROM fx_used GROUP BY destination HAVING count(*) > 1",
-    "fx_warning": """SELECT 'collision' AS kind, destination AS subject, concat('mirror destinations collide: ', sources, ' all map to ', destination) AS message FROM fx_shared WHERE n <= 1000
-      UNION ALL SELECT 'collision', u.destination, concat('mirror destinations collide: ', u.db_url, ' target ', u.target, ' and ', CAST(s.n - 1 AS VARCHAR), ' others all map to ', u.destination) FROM fx_used u JOIN fx_shared s USING (destination) WHERE s.n > 1000
-      UNION ALL SELECT 'unmirrored', d.db_url, concat(d.db_url, ' has mirror enabled but no applicable target') FROM fx_database d JOIN fx_settings s USING (db_key) WHERE contains(s.services, 'mirror') AND db_key NOT IN (SELECT db_key FROM fx_applied)
-      UNION ALL SELECT DISTINCT 'registered destination', destination, concat('mirror destination ', destination, ' is itself a registered database; its services will fork the mirror''s history') FROM fx_used WHERE destination IN (SELECT db_url FROM fx_database)
-      UNION ALL SELECT DISTINCT 'unoffered', service, concat('no live node offers ', service) FROM fx_wanted WHERE service NOT IN (SELECT service FROM fx_live WHERE service IS NOT NULL)""",
+    "fx_shared": "SELECT destination, count(*) AS n FROM fx_used GROUP BY destination HAVING count(*) > 1",
+    "fx_warning": """SELECT 'collision' AS kind, u.destination AS subject, concat(u.db_url, ' by target ', u.target, ' shares the destination ', u.destination, ', one of ', CAST(s.n AS VARCHAR)) AS message FROM fx_used u JOIN fx_shared s USING (destination)
+      UNION ALL SELECT 'unmirrored', d.db_url, concat(d.db_url, ' asks for a mirror, but none of the targets applies to it') FROM fx_database d JOIN fx_settings s USING (db_key) WHERE contains(s.services, 'mirror') AND db_key NOT IN (SELECT db_key FROM fx_applied)
+      UNION ALL SELECT DISTINCT 'registered destination', destination, concat('the mirror destination ', destination, ' is registered as a database of its own') FROM fx_used WHERE destination IN (SELECT db_url FROM fx_database)
+      UNION ALL SELECT DISTINCT 'unoffered', service, concat('nobody alive runs ', service) FROM fx_wanted WHERE service NOT IN (SELECT service FROM fx_live WHERE service IS NOT NULL)""",
 }
 
 
@@ -615,7 +614,7 @@ def so3(fx: Fixtures) -> DataFrame:
 @query(
     "sm3_last_good_settings",
     """SELECT user_id, max(event_id) AS latest_version, max(event_id) FILTER (WHERE value >= 5) AS used_version, max_by(event_type, event_id) FILTER (WHERE value >= 5) AS payload, used_version IS NULL AS disabled,
-      CASE WHEN used_version IS NULL THEN 'invalid settings; database disabled' WHEN used_version < latest_version THEN 'invalid settings; keeping last good' END AS warning FROM events GROUP BY user_id""",
+      CASE WHEN used_version IS NULL THEN 'no valid settings yet, so the database is off' WHEN used_version < latest_version THEN 'newest settings invalid, an older version is in force' END AS warning FROM events GROUP BY user_id""",
 )
 def sm3(fx: Fixtures) -> DataFrame:
     """The settings version in force per user, with events as versions."""

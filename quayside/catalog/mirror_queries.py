@@ -93,7 +93,7 @@ def ag3(fx: Fixtures) -> DataFrame:
 
 @query(
     "ag2_watermarks",
-    """SELECT p.db_key, p.target, s.head, d.watermark, CASE WHEN s.head IS NULL THEN 'not a database' WHEN d.watermark > s.head THEN 'diverged' WHEN d.watermark = s.head THEN 'caught up' END AS state
+    """SELECT p.db_key, p.target, s.head, d.watermark, CASE WHEN s.head IS NULL THEN 'no manifests at the source' WHEN d.watermark > s.head THEN 'diverged' WHEN d.watermark = s.head THEN 'caught up' END AS state
     FROM fx_pair p LEFT JOIN fx_src_head s USING (db_key) LEFT JOIN fx_dst_head d USING (db_key)""",
 )
 def ag2(fx: Fixtures) -> DataFrame:
@@ -159,7 +159,7 @@ def st1(fx: Fixtures) -> DataFrame:
 
 SYNC_VIEWS = {
     **CLOSURE_VIEW,
-    "fx_state": """SELECT p.db_key, p.target, p.copier, s.head, d.watermark, CASE WHEN s.head IS NULL THEN 'not a database' WHEN d.watermark > s.head THEN 'diverged' WHEN d.watermark = s.head THEN 'caught up' END AS state
+    "fx_state": """SELECT p.db_key, p.target, p.copier, s.head, d.watermark, CASE WHEN s.head IS NULL THEN 'no manifests at the source' WHEN d.watermark > s.head THEN 'diverged' WHEN d.watermark = s.head THEN 'caught up' END AS state
       FROM fx_pair p LEFT JOIN fx_src_head s USING (db_key) LEFT JOIN fx_dst_head d USING (db_key)""",
     "fx_broken": "SELECT DISTINCT m.db_key FROM fx_member m JOIN fx_state s USING (db_key) WHERE NOT m.present AND s.state IS NULL",
     "fx_ready": "SELECT * FROM fx_state WHERE state IS NULL AND db_key NOT IN (SELECT db_key FROM fx_broken)",
@@ -327,12 +327,12 @@ def src1_listed(fx: Fixtures) -> DataFrame:
 
 
 def floors(fx: Fixtures) -> DataFrame:
-    """Tail floor per database: its smallest id at or above 100."""
-    return fx.wal.filter("wal_id >= 100").groupBy("db_key").agg(F.min("wal_id").alias("floor"))
+    """Tail floor per database: the smallest id there is."""
+    return fx.wal.groupBy("db_key").agg(F.min("wal_id").alias("floor"))
 
 
 TAIL_VIEWS = {
-    "fx_floor": "SELECT db_key, min(wal_id) AS floor FROM fx_wal WHERE wal_id >= 100 GROUP BY db_key",
+    "fx_floor": "SELECT db_key, min(wal_id) AS floor FROM fx_wal GROUP BY db_key",
     "fx_run": "SELECT db_key, wal_id FROM (SELECT w.db_key, w.wal_id, f.floor, row_number() OVER (PARTITION BY w.db_key ORDER BY w.wal_id) AS n FROM fx_wal w JOIN fx_floor f USING (db_key) WHERE w.wal_id >= f.floor) WHERE wal_id - floor = n - 1",
 }
 
@@ -417,7 +417,7 @@ def jn11(fx: Fixtures) -> DataFrame:
 @query(
     "jb4_restore_outcomes",
     """SELECT c.request_id, c.db_key, c.mode, CASE WHEN used OR chosen IS NULL THEN NULL ELSE chosen END AS manifest_id, coalesce(m.n, 0) AS manifests_committed, coalesce(o.n, 0) AS copied_objects,
-      CASE WHEN used THEN 'destination not empty' WHEN latest IS NULL THEN 'not a database' WHEN chosen IS NULL AND mode = 'id' THEN 'no such manifest' WHEN chosen IS NULL THEN 'predates tracked history' END AS error
+      CASE WHEN used THEN 'target holds data already' WHEN latest IS NULL THEN 'no manifests at the source' WHEN chosen IS NULL AND mode = 'id' THEN 'manifest unknown' WHEN chosen IS NULL THEN 'earlier than the first recorded time' END AS error
     FROM fx_chosen c LEFT JOIN (SELECT request_id, count(*) AS n FROM fx_rmember GROUP BY 1) m USING (request_id) LEFT JOIN (SELECT request_id, count(*) AS n FROM fx_robject GROUP BY 1) o USING (request_id)""",
     RESTORE_VIEWS,
 )

@@ -135,7 +135,7 @@ def sm2(fx: Fixtures) -> DataFrame:
 @query(
     "sm3_settings_stream",
     """SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS latest_version, max(event_id) FILTER (WHERE value >= 5) AS used_version, max_by(event_type, event_id) FILTER (WHERE value >= 5) AS payload, used_version IS NULL AS disabled,
-      CASE WHEN used_version IS NULL THEN 'invalid settings; database disabled' WHEN used_version < latest_version THEN 'invalid settings; keeping last good' END AS warning FROM events GROUP BY user_id""",
+      CASE WHEN used_version IS NULL THEN 'no valid settings yet, so the database is off' WHEN used_version < latest_version THEN 'newest settings invalid, an older version is in force' END AS warning FROM events GROUP BY user_id""",
 )
 def sm3_stream(fx: Fixtures) -> DataFrame:
     """Last-good settings kept over three arrivals of versions."""

@@ -57,7 +57,7 @@ def registered_url(url: Column) -> Column:
                 F.when(~too_long, canonical["url"]).alias("url"),
                 F.when(~too_long, file_name).alias("file_name"),
                 F.coalesce(
-                    canonical["reject_reason"], F.when(too_long, F.lit("database URL too long"))
+                    canonical["reject_reason"], F.when(too_long, F.lit("url too long for a registry name"))
                 ).alias("reject_reason"),
             )
 

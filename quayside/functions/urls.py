@@ -21,6 +21,8 @@ REMOTE_BACKENDS = {
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
+# User information reaches to the last @; the host follows it.
+_USER = r"^(.*@)?"
 _REST = r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/?#]*)?(.*)\z"
 # Characters a URL parser percent-encodes in a path; everything outside
 # printable ASCII is included.
@@ -67,7 +69,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def canonical_url(url: Column) -> Column:
     """``struct<url, reject_reason>``: one spelling per location.
 
-    Scheme and host are lower-cased, path case is kept, unsafe characters are
+    Scheme and host are lower-cased, user information and path keep their case, unsafe characters are
     percent-encoded, dot segments are folded, a web scheme's default port is
     dropped, and every trailing slash is removed. A URL that does not parse or
     whose scheme is not in :data:`SCHEMES` has a NULL ``url`` and a reason.
@@ -77,7 +79,8 @@ def canonical_url(url: Column) -> Column:
     def take_apart(t: Column) -> Column:
         return F.struct(
             F.lower(F.regexp_extract(t, _SCHEME, 1)).alias("scheme"),
-            F.lower(F.regexp_extract(t, _AUTHORITY, 1)).alias("host"),
+            F.regexp_extract(F.regexp_extract(t, _AUTHORITY, 1), _USER, 1).alias("user"),
+            F.lower(F.regexp_replace(F.regexp_extract(t, _AUTHORITY, 1), _USER, "")).alias("host"),
             t.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://").alias("has_authority"),
             _percent_encode_unsafe(F.regexp_extract(t, _REST, 1)).alias("rest"),
         )
@@ -90,13 +93,13 @@ def canonical_url(url: Column) -> Column:
         web = p["scheme"].isin("http", "https")
         port = F.when(p["scheme"] == "http", F.lit(":80")).otherwise(F.lit(":443"))
         host = F.when(
-            web & p["host"].endswith(port), F.substring_index(p["host"], ":", 1)
+            web & p["host"].endswith(port), F.left(p["host"], F.length(p["host"]) - F.length(port))
         ).otherwise(p["host"])
         # A web URL always has a path; without one the query follows a slash.
         path = let(path_of(p), lambda x: F.when(web & (x == ""), F.lit("/")).otherwise(x))
         tail = F.regexp_extract(p["rest"], r"(?s)^[^?#]*(.*)\z", 1)
         joined = F.concat(
-            p["scheme"], F.when(p["has_authority"], F.lit("://")).otherwise(F.lit(":")), host, path, tail
+            p["scheme"], F.when(p["has_authority"], F.lit("://")).otherwise(F.lit(":")), p["user"], host, path, tail
         )
         reason = (
             F.when(p["scheme"].isNull() | (p["scheme"] == ""), F.lit("invalid URL"))

@@ -44,17 +44,16 @@ def registry_warnings(entries: DataFrame, grouped: DataFrame) -> DataFrame:
     """(subject, message) rows for rejected, non-canonical and aliasing entries."""
     rejected = entries.filter(F.col("url").isNull()).select(
         F.col("file_name").alias("subject"),
-        F.concat(F.lit("ignoring registry entry "), "file_name", F.lit(": "), "reject_reason").alias("message"),
+        F.concat("file_name", F.lit(" is left out of the registry: "), "reject_reason").alias("message"),
     )
     odd = grouped.filter("is_alias").select(
         F.col("file_name").alias("subject"),
-        F.concat(F.lit("registry entry "), "file_name", F.lit(" is not canonical")).alias("message"),
+        F.concat("file_name", F.lit(" is not the preferred spelling of its url")).alias("message"),
     )
     aliases = grouped.filter(~F.col("wins")).select(
         F.col("file_name").alias("subject"),
         F.concat(
-            F.lit("registry entries "), "winner", F.lit(" and "), "file_name", F.lit(" alias "), "url",
-            F.lit("; using "), "winner",
+            "winner", F.lit(" stands for "), "url", F.lit(", which "), "file_name", F.lit(" names as well"),
         ).alias("message"),
     )
     return rejected.unionByName(odd).unionByName(aliases)

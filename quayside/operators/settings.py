@@ -213,10 +213,10 @@ def _block_checks(df: DataFrame, settings: list[Setting], prefix: str = "") -> l
         value, field = F.col(s.column), prefix + s.dotted
         if s.rule == "distinct":
             checks.append(_violation(
-                F.size(F.array_distinct(value)) < F.size(value), field, "lists a service more than once"
+                F.size(F.array_distinct(value)) < F.size(value), field, "has a repeated service"
             ))
             checks.append(_violation(
-                F.exists(value, lambda v: ~v.isin(*s.allowed)), field, "lists an unknown service"
+                F.exists(value, lambda v: ~v.isin(*s.allowed)), field, "has an unknown service"
             ))
         elif s.allowed:
             checks.append(_violation(~value.isin(*s.allowed), field, "has an unknown value"))
@@ -243,7 +243,7 @@ def fleet_violations(fleet: DataFrame) -> DataFrame:
     checks = _block_checks(fleet, NODE_SETTINGS)
     checks.append(_violation(
         columns["heartbeat_interval"] >= columns["heartbeat_timeout"],
-        "node.heartbeat_interval", "must be < node.heartbeat_timeout",
+        "node.heartbeat_interval", "has to stay below node.heartbeat_timeout",
     ))
     return _report(fleet, [], checks)
 
@@ -254,7 +254,7 @@ def resolved_violations(resolved: DataFrame, keys: list[str]) -> DataFrame:
     high = F.col("compactor_coordinator_scheduler_max_compaction_sources")
     check = _violation(
         low > high, "compactor-coordinator.scheduler",
-        "min_compaction_sources exceeds max_compaction_sources",
+        "the least number of sources is above the largest",
     )
     return _report(resolved, keys, [check])
 
@@ -262,7 +262,7 @@ def resolved_violations(resolved: DataFrame, keys: list[str]) -> DataFrame:
 def target_violations(layer: DataFrame, keys: list[str]) -> DataFrame:
     """Broken rules of mirror-target rows as given."""
     checks = [_violation(
-        ~valid_identifier(F.col("target")), "name", "names are 1-128 chars of [A-Za-z0-9_-]"
+        ~valid_identifier(F.col("target")), "name", "is no name of 1 to 128 letters, digits, _ or -"
     )] + _block_checks(layer, TARGET_SETTINGS)
     return _report(layer, keys, checks)
 
@@ -271,7 +271,7 @@ def resolved_target_violations(targets: DataFrame, keys: list[str]) -> DataFrame
     """An enabled target needs a usable url, and a usable prefix if it has one."""
     enabled = ~F.col("disabled")
     checks = [
-        _violation(enabled & F.col("url").isNull(), "url", "is required unless the target is disabled")
+        _violation(enabled & F.col("url").isNull(), "url", "is missing on an enabled target")
     ]
     for field in ("url", "source_prefix"):
         bad = canonical_url(F.col(field))["reject_reason"].isNotNull()
@@ -381,7 +381,7 @@ def last_good(versions: DataFrame, keys: list[str]) -> DataFrame:
         F.col("good.version").alias("used_version"),
         F.col("good.payload").alias("payload"),
         F.col("good").isNull().alias("disabled"),
-        F.when(F.col("good").isNull(), F.lit("invalid settings; database disabled"))
-        .when(stale, F.lit("invalid settings; keeping last good"))
+        F.when(F.col("good").isNull(), F.lit("no valid settings yet, so the database is off"))
+        .when(stale, F.lit("newest settings invalid, an older version is in force"))
         .alias("warning"),
     )

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from quayside.functions.urls import canonical_url, path_prefixes
 from quayside.session import settle
 
-# Sources up to this many are named together in one collision message.
-JOINED_SOURCES = 1_000
-
-
 def _usable(targets: DataFrame) -> DataFrame:
     """Enabled targets whose url (and prefix, if any) canonicalize."""
     return (
@@ -74,32 +70,19 @@ def collisions(applied: DataFrame) -> DataFrame:
     )
     return applied.join(sizes, "destination").select(
         "destination",
-        F.concat("db_url", F.lit(" target "), "target").alias("source"),
+        F.concat("db_url", F.lit(" by target "), "target").alias("source"),
         "n_sources",
     )
 
 
 def collision_messages(collided: DataFrame) -> DataFrame:
-    """One message per destination; one per source where there are very many."""
-    few = F.col("n_sources") <= JOINED_SOURCES
-    joined = (
-        collided.filter(few).groupBy("destination")
-        .agg(F.array_join(F.sort_array(F.collect_list("source")), " and ").alias("sources"))
-        .select(
-            F.col("destination").alias("subject"),
-            F.concat(
-                F.lit("mirror destinations collide: "), "sources", F.lit(" all map to "), "destination"
-            ).alias("message"),
-        )
-    )
-    single = collided.filter(~few).select(
+    """One message per source of a shared destination, whatever the number of sources."""
+    return collided.select(
         F.col("destination").alias("subject"),
         F.concat(
-            F.lit("mirror destinations collide: "), "source", F.lit(" and "),
-            (F.col("n_sources") - 1).cast("string"), F.lit(" others all map to "), "destination",
+            "source", F.lit(" shares the destination "), "destination", F.lit(", one of "), F.col("n_sources").cast("string")
         ).alias("message"),
     )
-    return joined.unionByName(single)
 
 
 def registered_destinations(applied: DataFrame, databases: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def pair_states(source: DataFrame, dest: DataFrame, pairs: DataFrame) -> DataFra
         source_heads = source_heads.withColumn("exclusion_reason", F.lit(None).cast("string"))
     marks = dest.groupBy(*PAIR).agg(F.max("manifest_id").alias("watermark"))
     state = (
-        F.when(F.col("head").isNull(), F.lit("not a database"))
+        F.when(F.col("head").isNull(), F.lit("no manifests at the source"))
         .when(F.col("exclusion_reason").isNotNull(), F.lit("excluded"))
         .when(F.col("watermark") > F.col("head"), F.lit("diverged"))
         .when(F.col("watermark") == F.col("head"), F.lit("caught up"))

@@ -96,11 +96,11 @@ def restore_plan(backup: Catalog, requests: DataFrame, samples: DataFrame, occup
     n_objects = copies.groupBy("request_id").agg(F.count(F.lit(1)).alias("copied_objects"))
     n_manifests = commits.groupBy("request_id").agg(F.count(F.lit(1)).alias("manifests_committed"))
     error = (
-        F.when(F.col("_full"), F.lit("destination not empty"))
-        .when(F.col("latest").isNull(), F.lit("not a database"))
-        .when(F.col("chosen").isNull() & (F.col("mode") == "id"), F.lit("no such manifest"))
-        .when(F.col("chosen").isNull(), F.lit("predates tracked history"))
-        .when(F.col("_dangling"), F.lit("closure support, not a restore point"))
+        F.when(F.col("_full"), F.lit("target holds data already"))
+        .when(F.col("latest").isNull(), F.lit("no manifests at the source"))
+        .when(F.col("chosen").isNull() & (F.col("mode") == "id"), F.lit("manifest unknown"))
+        .when(F.col("chosen").isNull(), F.lit("earlier than the first recorded time"))
+        .when(F.col("_dangling"), F.lit("kept for others only, cannot be restored"))
     )
     flagged = dangling.select("db_key", F.col("head").alias("chosen"), F.lit(True).alias("_dangling"))
     zero = F.lit(0).cast("bigint")

@@ -80,18 +80,17 @@ def warnings(resolved: DataFrame, applied: DataFrame, wanted: DataFrame, live: D
         warn(collision_messages(collisions(used)), "collision", subject, F.col("message"))
         warn(
             unmirrored(mirroring.select("db_key", "db_url"), applied), "unmirrored", F.col("db_url"),
-            F.concat("db_url", F.lit(" has mirror enabled but no applicable target")),
+            F.concat("db_url", F.lit(" asks for a mirror, but none of the targets applies to it")),
         )
         warn(
             registered_destinations(used, databases), "registered destination", F.col("destination"),
             F.concat(
-                F.lit("mirror destination "), "destination",
-                F.lit(" is itself a registered database; its services will fork the mirror's history"),
+                F.lit("the mirror destination "), "destination", F.lit(" is registered as a database of its own"),
             ),
         )
     warn(
         unoffered_services(wanted, live), "unoffered", F.col("service"),
-        F.concat(F.lit("no live node offers "), "service"),
+        F.concat(F.lit("nobody alive runs "), "service"),
     )
     out = parts[0]
     for part in parts[1:]:

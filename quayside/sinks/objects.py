@@ -39,24 +39,44 @@ def _copy_one(source: str, dest: str) -> int:
     return moved
 
 
-def copy_objects(plan: DataFrame, source_root: str, dest_root: str, parallelism: int = 8) -> DataFrame:
-    """Copy the named objects from one root to another: (name, bytes, error).
+def copy_rows(plan: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
+    """Copy every row's ``source`` URI to its ``dest`` URI: the ``keys``, name, bytes, error.
 
-    ``plan`` has ``object_name``, relative to both roots. A failed object
-    carries its error instead of failing the others.
+    A plan may mix any number of databases and targets; the rows are dealt
+    evenly over ``tasks``, by default as many as the session shuffles to. A
+    failed object carries its error instead of failing the others.
     """
+    kept = plan.select(*keys, "object_name", "source", "dest")
+    columns = [*keys, "name", "bytes", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for name in batch["object_name"]:
+            moved, errors = [], []
+            for source, dest in zip(batch["source"], batch["dest"]):
                 try:
-                    rows.append((name, _copy_one(f"{source_root}/{name}", f"{dest_root}/{name}"), None))
+                    moved.append(_copy_one(source, dest))
+                    errors.append(None)
                 except OSError as error:
-                    rows.append((name, None, type(error).__name__))
-            yield pd.DataFrame(rows, columns=["name", "bytes", "error"]).astype({"bytes": "Int64"})
+                    moved.append(None)
+                    errors.append(type(error).__name__)
+            out = batch[keys].assign(name=batch["object_name"], bytes=pd.array(moved, dtype="Int64"), error=errors)
+            yield out[columns]
+
+    tasks = tasks or int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    types = "".join(f"{field.name} {field.dataType.simpleString()}, " for field in kept.select(*keys).schema)
+    return kept.repartition(tasks).mapInPandas(run, types + _COPIED)
+
+
+def copy_objects(plan: DataFrame, source_root: str, dest_root: str, tasks: int | None = None) -> DataFrame:
+    """Copy the named objects from one root to another: (name, bytes, error).
 
-    return plan.select("object_name").repartition(parallelism).mapInPandas(run, _COPIED)
+    ``plan`` has ``object_name``, relative to both roots.
+    """
+    rooted = plan.select(
+        "object_name", F.concat(F.lit(f"{source_root}/"), "object_name").alias("source"),
+        F.concat(F.lit(f"{dest_root}/"), "object_name").alias("dest"),
+    )
+    return copy_rows(rooted, [], tasks)
 
 
 def copied_totals(copied: DataFrame) -> DataFrame:
@@ -75,13 +95,16 @@ def put_objects(contents: DataFrame, root: str) -> DataFrame:
         for batch in batches:
             rows = []
             for name, content in zip(batch["object_name"], batch["content"]):
-                to_fs, to_path = _open(f"{root}/{name}")
-                if to_fs.type_name == "local":
-                    to_fs.create_dir(to_path.rsplit("/", 1)[0], recursive=True)
-                with to_fs.open_output_stream(to_path) as writer:
-                    writer.write(bytes(content))
-                rows.append((name, len(content), None))
-            yield pd.DataFrame(rows, columns=["name", "bytes", "error"])
+                try:
+                    to_fs, to_path = _open(f"{root}/{name}")
+                    if to_fs.type_name == "local":
+                        to_fs.create_dir(to_path.rsplit("/", 1)[0], recursive=True)
+                    with to_fs.open_output_stream(to_path) as writer:
+                        writer.write(bytes(content))
+                    rows.append((name, len(content), None))
+                except OSError as error:
+                    rows.append((name, None, type(error).__name__))
+            yield pd.DataFrame(rows, columns=["name", "bytes", "error"]).astype({"bytes": "Int64"})
 
     return contents.select("object_name", "content").mapInPandas(run, _COPIED)
 

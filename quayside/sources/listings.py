@@ -12,14 +12,16 @@ from quayside.functions.names import heartbeat_parts, object_class
 from quayside.functions.predicates import age_micros
 
 
+# Rows per frame that a listing hands on.
+_LISTED_AT_ONCE = 10_000
 _LISTED = "root string, path string, last_modified timestamp, size bigint, etag string"
 
 
 def list_objects(roots: DataFrame) -> DataFrame:
     """LIST the folders of ``roots`` (column ``root``): one row per object.
 
-    Each root is listed by a task of its own, so many databases, or many
-    prefixes of a large one, are listed side by side. A missing folder is an
+    Roots are dealt out over as many tasks as there are roots, so many
+    databases, or many prefixes of a large one, are listed side by side. A missing folder is an
     empty listing; any other error fails the job. (Spark's own file sources
     leave out empty files, and an empty registry file is a registered
     database.) Use an inventory table for folders too large to list.
@@ -33,15 +35,19 @@ def list_objects(roots: DataFrame) -> DataFrame:
             for root in batch["root"]:
                 store, inner = fs.FileSystem.from_uri(root)
                 selector = fs.FileSelector(inner, allow_not_found=True, recursive=True)
-                found = [
-                    (root, info.path, info.mtime, info.size, None)
-                    for info in store.get_file_info(selector) if info.is_file
-                ]
-                listed = pd.DataFrame(found, columns=columns)
-                listed["last_modified"] = pd.to_datetime(listed["last_modified"], utc=True)
-                yield listed
-
-    return roots.select("root").distinct().mapInPandas(run, _LISTED)
+                infos = store.get_file_info(selector)
+                for at in range(0, len(infos), _LISTED_AT_ONCE):
+                    found = [
+                        (root, info.path, info.mtime, info.size, None)
+                        for info in infos[at : at + _LISTED_AT_ONCE] if info.is_file
+                    ]
+                    listed = pd.DataFrame(found, columns=columns)
+                    listed["last_modified"] = pd.to_datetime(listed["last_modified"], utc=True)
+                    yield listed
+
+    # A number that is asked for is not coalesced, however few bytes the names of the roots have.
+    distinct = roots.select("root").distinct()
+    return distinct.repartitionByRange(max(distinct.count(), 1), "root").mapInPandas(run, _LISTED)
 
 
 def heartbeat_entries(listing: DataFrame, now: Column) -> DataFrame:

@@ -190,7 +190,7 @@ def test_sync_restarts_when_a_pinned_manifest_is_gone(spark, tiny):
     dest = at_target(tiny, spark.createDataFrame([], "db_key bigint, target string, manifest_id bigint"))
     pairs = spark.createDataFrame([(1, "t", "builtin"), (9, "t", "builtin")], "db_key bigint, target string, copier string")
     plan = mirror.sync_plan(source, dest, spark.createDataFrame([], LISTED), pairs, lit_now())
-    assert {r.db_key: r["class"] for r in plan.pairs.collect()} == {1: "restart", 9: "not a database"}
+    assert {r.db_key: r["class"] for r in plan.pairs.collect()} == {1: "restart", 9: "no manifests at the source"}
     assert plan.copies.count() == plan.commits.count() == 0
 
 
@@ -205,12 +205,12 @@ def test_restore_requests(spark, tiny):
     plan = restore.restore_plan(tiny, requests, samples, occupied, lit_now())
     got = {r.request_id: (r.manifest_id, r.manifests_committed, r.copied_objects, r.error) for r in plan.outcomes.collect()}
     assert got == {
-        "new": (3, 2, 4, None), "two": (2, 1, 1, None), "no": (None, 0, 0, "no such manifest"), "then": (2, 1, 1, None),
-        "ever": (None, 0, 0, "predates tracked history"), "full": (None, 0, 0, "destination not empty"), "who": (None, 0, 0, "not a database"),
+        "new": (3, 2, 4, None), "two": (2, 1, 1, None), "no": (None, 0, 0, "manifest unknown"), "then": (2, 1, 1, None),
+        "ever": (None, 0, 0, "earlier than the first recorded time"), "full": (None, 0, 0, "target holds data already"), "who": (None, 0, 0, "no manifests at the source"),
     }
     partial = Catalog(tiny.manifests.filter("manifest_id <> 1"), tiny.objects, tiny.checkpoints)
     plan = restore.restore_plan(partial, requests, samples, occupied, lit_now())
-    assert {r.request_id: r.error for r in plan.outcomes.collect()}["new"] == "closure support, not a restore point"
+    assert {r.request_id: r.error for r in plan.outcomes.collect()}["new"] == "kept for others only, cannot be restored"
 
 
 def test_lag_of_an_empty_target_is_the_head_id(spark, tiny):

@@ -29,11 +29,17 @@ def test_bad_urls_have_reasons(spark):
     ]
 
 
+def test_authority_keeps_its_user_and_host(spark):
+    given = ["https://user:pw@Host:443/x", "http://[::1]:80/a", "https://User@Host/A", "http://[::1]:8080/a", "https://a:b@c@D:443", "https://h:4430/x", "s3://U@B/k"]
+    assert canonical(spark, given) == [
+        "https://user:pw@host/x", "http://[::1]/a", "https://User@host/A", "http://[::1]:8080/a", "https://a:b@c@d", "https://h:4430/x", "s3://U@b/k"]
+
+
 def test_registry_names_round_trip(spark):
-    given = ["s3://bucket/tenants/acme db", "s3://b/a+b*c~d", "gs://b/ü%20", "s3://b/�"]
+    given = ["s3://depot/north/blue box", "s3://b/x+y*z~w", "gs://b/ß%20", "s3://b/�"]
     encoded = column(spark, given, names.registry_name)
-    assert encoded[0] == "s3%3A%2F%2Fbucket%2Ftenants%2Facme%20db.toml"
-    assert encoded[1] == "s3%3A%2F%2Fb%2Fa%2Bb%2Ac~d.toml"
+    assert encoded[0] == "s3%3A%2F%2Fdepot%2Fnorth%2Fblue%20box.toml"
+    assert encoded[1] == "s3%3A%2F%2Fb%2Fx%2By%2Az~w.toml"
     assert not any("/" in name for name in encoded)
     assert column(spark, encoded, names.registry_url) == given
 
@@ -45,27 +51,27 @@ def test_other_names_are_not_registry_files(spark):
 def test_long_urls_are_rejected_for_the_registry_only(spark):
     long = ["s3://bucket/" + "x" * 1000, "s3://bucket/" + "µ" * 400]
     out = column(spark, long, names.registered_url)
-    assert [r["reject_reason"] for r in out] == ["database URL too long"] * 2
+    assert [r["reject_reason"] for r in out] == ["url too long for a registry name"] * 2
     assert canonical(spark, long)[0] == long[0]
 
 
 def test_heartbeat_names(spark):
-    given = ["n-1.cgmw.json", "n.1.wg.json", ".g.json", "n.xq.json", "n..json", "n.json", "n.g.json\n", "n.gg.json"]
+    given = ["pier-7.cgmw.json", "p.4.wg.json", ".c.json", "p.zk.json", "p..json", "p.json", "p.c.json\n", "p.gg.json"]
     out = column(spark, given, names.heartbeat_parts)
     assert [r and (r["node_id"], r["services"]) for r in out] == [
-        ("n-1", ["gc", "compactor-coordinator", "compaction-workers", "mirror"]),
-        ("n.1", ["gc", "compaction-workers"]), None, ("n", []), ("n", []), None, None, ("n", ["gc", "gc"]),
+        ("pier-7", ["gc", "compactor-coordinator", "compaction-workers", "mirror"]),
+        ("p.4", ["gc", "compaction-workers"]), None, ("p", []), ("p", []), None, None, ("p", ["gc", "gc"]),
     ]
 
 
 def test_object_classes_never_cross(spark):
     top = "18446744073709551615"
     given = [f"a/manifest/{top}.manifest", "a/manifest/18446744073709551616.manifest", "a/wal/7.sst",
-             "a/compacted/01J79C21YKR31J2BS1EFXJZ7MR.sst", "a/compacted/00000000000000000007.sst",
-             "a/wal/01J79C21YKR31J2BS1EFXJZ7MR.sst", "a/manifest/7.sst"]
+             "a/compacted/01HZX3V9QK8M2T5W7Y4B6C1D0E.sst", "a/compacted/00000000000000000007.sst",
+             "a/wal/01HZX3V9QK8M2T5W7Y4B6C1D0E.sst", "a/manifest/7.sst"]
     out = column(spark, given, names.object_class)
     assert [r and (r["kind"], r["id"] and str(r["id"]), r["ulid"]) for r in out] == [
-        ("manifest", top, None), None, ("wal", "7", None), ("compacted", None, "01J79C21YKR31J2BS1EFXJZ7MR"),
+        ("manifest", top, None), None, ("wal", "7", None), ("compacted", None, "01HZX3V9QK8M2T5W7Y4B6C1D0E"),
         None, None, None,
     ]
 
