@@ -11,7 +11,7 @@ from quayside.catalog.registration import query
 from quayside.functions.names import heartbeat_parts
 from quayside.session import shared_dir
 from quayside.streaming.leases import lease_periods
-from quayside.streaming.liveness import LivenessTicks, liveness_periods
+from quayside.streaming.liveness import LivenessTicks, liveness_periods, to_the_end
 from quayside.streaming.mirror import ContinuousMirror
 from quayside.streaming.settings import LastGoodSettings
 from quayside.streaming.state import run_available
@@ -23,9 +23,9 @@ ARRIVALS = ["2024-01-11 00:00:00", "2024-01-21 00:00:00"]
 
 
 def streamed(fx: Fixtures, table: str) -> DataFrame:
-    """A given table as a stream of its file."""
-    reader = fx.spark.readStream.schema(fx.table(table).schema)
-    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(fx.sf_dir)
+    """A given table as a stream of its files: one file, or a folder of many."""
+    # A pattern, since a stream takes a path without one to be a folder.
+    return fx.spark.readStream.schema(fx.table(table).schema).parquet(f"{fx.sf_dir}/{table}.parque[t]")
 
 
 def to_table(fx: Fixtures, stream: DataFrame, purpose: str) -> DataFrame:
@@ -60,22 +60,29 @@ def sessions_sql(source: str, key: str, gap_us: int) -> str:
 
 
 NODE_SERVICE = "CASE last_type WHEN 'click' THEN 'gc' WHEN 'view' THEN 'compactor-coordinator' WHEN 'purchase' THEN 'compaction-workers' WHEN 'signup' THEN 'mirror' ELSE '' END"
-CLOSED = "SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events"
+NEWEST = "SELECT epoch_us(max(ts)) FROM events"
+
+
+def end_sql(seconds: int) -> str:
+    return f"CASE WHEN epoch_us(last_ts) + {seconds}000000 <= ({NEWEST}) THEN make_timestamp(epoch_us(last_ts) + {seconds}000000) END"
 
 
 @query(
     "sm1_liveness_periods",
-    f"""SELECT concat('node-', CAST(user_id AS VARCHAR)) AS node_id, start_ts AS up_at, make_timestamp(epoch_us(last_ts) + {HEARTBEAT_TIMEOUT}000000) AS down_at, n AS heartbeats, {NODE_SERVICE} AS services
-    FROM fx_session WHERE epoch_us(last_ts) + {HEARTBEAT_TIMEOUT}000000 - 1 <= ({CLOSED})""",
+    f"""SELECT concat('node-', CAST(user_id AS VARCHAR)) AS node_id, start_ts AS up_at, {end_sql(HEARTBEAT_TIMEOUT)} AS down_at, n AS heartbeats, {NODE_SERVICE} AS services FROM fx_session""",
     {"fx_session": sessions_sql("events", "user_id", HEARTBEAT_TIMEOUT * 1_000_000)},
 )
 def sm1_periods(fx: Fixtures) -> DataFrame:
-    """Periods of liveness that had ended when the stream did."""
-    rows = fx.heartbeat_rows(streamed(fx, "events"))
-    named = rows.select(
-        "node_id", "ts", heartbeat_parts(F.element_at(F.split("path", "/"), -1))["services"].alias("services")
-    )
-    out = to_table(fx, liveness_periods(named, HEARTBEAT_TIMEOUT), "liveness-periods")
+    """Periods of liveness: those that ended, from the stream, and those still open."""
+    def named(events: DataFrame) -> DataFrame:
+        services = heartbeat_parts(F.element_at(F.split("path", "/"), -1))["services"]
+        return fx.heartbeat_rows(events).select("node_id", "ts", services.alias("services"))
+
+    def periods(rows: DataFrame) -> DataFrame:
+        return liveness_periods(rows, HEARTBEAT_TIMEOUT)
+
+    ended = to_table(fx, periods(named(streamed(fx, "events"))), "liveness-periods")
+    out = to_the_end(ended, named(fx.table("events")), "node_id", "down_at", periods)
     return naive(out, "up_at", "down_at").withColumn("services", F.array_join("services", ","))
 
 
@@ -172,10 +179,17 @@ def sm4(fx: Fixtures) -> DataFrame:
 
 @query(
     "sm6_lease_periods",
-    f"""SELECT user_id AS pin_id, start_ts AS held_from, make_timestamp(epoch_us(last_ts) + {LEASE_SECONDS}000000) AS lapses_at, n AS refreshes FROM fx_session WHERE epoch_us(last_ts) + {LEASE_SECONDS}000000 - 1 <= ({CLOSED})""",
+    f"""SELECT user_id AS pin_id, start_ts AS held_from, {end_sql(LEASE_SECONDS)} AS lapses_at, n AS refreshes FROM fx_session""",
     {"fx_session": sessions_sql("events", "user_id", LEASE_SECONDS * 1_000_000)},
 )
 def sm6(fx: Fixtures) -> DataFrame:
     """Stretches over which each pin was kept alive, with events as refreshes."""
-    refreshes = streamed(fx, "events").select(F.col("user_id").alias("pin_id"), "ts")
-    return naive(to_table(fx, lease_periods(refreshes, LEASE_SECONDS), "leases"), "held_from", "lapses_at")
+    def refreshes(events: DataFrame) -> DataFrame:
+        return events.select(F.col("user_id").alias("pin_id"), "ts")
+
+    def periods(rows: DataFrame) -> DataFrame:
+        return lease_periods(rows, LEASE_SECONDS)
+
+    lapsed = to_table(fx, periods(refreshes(streamed(fx, "events"))), "leases")
+    out = to_the_end(lapsed, refreshes(fx.table("events")), "pin_id", "lapses_at", periods)
+    return naive(out, "held_from", "lapses_at")

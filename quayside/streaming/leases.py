@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quayside.streaming.liveness import LATENESS
 
-def lease_periods(refreshes: DataFrame, lifetime_seconds: int, lateness: str = "0 seconds") -> DataFrame:
+
+def lease_periods(refreshes: DataFrame, lifetime_seconds: int, lateness: str = LATENESS) -> DataFrame:
     """(pin_id, held_from, lapses_at, refreshes) per unbroken stretch.
 
     ``refreshes`` is a stream (or table) of (pin_id, ts): its creation and every

@@ -11,10 +11,12 @@ from quayside.functions.predicates import age_micros, is_live
 from quayside.streaming.state import StateTable
 
 _STATE = "node_id string, services array<string>, last_modified timestamp, location string, deleted boolean, live boolean"
+# How late a row may arrive and still be counted by a stream of periods.
+LATENESS = "1 hour"
 _EVENTS = "node_id string, change string, at timestamp, services array<string>"
 
 
-def liveness_periods(heartbeats: DataFrame, timeout_seconds: int, lateness: str = "0 seconds") -> DataFrame:
+def liveness_periods(heartbeats: DataFrame, timeout_seconds: int, lateness: str = LATENESS) -> DataFrame:
     """(node_id, up_at, down_at, heartbeats, services) per uninterrupted period.
 
     ``heartbeats`` is a stream (or table) of (node_id, ts, services). A node
@@ -39,6 +41,22 @@ def liveness_periods(heartbeats: DataFrame, timeout_seconds: int, lateness: str
     )
 
 
+def to_the_end(emitted: DataFrame, rows: DataFrame, key: str, end: str, periods: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All periods up to now: what a stream has emitted, and what it still holds.
+
+    ``rows`` are the stream's input as a table (``key``, ts, ...) and
+    ``periods`` is the function that the stream applied. The periods after the
+    last emitted one of a key are made from its later rows, also for a key all
+    of whose rows came too late for the watermark. A period that has not ended
+    at the newest row has a NULL ``end``.
+    """
+    done = emitted.groupBy(key).agg(F.max(end).alias("_done"))
+    later = rows.join(done, key, "left").filter(F.col("_done").isNull() | (F.col("ts").cast("timestamp") >= F.col("_done")))
+    newest = rows.agg(F.max(F.col("ts").cast("timestamp"))).scalar()
+    held = periods(later.drop("_done"))
+    return emitted.unionByName(held.withColumn(end, F.when(F.col(end) <= newest, F.col(end))))
+
+
 class LivenessTicks:
     """Up, down and role changes between consecutive looks at the fleet.
 

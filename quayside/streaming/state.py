@@ -40,7 +40,9 @@ class StateTable:
     def everything(self) -> DataFrame:
         """All versions with their ``micro_batch``: the full output of an append-only table."""
         with_version = T.StructType([*self.schema.fields, T.StructField("micro_batch", T.LongType())])
-        return self.spark.read.schema(with_version).parquet(self.path)
+        # Without a first version there is no folder yet.
+        self.spark.createDataFrame([], self.schema).write.mode("append").parquet(f"{self.path}/micro_batch=-1")
+        return self.spark.read.schema(with_version).parquet(self.path).filter("micro_batch >= 0")
 
     def latest(self) -> DataFrame:
         """The newest version."""
