@@ -573,17 +573,35 @@ def jn9(fx: Fixtures) -> DataFrame:
     )
 
 
+def after_commit(views: dict[str, str]) -> dict[str, str]:
+    """The same views over the target as the pass leaves it."""
+    out = {
+        "fx_new_manifest": "SELECT * FROM fx_dst_manifest UNION ALL BY NAME SELECT s.*, c.target, true AS readable FROM fx_src_manifest s JOIN fx_commit c USING (db_key, manifest_id)",
+        "fx_new_head": "SELECT db_key, target, max(manifest_id) AS watermark FROM fx_new_manifest GROUP BY db_key, target",
+        "fx_new_cp": "SELECT c.* FROM fx_checkpoint c SEMI JOIN fx_new_manifest m USING (db_key, manifest_id)",
+        "fx_new_object": f"SELECT * FROM fx_dst_object UNION ALL BY NAME SELECT db_key, target, kind, object_name, CASE WHEN kind = 'wal' THEN CAST(regexp_extract(object_name, '([0-9]+)', 1) AS BIGINT) END AS wal_id, TIMESTAMP '{MIRROR_NOW}' AS last_modified FROM fx_copy",
+    }
+    for name, sql in views.items():
+        for part in ("manifest", "head", "cp", "object"):
+            sql = sql.replace(f"fx_dst_{part}", f"fx_new_{part}")
+        out[name] = sql
+    return out
+
+
 @query(
     "jb10_sync_and_prune_summary",
     f"""SELECT c.db_key, c.target, c.class, c.head, c.class IN ('copy and commit', 'commit only') AS committed, coalesce(m.n, 0) AS manifests_committed, coalesce(o.n, 0) AS objects_copied, coalesce(o.b, 0) AS bytes_copied, coalesce(d.pm, 0) AS pruned_manifests, coalesce(d.po, 0) AS pruned_objects
     FROM fx_class c LEFT JOIN (SELECT db_key, count(*) AS n FROM fx_commit GROUP BY 1) m USING (db_key) LEFT JOIN (SELECT db_key, count(*) AS n, CAST(sum({SIZE}) AS BIGINT) AS b FROM fx_copy GROUP BY 1) o USING (db_key)
     LEFT JOIN (SELECT db_key, count(*) FILTER (WHERE kind = 'manifest') AS pm, count(*) FILTER (WHERE kind <> 'manifest') AS po FROM fx_decision WHERE decision = 'delete' GROUP BY 1) d USING (db_key)""",
-    {**SYNC_VIEWS, **PRUNE_VIEWS},
+    {**SYNC_VIEWS, **after_commit(PRUNE_VIEWS)},
 )
 def jb10(fx: Fixtures) -> DataFrame:
     """One row per pair: the pass and the prune that follows it."""
     listing = sizes(fx.source.objects.select("db_key", "kind", "object_name").distinct())
-    return mirror.sync_summary(sync(fx), prune(fx), listing)
+    plan = sync(fx)
+    dest, objects = mirror.committed_state(fx.source, fx.dest, fx.dst_object, plan.commits, plan.copies, fx.mirror_now)
+    decisions = retention.prune_plan(fx.source, dest, objects, fx.retention_policy, fx.mirror_now)
+    return mirror.sync_summary(plan, decisions, listing)
 
 
 # ------------------------------------------------------------------ audits

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quayside.functions.names import object_class
 from quayside.operators.ordered import row_number_by
 from quayside.operators.sets import looked_up
 from quayside.operators.snapshot import (
@@ -170,6 +171,34 @@ def sync_plan(source: Catalog, dest: Catalog, dest_listing: DataFrame, pairs: Da
     return SyncPlan(classified, copies, commit_order(to_commit, PAIR))
 
 
+def committed_state(source: Catalog, dest: Catalog, dest_listing: DataFrame, commits: DataFrame, copies: DataFrame,
+                    now: Column) -> tuple[Catalog, DataFrame]:
+    """The target and its listing once a plan's copies and commits are done.
+
+    A committed manifest is readable and keeps the time of its source; a copied object is
+    as old as ``now``.
+    """
+    done = commits.select(*PAIR, "manifest_id")
+
+    def from_source(rows: DataFrame) -> DataFrame:
+        return rows.join(done, ["db_key", "manifest_id"])
+
+    manifests = from_source(source.manifests)
+    if "readable" in dest.manifests.columns:
+        manifests = manifests.withColumn("readable", F.lit(True))
+    parts = object_class(F.concat(F.lit("/"), F.col("object_name")))
+    added = copies.select(
+        *PAIR, "kind", "object_name", F.when(F.col("kind") == "wal", parts["id"].cast("bigint")).alias("wal_id"),
+        now.alias("last_modified"),
+    )
+    merged = Catalog(
+        dest.manifests.unionByName(manifests, allowMissingColumns=True),
+        dest.objects.unionByName(from_source(source.objects), allowMissingColumns=True),
+        dest.checkpoints.unionByName(from_source(source.checkpoints), allowMissingColumns=True),
+    )
+    return merged, dest_listing.unionByName(added, allowMissingColumns=True)
+
+
 def sync_summary(plan: SyncPlan, prune_decisions: DataFrame | None = None,
                  source_listing: DataFrame | None = None) -> DataFrame:
     """One row per pair: head, committed or not, and what is copied and pruned.

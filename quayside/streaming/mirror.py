@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.operators.snapshot import Catalog
-from quayside.plans.mirror import PAIR, sync_plan
+from quayside.plans.mirror import PAIR, committed_state, sync_plan
 from quayside.streaming.state import StateTable
 
 _COPIES = "db_key bigint, target string, kind string, object_name string"
@@ -36,18 +36,7 @@ class ContinuousMirror:
         done = self.commits.everything().filter(F.col("micro_batch") < batch_id).select(*PAIR, "manifest_id")
         copied = self.copies.everything().filter(F.col("micro_batch") < batch_id)
 
-        def from_source(rows: DataFrame) -> DataFrame:
-            return rows.join(done, ["db_key", "manifest_id"])
-
-        merged = replace(
-            self.dest,
-            manifests=self.dest.manifests.unionByName(from_source(self.source.manifests), allowMissingColumns=True),
-            objects=self.dest.objects.unionByName(from_source(self.source.objects)),
-            checkpoints=self.dest.checkpoints.unionByName(
-                from_source(self.source.checkpoints), allowMissingColumns=True
-            ),
-        )
-        return merged, self.listing.unionByName(copied.drop("micro_batch"), allowMissingColumns=True)
+        return committed_state(self.source, self.dest, self.listing, done, copied, self.now)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         """``batch`` is (db_key, manifest_id): manifests that appeared at sources."""
