@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quayside.functions.names import compacted_name, wal_name
 from quayside.operators.snapshot import Catalog, window_objects
 
-HEARTBEAT_NOW = "2024-01-20 00:00:00"
+HEARTBEAT_NOW = "2024-01-30 18:00:00"
 HEARTBEAT_TIMEOUT = 36_000
 MIRROR_NOW = "2001-08-01 00:00:00"
 KEEP_SECONDS = 100 * 86_400.0

@@ -469,7 +469,7 @@ def jb7(fx: Fixtures) -> DataFrame:
     """SELECT db_url, service, target, string_agg(node_id, ',' ORDER BY node_id) FILTER (WHERE early) AS lost, string_agg(node_id, ',' ORDER BY node_id) FILTER (WHERE late) AS gained
     FROM (SELECT db_url, service, target, node_id, before <= k AS early, after <= k AS late FROM
       (SELECT *, CASE WHEN a THEN row_number() OVER (PARTITION BY db_url, service, target ORDER BY NOT a, score DESC, node_id) ELSE 999999 END AS before, CASE WHEN b THEN row_number() OVER (PARTITION BY db_url, service, target ORDER BY NOT b, score DESC, node_id) ELSE 999999 END AS after
-       FROM (SELECT s.*, epoch_us(TIMESTAMP '2024-01-19 21:00:00') - epoch_us(n.last_modified) < 18000000000 AS a, kind AS b FROM fx_scored s JOIN fx_node n USING (node_id))))
+       FROM (SELECT s.*, epoch_us(TIMESTAMP '2024-01-30 15:00:00') - epoch_us(n.last_modified) < 18000000000 AS a, kind AS b FROM fx_scored s JOIN fx_node n USING (node_id))))
     WHERE early <> late GROUP BY db_url, service, target""",
     PLACEMENT_VIEWS,
 )
@@ -477,7 +477,7 @@ def sm8(fx: Fixtures) -> DataFrame:
     """Ownership changes between an earlier, stricter view of liveness and now."""
     youngest = liveness.youngest_per_node(entries(fx))
     earlier = youngest.filter(
-        F.unix_micros(F.lit("2024-01-19 21:00:00").cast("timestamp"))
+        F.unix_micros(F.lit("2024-01-30 15:00:00").cast("timestamp"))
         - F.unix_micros(F.col("last_modified").cast("timestamp")) < F.lit(18_000_000_000)
     )
     before, after = placement.rank_nodes(wanted(fx), earlier), ranked(fx)
