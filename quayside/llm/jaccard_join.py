@@ -18,8 +18,8 @@ H. Whether a segment is "almost empty" depends on what is in it and on the
 band alone, hence both sets of a pair decide alike.
 
 Signatures are combined inside each map task, as counts would be: of the sets
-of a task that share a signature one goes on, and is tied to the others by a
-signature of their own. A signature of a third of all rows thus arrives as
+of a task that are connected by signatures one stands for all, and is tied to
+the others by a signature of their own. A signature of a third of all rows thus arrives as
 one row per task. Sets that share signatures form candidate clusters; the
 words of their documents are read again, and every cluster is linked exactly
 in blocks of bounded size. A task of blocks compares sets in memory and
@@ -55,7 +55,7 @@ SPARSE = 0.25
 # Signatures that a task holds before it combines and hands them on.
 HELD_SIGNATURES = 1_000_000
 # Bounds of one block: documents and tokens.
-BLOCK_SETS, BLOCK_TOKENS = 1_500, 1_500_000
+BLOCK_SETS, BLOCK_TOKENS = 256, 1_500_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -152,15 +152,36 @@ def signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def combined(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row per signature, and a signature of their own for each pair that shared one."""
+    """One row per signature, and a signature of their own for each tie between sets that shared one.
+
+    Ties are a spanning forest: a set is tied once to the smallest set of the
+    task that it is connected with, and that one stands for it everywhere else.
+    """
     order = np.lexsort((classes, keys))
     keys, classes = keys[order], classes[order]
     first = np.concatenate([[True], keys[1:] != keys[:-1]])
     hub = classes[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-    tied = np.flatnonzero(~first & (classes != hub))
-    pairs = np.unique(np.stack([hub[tied], classes[tied]], axis=1), axis=0) if len(tied) else np.empty((0, 2), np.int64)
-    own = mixed(mixed(pairs[:, 0].astype(np.uint64)) ^ pairs[:, 1].astype(np.uint64))
-    return np.concatenate([keys[first], own, own]), np.concatenate([classes[first], pairs[:, 0], pairs[:, 1]])
+    shared = np.flatnonzero(~first & (classes != hub))
+    root: dict[int, int] = {}
+
+    def find(of: int) -> int:
+        while (up := root.get(of, of)) != of:
+            root[of] = of = root.get(up, up)
+        return of
+
+    pairs = np.unique(np.stack([hub[shared], classes[shared]], axis=1), axis=0) if len(shared) else np.empty((0, 2), np.int64)
+    for one, other in pairs.tolist():
+        low, high = sorted((find(one), find(other)))
+        root.setdefault(low, low)
+        root[high] = low
+    tied = np.array(sorted((find(member), member) for member in root), dtype=np.int64).reshape(-1, 2)
+    own = mixed(mixed(tied[:, 0].astype(np.uint64)) ^ tied[:, 1].astype(np.uint64))
+    standing = classes[first]
+    if len(tied):
+        by_member = tied[np.argsort(tied[:, 1])]
+        at = np.minimum(np.searchsorted(by_member[:, 1], standing), len(by_member) - 1)
+        standing = np.where(by_member[at, 1] == standing, by_member[at, 0], standing)
+    return np.concatenate([keys[first], own, own]), np.concatenate([standing, tied[:, 0], tied[:, 1]])
 
 
 def linked(sets: list[np.ndarray], percent: int) -> list[int]:
@@ -260,8 +281,9 @@ def links(docs: DataFrame, members: DataFrame, k: int, percent: int, id_col: str
     texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("text"))
     own = F.pmod(F.xxhash64("class"), F.col("blocks"))
     # A cluster of several blocks is compared block against block; a set goes to each pair with its block.
+    # The texts are always shuffled to their members, whose number grows with the corpus.
     rows = (
-        placed.join(texts, F.col("id").eqNullSafe(F.col("_id"))).withColumn("own", own)
+        placed.join(texts.hint("merge"), F.col("id").eqNullSafe(F.col("_id"))).withColumn("own", own)
         .withColumn("other", F.explode(F.when(F.col("blocks") < 3, F.array(F.lit(0).cast("bigint"))).otherwise(
             F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda block: block != own))))
         .select(
