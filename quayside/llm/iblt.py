@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraphs: at line ends, at sentence ends, and after
-``LONGEST`` characters without either. The distinct 64-bit digests of the
+A text is cut into paragraphs: at line ends, and within long lines at the
+first sentence end after ``LEAST`` characters, or ``LEAST`` characters later. The distinct 64-bit digests of the
 paragraphs are put into cells, each digest into one cell of each of three
 tables; a cell holds the number of its digests, their XOR and the XOR of a
 check of each. Subtracting the cells of two versions leaves the digests in
@@ -28,14 +28,16 @@ last. A single document follows itself.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.llm.common import whole_text
 from quayside.session import settle
 
-LONGEST = 240
-PARAGRAPH = rf"[^.!?\n]{{1,{LONGEST}}}+[.!?\n]*+|[.!?\n]++"
+LEAST = 160
+PARAGRAPH = rf"[^\n]{{1,{LEAST}}}+[^.!?\n]{{0,{LEAST}}}+[.!?]*+\n*+|\n++"
 
 # Cells per table: of the stored fingerprint, and of the groups at the first try and the retries.
 STORED = 8
@@ -77,13 +79,14 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def sketch(keys: Column, width: int) -> Column:
-    """Three tables of ``width`` cells each, one after the other."""
+def sketch(keys: Column, width: int, signed: bool = False) -> Column:
+    """Three tables of ``width`` cells each, one after the other; of digests, or of digests with a sign."""
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("keys"), F.lit(0).cast("bigint").alias("checks"))
 
     def of(table: int) -> Column:
         return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint")), lambda place: F.aggregate(
-            F.filter(keys, lambda key: _place(key, table, width) == place), empty, lambda cell, key: _put(cell, F.lit(1), key)
+            F.filter(keys, lambda key: _place(key["key"] if signed else key, table, width) == place), empty,
+            lambda cell, key: _put(cell, key["n"], key["key"]) if signed else _put(cell, F.lit(1), key),
         ))
 
     return F.concat(of(0), of(1), of(2))
@@ -131,11 +134,20 @@ def peel(cells: Column, width: int) -> Column:
     )
 
 
-def _decoded(one: Column, other: Column) -> Column:
-    """Differing digests of one group: peeled at growing sizes, compared if all get stuck."""
-    exact = F.size(F.array_except(one, other)) + F.size(F.array_except(other, one))
-    tries = [peel(subtract(sketch(one, width), sketch(other, width)), width) for width in GROUP_SIZES]
-    return F.when((F.size(one) == 0) | (F.size(other) == 0), F.size(one) + F.size(other)).otherwise(F.coalesce(*tries, exact))
+def _decoded(pairs: Column) -> Column:
+    """Differing digests of one group of signed digests: peeled at growing sizes, compared if all get stuck.
+
+    Digests of the other version enter the cells with a minus, which is the
+    sketch of one version less that of the other. A group of one version only
+    has nothing to cancel.
+    """
+    def of(sign: int) -> Column:
+        return F.transform(F.filter(pairs, lambda p: p["n"] == sign), lambda p: p["key"])
+
+    exact = F.size(F.array_except(of(1), of(-1))) + F.size(F.array_except(of(-1), of(1)))
+    tries = [peel(sketch(pairs, width, signed=True), width) for width in GROUP_SIZES]
+    balance = F.aggregate(pairs, F.lit(0), lambda total, p: total + p["n"])
+    return F.when(F.abs(balance) == F.size(pairs), F.size(pairs)).otherwise(F.coalesce(*tries, exact))
 
 
 def retried(one: Column, other: Column) -> Column:
@@ -146,30 +158,38 @@ def retried(one: Column, other: Column) -> Column:
     """
     total = F.size(one) + F.size(other)
     bits = F.least(F.ceil(F.log2(F.greatest(total / GROUP_DIGESTS, F.lit(1.0)))).cast("int"), F.lit(MOST_GROUP_BITS))
-    high, low = F.ceil(bits / 2).cast("int"), F.floor(bits / 2).cast("int")
+
+    def power(exponent: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), exponent)
 
     def numbers(count: Column) -> Column:
-        return F.sequence(F.lit(0).cast("bigint"), F.call_function("shiftleft", F.lit(1).cast("bigint"), count) - 1)
+        return F.sequence(F.lit(0).cast("bigint"), count - 1)
 
-    def within(pair: Column) -> Column:
+    def within(low: Column, pairs: Column) -> Column:
         def group(so_far: Column, number: Column) -> Column:
-            def belongs(key: Column) -> Column:
-                return F.pmod(key, F.call_function("shiftleft", F.lit(1).cast("bigint"), low)) == number
-
-            parts = F.struct(F.filter(pair["one"], belongs).alias("one"), F.filter(pair["other"], belongs).alias("other"))
-            return so_far + _let(parts, lambda p: _decoded(p["one"], p["other"])).cast("bigint")
+            here = F.filter(pairs, lambda p: F.pmod(p["key"], low) == number)
+            return so_far + _let(here, _decoded).cast("bigint")
 
         return F.aggregate(numbers(low), F.lit(0).cast("bigint"), group)
 
-    def outer(so_far: Column, number: Column) -> Column:
-        def belongs(key: Column) -> Column:
-            wide = F.pmod(key, F.call_function("shiftleft", F.lit(1).cast("bigint"), bits))
-            return F.call_function("shiftright", wide, low) == number
+    def groups(given: Column) -> Column:
+        low, high = given["low"], given["high"]
+
+        def outer(so_far: Column, number: Column) -> Column:
+            here = F.filter(given["pairs"], lambda p: F.pmod(p["key"], low * high).between(number * low, (number + 1) * low - 1))
+            return so_far + _let(here, partial(within, low))
+
+        return F.aggregate(numbers(high), F.lit(0).cast("bigint"), outer)
+
+    def signs(keys: Column, sign: int) -> Column:
+        return F.transform(keys, lambda key: F.struct(F.lit(sign).alias("n"), key.alias("key")))
 
-        parts = F.struct(F.filter(one, belongs).alias("one"), F.filter(other, belongs).alias("other"))
-        return so_far + _let(parts, within)
+    def given(bits: Column) -> Column:
+        # Powers of two are made once per row, not once per digest.
+        low, high = power(F.floor(bits / 2).cast("int")), power(F.ceil(bits / 2).cast("int"))
+        return F.struct(low.alias("low"), high.alias("high"), F.concat(signs(one, 1), signs(other, -1)).alias("pairs"))
 
-    return F.aggregate(numbers(high), F.lit(0).cast("bigint"), outer)
+    return _let(_let(bits, given), groups)
 
 
 def likeness(one: Column, other: Column, one_sketch: Column, other_sketch: Column) -> Column:
@@ -178,7 +198,7 @@ def likeness(one: Column, other: Column, one_sketch: Column, other_sketch: Colum
     near = F.abs(F.size(one) - F.size(other)) <= 3 * STORED
     apart = F.coalesce(F.when(near, peel(subtract(one_sketch, other_sketch), STORED)), retried(one, other))
     total = F.size(one) + F.size(other)
-    return F.when(total == 0, F.lit(1.0)).otherwise((total - apart) / (total + apart)).cast("double")
+    return F.when(total == 0, F.lit(1.0)).otherwise(_let(apart, lambda d: (total - d) / (total + d))).cast("double")
 
 
 def as_text(keys: Column, cells: Column) -> Column:

@@ -11,7 +11,7 @@ SF_DIR = "/root/testdata/sf0.01"
 
 
 def cut(text):
-    return set(re.findall(r"[^.!?\n]{1,240}[.!?\n]*|[.!?\n]+", text or ""))
+    return set(re.findall(r"[^\n]{1,160}[^.!?\n]{0,160}[.!?]*\n*|\n+", text or ""))
 
 
 def jaccard(a, b):
@@ -62,7 +62,7 @@ def test_hard_texts_and_sparse_ids(spark, monkeypatch):
 
 
 def test_repeated_single_and_no_rows(spark):
-    one = spark.createDataFrame([(4, "One. Two. Three.")], "doc_id bigint, text string")
+    one = spark.createDataFrame([(4, "One.\nTwo.\nThree.")], "doc_id bigint, text string")
     row = iblt.compared(one).first()
     assert row["near_next"] == 1.0 and row["fingerprint"].startswith("3|")
     twice = one.union(one).union(spark.createDataFrame([(None, "Four.")], "doc_id bigint, text string"))
