@@ -47,8 +47,9 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    words = pseudo_likelihood.vocabulary(docs)
-    return pseudo_likelihood.score(docs, words, pseudo_likelihood.train(docs, words))
+    counts = pseudo_likelihood.word_counts(docs)
+    words = pseudo_likelihood.vocabulary(docs, counts=counts)
+    return pseudo_likelihood.score(docs, words, pseudo_likelihood.train(docs, words), counts=counts)
 
 
 def _scored(scores: DataFrame, folds: int, held_fold: int) -> DataFrame:

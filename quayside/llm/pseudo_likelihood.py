@@ -4,11 +4,14 @@ Words are mapped to codes: the most frequent words of the corpus have one
 each, all others share codes by a hash of their ending. A small network reads
 the codes of the words around a place, two on each side, adds what it has
 learned of them per position, squashes the sum and predicts the code that
-stands there in two steps, its upper and its lower half. The sum of the
-conditional log-probabilities of all words is the pseudo-log-likelihood of a
-document.
-
-The vocabulary is counted over all documents by Spark. Training reads every
+stands there in two steps, its upper and its lower half. A word that shares
+its code gets the probability of the code times the word's share in it, by the
+counts of all words of the corpus. The sum of the conditional
+log-probabilities of all words is the pseudo-log-likelihood of a document.
+
+All words are counted over all documents by Spark. The counts stay a written
+table, which grows with the corpus; the words of a document that share codes
+are joined to it. Training reads every
 document once: in each of ``rounds`` rounds a part of the documents, dealt by
 hash, is trained on in parallel, every task from the same parameters, and the
 tasks' parameters are averaged by the number of words they have seen. The
@@ -17,21 +20,25 @@ Spark, per slice of the parameters.
 
 Defined results: a null or empty text has no words, the likelihood 0 and the
 perplexity 1. A table without words gives the scores of an untrained model.
+A word that was not counted has a share as if it were one more of all the
+words that share codes.
 Scores depend slightly on how tasks are cut, since averages do.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm.common import ready, whole_text
 from quayside.llm.linear import Remembered
+from quayside.session import settle
 
 HALF = 32
 CODES = HALF * HALF
@@ -68,17 +75,19 @@ def unpacked(values: np.ndarray) -> dict[str, np.ndarray]:
 
 
 class Coder:
-    """Texts to arrays of codes."""
+    """Texts in small letters to arrays of codes."""
 
     def __init__(self, vocabulary: list[str]):
         known = {word.encode(): 1 + i for i, word in enumerate(vocabulary)}
         shared = CODES - 1 - OWN
         self.of_word = Remembered(lambda w: known.get(w) or 1 + OWN + xxhash.xxh32_intdigest(w[-3:]) % shared)
 
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.lower().encode().split()
+    def of_words(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.of_word.__getitem__, words), dtype=np.int64, count=len(words))
 
+    def __call__(self, text: str) -> np.ndarray:
+        return self.of_words(text.encode().split())
+
 
 def contexts(codes: np.ndarray) -> np.ndarray:
     """Rows of the table ``around`` for every place, one column per offset."""
@@ -150,19 +159,44 @@ class Trainer:
         self._rows_step("around", around.ravel(order="F"), np.tile(back, (around.shape[1], 1)))
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """The ``OWN`` most frequent words of all documents, in small letters."""
-    words = docs.select(F.explode(F.split(F.lower(whole_text(text_col)), r"[\x20\x09-\x0D]+")).alias("word"))
-    counted = words.filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def small_letters(text_col: str) -> Column:
+    """The whole text as it is counted and scored. Spark lowers it in both places, so that no word has two forms."""
+    return F.lower(whole_text(text_col))
+
+
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Every word of all documents and how often it occurs, as a written table."""
+    words = docs.select(F.explode(F.split(small_letters(text_col), r"[\x20\x09-\x0D]+")).alias("word"))
+    return settle(words.filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text", counts: DataFrame | None = None) -> list[str]:
+    """The ``OWN`` most frequent words of all documents, in small letters: those with a code of their own."""
+    counted = word_counts(docs, text_col) if counts is None else counts
     return [row["word"] for row in counted.orderBy(F.desc("n"), "word").limit(OWN).collect()]
 
 
+def log_shares(counts: DataFrame, words: list[str]) -> tuple[DataFrame, float]:
+    """Per word that shares its code, the logarithm of its share in the code; and that of a word not counted."""
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = Coder(words)
+        for batch in batches:
+            yield batch.assign(code=coder.of_words([word.encode() for word in batch["word"]]))
+
+    shared = settle(counts.mapInPandas(coded, "word string, n bigint, code bigint").filter(F.col("code") > OWN), "shared")
+    # One row per shared code.
+    totals = shared.groupBy("code").agg(F.sum("n").alias("total"))
+    everything = shared.agg(F.sum("n")).first()[0] or 0
+    shares = shared.join(F.broadcast(totals), "code").select("word", F.log(F.col("n") / F.col("total")).alias("log_share"))
+    return shares, -float(np.log(everything + 1))
+
+
 def train(docs: DataFrame, words: list[str], rounds: int = 2, text_col: str = "text") -> np.ndarray:
     """The packed parameters after one reading of all documents."""
     spark = docs.sparkSession
     ready(spark)
     values = packed(start())
-    texts = docs.select(whole_text(text_col).alias("text")).filter("text <> ''")
+    texts = docs.select(small_letters(text_col).alias("text")).filter("text <> ''")
     for number in range(rounds):
         shared = spark.sparkContext.broadcast(values)
 
@@ -200,23 +234,41 @@ def train(docs: DataFrame, words: list[str], rounds: int = 2, text_col: str = "t
     return values
 
 
-def score(docs: DataFrame, words: list[str], values: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``n_tokens``, ``log_likelihood`` of the whole text and ``perplexity`` per word."""
+def score(
+    docs: DataFrame, words: list[str], values: np.ndarray, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None
+) -> DataFrame:
+    """Per row: id, ``n_tokens``, ``log_likelihood`` of the whole text and ``perplexity`` per word.
+
+    ``counts`` are the :func:`word_counts` of the corpus, without them those of ``docs``.
+    """
     spark = docs.sparkSession
     ready(spark)
+    shares, not_counted = log_shares(word_counts(docs, text_col) if counts is None else counts, words)
     shared = spark.sparkContext.broadcast(values)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, parameters = Coder(words), unpacked(shared.value)
         for batch in batches:
-            codes = [coder(text) for text in batch["text"]]
-            sums = np.array([log_probabilities(parameters, c).sum() for c in codes])
-            counts = np.array([len(c) for c in codes], dtype="int64")
-            yield pd.DataFrame({
-                "id": batch["id"], "n_tokens": counts, "log_likelihood": sums,
-                "perplexity": np.exp(-sums / np.maximum(counts, 1)),
-            })
-
-    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+            rows = []
+            for text in batch["text"]:
+                found = text.encode().split()
+                codes = coder.of_words(found)
+                rare = Counter(found[at] for at in np.flatnonzero(codes > OWN).tolist())
+                rows.append((len(codes), log_probabilities(parameters, codes).sum(), [w.decode() for w in rare], list(rare.values())))
+            out = pd.DataFrame(rows, columns=["n_tokens", "of_codes", "rare", "times"])
+            out.insert(0, "id", batch["id"].array)
+            yield out
+
+    rows = docs.select(F.col(id_col).alias("id"), small_letters(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, n_tokens bigint, log_likelihood double, perplexity double").withColumnRenamed("id", id_col)
+    measured = rows.mapInPandas(run, f"id {kind}, n_tokens bigint, of_codes double, rare array<string>, times array<int>")
+    # Ids may be missing or repeated, so rows are numbered; the number is kept by writing it.
+    measured = settle(measured.withColumn("row", F.monotonically_increasing_id()), "measured")
+    rare = measured.select("row", F.explode(F.arrays_zip("rare", "times")).alias("of")).select("row", F.col("of.rare").alias("word"), F.col("of.times").alias("times"))
+    within = rare.join(shares, "word", "left").groupBy("row").agg(
+        F.sum(F.col("times") * F.coalesce("log_share", F.lit(not_counted))).alias("of_shares")
+    )
+    total = F.col("of_codes") + F.coalesce("of_shares", F.lit(0.0))
+    return measured.join(within, "row", "left").select(
+        F.col("id").alias(id_col), "n_tokens", total.alias("log_likelihood"), F.exp(-total / F.greatest("n_tokens", F.lit(1))).alias("perplexity")
+    )
