@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraphs: at line ends, and within long lines at the
-first sentence end after ``LEAST`` characters, or ``LEAST`` characters later. The distinct 64-bit digests of the
+A text is cut into paragraphs: at line ends, at sentence ends, and after
+``LONGEST`` characters without either. The distinct 64-bit digests of the
 paragraphs are put into cells, each digest into one cell of each of three
 tables; a cell holds the number of its digests, their XOR and the XOR of a
 check of each. Subtracting the cells of two versions leaves the digests in
@@ -18,8 +18,10 @@ its digests. The likeness of two texts is the Jaccard similarity of their
 digest sets, which follows from the set sizes and the number of recovered
 digests.
 
-All of this is made of DataFrame expressions in one row; the only shuffle
-brings the texts into the order of their ids.
+Fingerprints alone are made of DataFrame expressions. Comparing versions takes
+many small sketches a row; it is done in Python, row by row, inside the
+partitions, with the same digests and cells. The only shuffle brings the texts
+into the order of their ids.
 
 Defined results: a null or empty text has no digests; two of them have the
 likeness 1. Rows with equal ids are ordered by text; rows without an id come
@@ -28,16 +30,23 @@ last. A single document follows itself.
 
 from __future__ import annotations
 
-from functools import partial
+import math
+import re
+from collections import defaultdict
+from collections.abc import Iterator
 
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import whole_text
+from quayside.llm.common import ready, whole_text
 from quayside.session import settle
 
-LEAST = 160
-PARAGRAPH = rf"[^\n]{{1,{LEAST}}}+[^.!?\n]{{0,{LEAST}}}+[.!?]*+\n*+|\n++"
+LONGEST = 240
+PARAGRAPH = rf"[^.!?\n]{{1,{LONGEST}}}+[.!?\n]*+|[.!?\n]++"
+# The seed of Spark's xxhash64.
+SEED = 42
 
 # Cells per table: of the stored fingerprint, and of the groups at the first try and the retries.
 STORED = 8
@@ -79,14 +88,13 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def sketch(keys: Column, width: int, signed: bool = False) -> Column:
-    """Three tables of ``width`` cells each, one after the other; of digests, or of digests with a sign."""
+def sketch(keys: Column, width: int) -> Column:
+    """Three tables of ``width`` cells each, one after the other."""
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("keys"), F.lit(0).cast("bigint").alias("checks"))
 
     def of(table: int) -> Column:
         return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint")), lambda place: F.aggregate(
-            F.filter(keys, lambda key: _place(key["key"] if signed else key, table, width) == place), empty,
-            lambda cell, key: _put(cell, key["n"], key["key"]) if signed else _put(cell, F.lit(1), key),
+            F.filter(keys, lambda key: _place(key, table, width) == place), empty, lambda cell, key: _put(cell, F.lit(1), key)
         ))
 
     return F.concat(of(0), of(1), of(2))
@@ -134,85 +142,96 @@ def peel(cells: Column, width: int) -> Column:
     )
 
 
-def _decoded(pairs: Column) -> Column:
-    """Differing digests of one group of signed digests: peeled at growing sizes, compared if all get stuck.
-
-    Digests of the other version enter the cells with a minus, which is the
-    sketch of one version less that of the other. A group of one version only
-    has nothing to cancel.
-    """
-    def of(sign: int) -> Column:
-        return F.transform(F.filter(pairs, lambda p: p["n"] == sign), lambda p: p["key"])
-
-    exact = F.size(F.array_except(of(1), of(-1))) + F.size(F.array_except(of(-1), of(1)))
-    tries = [peel(sketch(pairs, width, signed=True), width) for width in GROUP_SIZES]
-    balance = F.aggregate(pairs, F.lit(0), lambda total, p: total + p["n"])
-    return F.when(F.abs(balance) == F.size(pairs), F.size(pairs)).otherwise(F.coalesce(*tries, exact))
+def as_text(keys: Column, cells: Column) -> Column:
+    """A fingerprint as text: the number of digests, then every cell."""
+    return F.concat_ws("|", F.size(keys).cast("string"), F.array_join(F.transform(
+        cells, lambda c: F.concat_ws(".", c["n"].cast("string"), F.hex(c["keys"]), F.hex(c["checks"]))
+    ), "|"))
 
 
-def retried(one: Column, other: Column) -> Column:
-    """Differing digests by a larger sketch: groups of digests with a sketch each.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, ``digests``, ``cells`` and ``fingerprint`` of the whole text."""
+    rows = docs.select(F.col(id_col), digests(whole_text(text_col)).alias("digests"))
+    rows = rows.withColumn("cells", sketch(F.col("digests"), STORED))
+    return rows.withColumn("fingerprint", as_text(F.col("digests"), F.col("cells")))
 
-    Groups are cut in two steps, by half of the bits each, so that the work
-    grows little faster than the number of digests.
-    """
-    total = F.size(one) + F.size(other)
-    bits = F.least(F.ceil(F.log2(F.greatest(total / GROUP_DIGESTS, F.lit(1.0)))).cast("int"), F.lit(MOST_GROUP_BITS))
 
-    def power(exponent: Column) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("bigint"), exponent)
+def row_digests(text: str) -> dict[int, int]:
+    """As :func:`digests`, of one text: the digests and their checks, without sign."""
+    keys = dict.fromkeys(xxhash.xxh64_intdigest(p.encode(), SEED) for p in re.findall(PARAGRAPH, text))
+    return {key: row_check(key) for key in keys}
 
-    def numbers(count: Column) -> Column:
-        return F.sequence(F.lit(0).cast("bigint"), count - 1)
 
-    def within(low: Column, pairs: Column) -> Column:
-        def group(so_far: Column, number: Column) -> Column:
-            here = F.filter(pairs, lambda p: F.pmod(p["key"], low) == number)
-            return so_far + _let(here, _decoded).cast("bigint")
+def row_check(key: int) -> int:
+    return xxhash.xxh64_intdigest(key.to_bytes(8, "little"), SEED) & 0xFFFFFFFF
 
-        return F.aggregate(numbers(low), F.lit(0).cast("bigint"), group)
 
-    def groups(given: Column) -> Column:
-        low, high = given["low"], given["high"]
+def row_put(cells: list[list[int]], width: int, key: int, check: int, times: int) -> None:
+    for table in range(3):
+        cell = cells[table * width + (key >> 24 + 12 * table & width - 1)]
+        cell[0] += times
+        cell[1] ^= key
+        cell[2] ^= check
 
-        def outer(so_far: Column, number: Column) -> Column:
-            here = F.filter(given["pairs"], lambda p: F.pmod(p["key"], low * high).between(number * low, (number + 1) * low - 1))
-            return so_far + _let(here, partial(within, low))
 
-        return F.aggregate(numbers(high), F.lit(0).cast("bigint"), outer)
+def row_sketch(pairs: list[tuple[int, int, int]], width: int) -> list[list[int]]:
+    """As :func:`sketch`, of digests with their check and sign."""
+    cells = [[0, 0, 0] for _ in range(3 * width)]
+    for key, check, sign in pairs:
+        row_put(cells, width, key, check, sign)
+    return cells
 
-    def signs(keys: Column, sign: int) -> Column:
-        return F.transform(keys, lambda key: F.struct(F.lit(sign).alias("n"), key.alias("key")))
 
-    def given(bits: Column) -> Column:
-        # Powers of two are made once per row, not once per digest.
-        low, high = power(F.floor(bits / 2).cast("int")), power(F.ceil(bits / 2).cast("int"))
-        return F.struct(low.alias("low"), high.alias("high"), F.concat(signs(one, 1), signs(other, -1)).alias("pairs"))
+def row_peel(cells: list[list[int]], width: int) -> int | None:
+    """As :func:`peel`; uses up the cells."""
+    found = 0
+    for _ in range(3 * width):
+        pure = {(n, key, check) for n, key, check in cells if n in (1, -1) and check == row_check(key)}
+        if not pure:
+            break
+        for n, key, check in pure:
+            row_put(cells, width, key, check, -n)
+        found += len(pure)
+    return found if not any(n or key for n, key, _ in cells) else None
 
-    return _let(_let(bits, given), groups)
 
+def row_decoded(pairs: list[tuple[int, int, int]]) -> int:
+    """Differing digests of one group of signed digests: peeled at growing sizes, compared if all get stuck.
 
-def likeness(one: Column, other: Column, one_sketch: Column, other_sketch: Column) -> Column:
-    """Jaccard similarity of two digest sets, from their stored sketches or from larger ones."""
+    Digests of the other version enter the cells with a minus, which is the
+    sketch of one version less that of the other. A group of one version only
+    has nothing to cancel.
+    """
+    if abs(sum(sign for _, _, sign in pairs)) == len(pairs):
+        return len(pairs)
+    for width in GROUP_SIZES:
+        found = row_peel(row_sketch(pairs, width), width)
+        if found is not None:
+            return found
+    return len({key for key, _, sign in pairs if sign > 0} ^ {key for key, _, sign in pairs if sign < 0})
+
+
+def row_likeness(one: dict[int, int], other: dict[int, int], one_sketch: list[list[int]], other_sketch: list[list[int]]) -> float:
+    """Jaccard similarity of two digest sets, from their stored sketches or from groups with a larger one."""
+    total, apart = len(one) + len(other), None
+    if not total:
+        return 1.0
     # Nothing to peel where the sizes alone differ by more than the stored cells can hold.
-    near = F.abs(F.size(one) - F.size(other)) <= 3 * STORED
-    apart = F.coalesce(F.when(near, peel(subtract(one_sketch, other_sketch), STORED)), retried(one, other))
-    total = F.size(one) + F.size(other)
-    return F.when(total == 0, F.lit(1.0)).otherwise(_let(apart, lambda d: (total - d) / (total + d))).cast("double")
-
-
-def as_text(keys: Column, cells: Column) -> Column:
-    """A fingerprint as text: the number of digests, then every cell."""
-    return F.concat_ws("|", F.size(keys).cast("string"), F.array_join(F.transform(
-        cells, lambda c: F.concat_ws(".", c["n"].cast("string"), F.hex(c["keys"]), F.hex(c["checks"]))
-    ), "|"))
+    if abs(len(one) - len(other)) <= 3 * STORED:
+        apart = row_peel([[a[0] - b[0], a[1] ^ b[1], a[2] ^ b[2]] for a, b in zip(one_sketch, other_sketch)], STORED)
+    if apart is None:
+        bits = min(math.ceil(math.log2(max(total / GROUP_DIGESTS, 1.0))), MOST_GROUP_BITS)
+        groups = defaultdict(list)
+        for keys, sign in ((one, 1), (other, -1)):
+            for key, check in keys.items():
+                groups[key & (1 << bits) - 1].append((key, check, sign))
+        apart = sum(map(row_decoded, groups.values()))
+    return (total - apart) / (total + apart)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``digests``, ``cells`` and ``fingerprint`` of the whole text."""
-    rows = docs.select(F.col(id_col), digests(whole_text(text_col)).alias("digests"))
-    rows = rows.withColumn("cells", sketch(F.col("digests"), STORED))
-    return rows.withColumn("fingerprint", as_text(F.col("digests"), F.col("cells")))
+def row_text(keys: dict[int, int], cells: list[list[int]]) -> str:
+    """As :func:`as_text`."""
+    return "|".join([str(len(keys)), *[f"{n}.{key:X}.{check:X}" for n, key, check in cells]])
 
 
 # Documents per range of ids, and quantiles that follow the density of the ids.
@@ -272,17 +291,26 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The edited text has its last third replaced by the beginning of the next document.
     """
     rows = with_next(docs.select(F.col(id_col), whole_text(text_col).alias("text")), id_col, ["text"])
-    n = F.length("text")
-    cut = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    rows = rows.withColumn("edited", edited).select(
-        id_col, "text", "edited", F.length("text").cast("bigint").alias("n_chars"),
-        digests(F.col("text")).alias("_own"), digests(F.col("edited")).alias("_edit"), digests(F.col("next_text")).alias("_next"),
-    )
-    rows = rows.withColumns({f"{c}_cells": sketch(F.col(c), STORED) for c in ("_own", "_edit", "_next")})
-    own, edit, following = ((F.col(c), F.col(f"{c}_cells")) for c in ("_own", "_edit", "_next"))
-    return rows.select(
-        id_col, "n_chars", "edited", as_text(*own).alias("fingerprint"), as_text(*edit).alias("edited_fingerprint"),
-        likeness(own[0], edit[0], own[1], edit[1]).alias("near_edited"),
-        likeness(own[0], following[0], own[1], following[1]).alias("near_next"),
-    )
+    ready(docs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def of(text: str) -> tuple:
+            keys = row_digests(text)
+            return keys, row_sketch([(key, check, 1) for key, check in keys.items()], STORED)
+
+        def row(text: str, following: str) -> tuple:
+            cut = len(text) // 3
+            edited = text[: len(text) - cut] + following[:cut]
+            own, edit, after = of(text), of(edited), of(following)
+            near = [row_likeness(own[0], to[0], own[1], to[1]) for to in (edit, after)]
+            return len(text), edited, row_text(*own), row_text(*edit), *near
+
+        for batch in batches:
+            out = pd.DataFrame(list(map(row, batch["text"], batch["next_text"])), columns=names)
+            out.insert(0, "id", batch["id"].array)
+            yield out
+
+    kinds = "n_chars bigint, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    names = [kind.split()[0] for kind in kinds.split(", ")]
+    rows = rows.select(F.col(id_col).alias("id"), "text", "next_text")
+    return rows.mapInPandas(run, f"id bigint, {kinds}").withColumnRenamed("id", id_col)

@@ -11,7 +11,7 @@ SF_DIR = "/root/testdata/sf0.01"
 
 
 def cut(text):
-    return set(re.findall(r"[^\n]{1,160}[^.!?\n]{0,160}[.!?]*\n*|\n+", text or ""))
+    return set(re.findall(r"[^.!?\n]{1,240}[.!?\n]*|[.!?\n]+", text or ""))
 
 
 def jaccard(a, b):
@@ -62,7 +62,7 @@ def test_hard_texts_and_sparse_ids(spark, monkeypatch):
 
 
 def test_repeated_single_and_no_rows(spark):
-    one = spark.createDataFrame([(4, "One.\nTwo.\nThree.")], "doc_id bigint, text string")
+    one = spark.createDataFrame([(4, "One. Two. Three.")], "doc_id bigint, text string")
     row = iblt.compared(one).first()
     assert row["near_next"] == 1.0 and row["fingerprint"].startswith("3|")
     twice = one.union(one).union(spark.createDataFrame([(None, "Four.")], "doc_id bigint, text string"))
@@ -79,3 +79,18 @@ def test_peeling_recovers_or_admits_failure(spark):
     ).collect()
     assert {r["small"] for r in got} <= {5, None} and sum(r["small"] == 5 for r in got) >= 45
     assert {r["stuck"] for r in got} == {None}
+
+
+def test_short_texts_keep_the_likeness_of_what_is_unchanged(spark):
+    text = "".join(f"Short sentence number {i}." for i in range(9))
+    docs = spark.createDataFrame([(2, text), (1, "Moved by a word." + text[:100] + "x" + text[100:])], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in iblt.compared(docs).collect()}
+    # Six of nine sentences stay; an edit changes the sentence it stands in and no cut behind it.
+    assert got[2]["near_edited"] > 0.3 and got[2]["near_next"] > 0.6
+
+
+def test_rows_and_columns_make_one_fingerprint(spark):
+    texts = ["", "One. Two. Three.", "é. ü! \U0001f600", "x" * 3_000, "".join(f"s{i}. " for i in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    columns = {r["doc_id"]: r["fingerprint"] for r in iblt.fingerprints(docs).collect()}
+    assert columns == {r["doc_id"]: r["fingerprint"] for r in iblt.compared(docs).collect()}
