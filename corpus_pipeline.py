@@ -15,7 +15,8 @@ from quayside.session import settle
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, judged against references from these documents."""
-    return quality_rules.keep_good(docs, quality_rules.language_references(docs))
+    references = quality_rules.reference_table(docs)
+    return quality_rules.keep_good(docs, quality_rules.language_references(docs, table=references), others=references.filter("not large"))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

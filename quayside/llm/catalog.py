@@ -91,7 +91,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality_rules.judge(docs, quality_rules.language_references(docs))
+    references = quality_rules.reference_table(docs)
+    return quality_rules.judge(docs, quality_rules.language_references(docs, table=references), others=references.filter("not large"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -36,3 +36,25 @@ def test_distance():
     assert quality_rules.distance(np.array([2.0, 2.0, 0.0]), one) == 0.0
     assert quality_rules.distance(np.array([0.0, 0.0, 3.0]), one) == 1.0
     assert quality_rules.distance(np.zeros(3), one) == 1.0
+
+
+def test_small_languages_are_judged_by_their_own_or_by_the_base_rules(spark):
+    draw = np.random.default_rng(1)
+
+    def text(letter, n):
+        # The k-th word has a share of one over k.
+        return " ".join(f"{letter}{'abcdefgh'[k % 8]}{'abcdefgh'[k // 8 % 8]}{k // 64 * 'z'}" for k in np.exp(draw.random(n) * 6).astype(int))
+
+    docs = [(i, text("l", 2_000), "large") for i in range(1_500)]
+    docs += [(10_000 + i, text("s", 500), "small") for i in range(6)] + [(20_000, text("r", 200), "rare")]
+    docs += [(30_000, " ".join(f"{i}#9{i}" for i in range(300)), "small"), (30_001, text("l", 500), "small")]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string, lang string").repartition(8)
+    table = quality_rules.reference_table(docs)
+    # A thousandth of the words is enough for a reference, a few hundred words are not.
+    assert {r["lang"]: r["large"] for r in table.collect()} == {"large": True, "small": False}
+    references, others = quality_rules.language_references(docs, table=table), table.filter("not large")
+    some = docs.filter("doc_id >= 10000")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(some, references, others=others).collect()}
+    assert kept == {**{10_000 + i: True for i in range(6)}, 20_000: True, 30_000: False, 30_001: True}
+    good = quality_rules.keep_good(some, references, others=others)
+    assert {r["doc_id"] for r in good.collect()} == {i for i, k in kept.items() if k} and good.columns == docs.columns
