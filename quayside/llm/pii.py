@@ -6,19 +6,23 @@ candidate is described by a few small integers: its generator, digits, groups,
 separators, what stands beside it and which telling word stands before it.
 
 The trees learn which of these look like personal data. Their labels are the
-candidates that a base kind confirms; the checks themselves (check digits,
-number ranges) are no features. Since all features are small integers, the
-candidates of the whole corpus are counted per combination by Spark, and the
-boosting works on those counts. One half of the documents fits the trees, the
-other half calibrates, for every generator, the lowest score at which the
-confirmed share reaches ``precision``. Candidates above it that touch no base
-span and no better candidate are added to the base spans.
+candidates that a base kind confirms or that have evidence of their own: check
+digits of account numbers, eight groups of a network address, a spelled-out
+address that ends in a name, a telling word right before a number. Neither the
+checks nor the evidence are features. Since all features are small integers,
+the candidates of the whole corpus are counted per combination by Spark, and
+the boosting works on those counts. One half of the documents fits the trees,
+the other half calibrates, for every generator and on the candidates outside
+base spans, the lowest score at which the confirmed share reaches
+``precision``. Candidates with evidence or from that score on are added to the
+base spans, the best first, where they touch no other span.
 
 Everything runs as DataFrame expressions; the trees become CASE expressions.
 Positions count code points, the end is exclusive.
 
 Defined results: a null or empty text has no spans. Repeated rows are searched
-each for itself. A corpus without candidates gives a model that adds nothing.
+each for itself. A corpus without candidates gives a model that adds only
+what has evidence.
 """
 
 from __future__ import annotations
@@ -43,15 +47,30 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IN_RANGE = rf"^{_PART}(?:\.{_PART}){{3}}$"
 
+# Characters of an account number after country and check digits, and the countries (ISO 13616).
+ACCOUNT_LENGTHS = {
+    11: "NO", 12: "BE", 14: "DK|FI|FO|GL|NL|SD", 15: "MK|SI", 16: "AT|BA|EE|KZ|LT|LU|XK|MN", 17: "CH|CR|HR|LI|LV",
+    18: "BG|BH|DE|GB|GE|IE|ME|RS|VA", 19: "AE|GI|IL|IQ|OM|SO|TL", 20: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 21: "LY|PT|ST",
+    22: "IS|TR", 23: "BI|DJ|FR|GR|IT|MC|MR|SM", 24: "AL|AZ|BY|CY|DO|GT|HU|LB|PL|SV|NI", 25: "BR|EG|PS|QA|UA", 26: "JO|KW|MU|YE",
+    27: "MT|SC", 28: "LC", 29: "RU",
+}
+_ACCOUNTS = "|".join(rf"(?:{countries})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n}}}(?![A-Za-z0-9])" for n, countries in ACCOUNT_LENGTHS.items())
+
 # Wider patterns: addresses spelled out, numbers in groups, other network addresses, account numbers.
 GENERATORS = {
-    "email": r"(?i)(?:(?<![a-z0-9._%+-])|\G)[a-z0-9._%+-]++\x20?(?:@|[(\[]at[)\]])\x20?[a-z0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[a-z0-9-]++)++",
+    "email": r"(?i)(?:(?<![a-z0-9._%+-])|\G)[a-z0-9._%+-]++\x20?(?:@|[(\[]at[)\]])\x20?[a-z0-9-]++(?:(?:\.|\x20\.\x20?|\x20?[(\[]dot[)\]]\x20?)[a-z0-9-]++)++",
     "ip": r"(?:(?<![0-9.])|\G)[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}+|(?:(?<![0-9A-Fa-f:])|\G)(?:[0-9A-Fa-f]{1,4}+:){4,7}+[0-9A-Fa-f]{1,4}+",
     "number": r"\+?\(?[0-9](?:[\x20().-]{0,2}+[0-9]){6,}+",
-    "account": r"(?:(?<![A-Z0-9])|\G)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+",
+    "account": rf"(?:(?<![A-Z0-9])|\G)(?:{_ACCOUNTS}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{3,7}}+)",
 }
 NEEDS = {"email": r"@|[(\[](?i:at)[)\]]", "ip": r"[0-9.:]{4}", "number": r"[0-9]", "account": r"[A-Z]{2}[0-9]{2}"}
 ADDED_KINDS = tuple(GENERATORS)
+HINTS = r"[0-9@]|[(\[](?i:at)[)\]]"
+
+# Evidence: what a spelled-out address and a network address must be, and what stands right before a phone number.
+SPELLED = r"(?i)^[^@]+[(\[]at[)\]].*(?:\.|[)\]])\x20?[a-z]{2,24}$"
+EIGHT_GROUPS = r"^(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}$"
+CALLED = r"(?i)\b(?:phone|call|tel|telephone|fax|mobile|sms|whatsapp)(?:\x20(?:me|us|number|no|nr))?[\x20.:]{1,3}$"
 
 # Telling words in the characters before a candidate.
 CONTEXT_CHARS = 24
@@ -99,6 +118,30 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), step) % 10 == 0
 
 
+def _account_checks(hit: Column) -> Column:
+    """Whether the number, with country and check digits moved to its end and letters as 10 to 35, leaves 1 over 97."""
+    bare = F.regexp_replace(hit, r"\x20", "")
+    turned = F.concat(F.substring(bare, 5, 34), F.substring(bare, 1, 4))
+
+    def step(rest: Column, char: Column) -> Column:
+        letter = char >= "A"
+        value = F.when(letter, F.ascii(char) - 55).otherwise(char.cast("int"))
+        return ((rest * F.when(letter, 100).otherwise(10) + value) % 97).cast("int")
+
+    return F.aggregate(F.regexp_extract_all(turned, F.lit("[A-Z0-9]"), F.lit(0)), F.lit(0), step) == 1
+
+
+def _evidence(kind: str, hit: Column, before: Column, digits: Column) -> Column:
+    """What makes a candidate personal data beside the base formats."""
+    if kind == "account":
+        return _account_checks(hit)
+    if kind == "email":
+        return hit.rlike(SPELLED)
+    if kind == "ip":
+        return hit.rlike(EIGHT_GROUPS)
+    return digits.between(7, 15) & before.rlike(CALLED)
+
+
 def _base_kind(text: Column, kind: str, pattern: str, needs: Column, valid) -> Column:
     none = F.array().cast(f"array<{SPAN}>")
     rank = F.lit(BASE_KINDS.index(kind))
@@ -153,13 +196,14 @@ def _described(text: Column, kind: str, match: Column) -> Column:
         "context": context,
     }
     return F.struct(
-        start.alias("start"), match["end"].alias("end"), *[values[name].cast("int").alias(name) for name in FEATURES]
+        start.alias("start"), match["end"].alias("end"), *[values[name].cast("int").alias(name) for name in FEATURES],
+        F.coalesce(_evidence(kind, hit, before, digits), F.lit(False)).cast("int").alias("evidence"),
     )
 
 
 def candidates(text: Column) -> Column:
     """Proposed spans of all generators, with their features; they may overlap."""
-    fields = ",".join(f"{name}:int" for name in ("start", "end", *FEATURES))
+    fields = ",".join(f"{name}:int" for name in ("start", "end", *FEATURES, "evidence"))
     none = F.array().cast(f"array<struct<{fields}>>")
     return F.concat(*[
         F.when(text.rlike(NEEDS[kind]), F.transform(_matches(text, pattern), partial(_described, text, kind))).otherwise(none)
@@ -196,7 +240,7 @@ class Model:
 
     def passes(self, candidate: Column) -> Column:
         threshold = F.element_at(F.array(*[F.lit(float(t)) for t in self.thresholds]), candidate["generator"] + 1)
-        return self.column(candidate) >= threshold
+        return (candidate["evidence"] == 1) | (self.column(candidate) >= threshold)
 
 
 def boost(rows: list[tuple[dict[str, int], float, float]], trees: int = 20, depth: int = 3, rate: float = 0.3) -> tuple[float, tuple]:
@@ -234,19 +278,32 @@ def boost(rows: list[tuple[dict[str, int], float, float]], trees: int = 20, dept
     return bias, tuple(grown)
 
 
-def calibrate(bias: float, trees: tuple, rows: list[tuple[dict[str, int], float, float]], precision: float) -> tuple[float, ...]:
-    """Per generator the lowest score from which on the confirmed share reaches ``precision``."""
+def calibrate(bias: float, trees: tuple, rows: list[tuple[dict[str, int], float, float, float]], precision: float) -> tuple[float, ...]:
+    """Per generator the lowest score from which on the confirmed share reaches ``precision``.
+
+    Rows hold features, the candidates outside base spans, how many of these
+    have evidence, and the candidates that are base spans. Only those outside
+    can be added, so they decide; above the first of them the base spans do.
+    The score chosen reaches the share by itself too, so that nothing
+    unconfirmed rides along below what is confirmed.
+    """
     model, thresholds = Model(bias, trees, ()), []
     for generator in range(len(ADDED_KINDS)):
-        scored = sorted(
-            ((model.score(f), n, y) for f, n, y in rows if f["generator"] == generator), key=lambda r: -r[0]
-        )
-        seen = confirmed = 0.0
+        steps: dict[float, list[float]] = {}
+        for features, *counts in rows:
+            if features["generator"] == generator:
+                step = steps.setdefault(model.score(features), [0.0, 0.0, 0.0])
+                step[:] = map(sum, zip(step, counts))
+        seen = confirmed = known = 0.0
         chosen = math.inf
-        for at, (score, n, y) in enumerate(scored):
-            seen, confirmed = seen + n, confirmed + y
-            tied = at + 1 < len(scored) and scored[at + 1][0] == score
-            if not tied and seen and (confirmed - 1) / seen >= precision:
+        for score in sorted(steps, reverse=True):
+            n, y, base = steps[score]
+            seen, confirmed, known = seen + n, confirmed + y, known + base
+            if seen:
+                enough = n and y >= precision * n and confirmed - 1 >= precision * seen
+            else:
+                enough = known - 1 >= precision * known
+            if enough:
                 chosen = score
         thresholds.append(chosen)
     return tuple(thresholds)
@@ -258,25 +315,26 @@ def fit(docs: DataFrame, precision: float = 0.95, id_col: str = "doc_id", text_c
     The counts have a row per combination, at most a few ten thousand whatever the corpus holds.
     """
     text = whole_text(text_col)
-    rows = docs.filter(text.rlike("[0-9@]")).select(
+    rows = docs.filter(text.rlike(HINTS)).select(
         F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.length(text)), F.lit(2)).alias("half"),
         base_spans(text).alias("base"), candidates(text).alias("proposed"),
     )
     confirmed = F.transform("proposed", lambda c: c.withField(
-        "confirmed", F.exists("base", lambda b: (b["start"] == c["start"]) & (b["end"] == c["end"])).cast("int")
-    ))
+        "known", F.exists("base", lambda b: (b["start"] == c["start"]) & (b["end"] == c["end"])).cast("int")
+    ).withField("outside", (~F.exists("base", lambda b: _overlap(b, c))).cast("int")))
     counted = (
-        rows.select("half", F.explode(confirmed).alias("c")).select("half", *[f"c.{name}" for name in (*FEATURES, "confirmed")])
-        .groupBy("half", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("confirmed").alias("y")).collect()
+        rows.select("half", F.explode(confirmed).alias("c")).select("half", *[f"c.{name}" for name in (*FEATURES, "evidence", "known", "outside")])
+        .groupBy("half", *FEATURES).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.greatest("known", "evidence")).alias("y"), F.sum("known").alias("known"),
+            F.sum("outside").alias("outside"), F.sum(F.col("outside") * F.col("evidence")).alias("evident"),
+        ).collect()
     )
-    halves = [
-        sorted(((r.asDict(), float(r["n"]), float(r["y"])) for r in counted if r["half"] == half), key=lambda r: [r[0][f] for f in FEATURES])
-        for half in (0, 1)
-    ]
+    halves = [sorted((r.asDict() for r in counted if r["half"] == half), key=lambda r: [r[f] for f in FEATURES]) for half in (0, 1)]
     if not halves[0]:
         return Model(0.0, (), (math.inf,) * len(ADDED_KINDS))
-    bias, trees = boost(halves[0])
-    return Model(bias, trees, calibrate(bias, trees, halves[1], precision))
+    bias, trees = boost([(r, float(r["n"]), float(r["y"])) for r in halves[0]])
+    rows = [(r, float(r["outside"]), float(r["evident"]), float(r["known"])) for r in halves[1]]
+    return Model(bias, trees, calibrate(bias, trees, rows, precision))
 
 
 def _overlap(one: Column, other: Column) -> Column:
@@ -294,17 +352,18 @@ def _with_spans(rows: DataFrame, model: Model) -> DataFrame:
     """Add ``_base`` and ``_all`` to rows that have ``_text``."""
     none = F.array().cast(f"array<{SPAN}>")
     rows = rows.withColumn("_base", base_spans(F.col("_text")))
-    if not model.trees or all(t == math.inf for t in model.thresholds):
-        return rows.withColumn("_all", F.col("_base"))
-    scored = rows.withColumn("_proposed", F.when(F.col("_text").rlike(r"[0-9@]|[(\[](?i:at)[)\]]"), candidates(F.col("_text"))))
+    scored = rows.withColumn("_proposed", F.when(F.col("_text").rlike(HINTS), candidates(F.col("_text"))))
     passing = F.transform(
         F.filter(F.coalesce("_proposed", F.array().cast(rows_type(scored))), lambda c: ~F.exists("_base", lambda b: _overlap(b, c)) & model.passes(c)),
-        lambda c: F.struct(model.column(c).alias("score"), c["start"].alias("start"), c["end"].alias("end"), c["generator"].alias("generator")),
+        lambda c: F.struct(
+            (-c["evidence"]).alias("evidence"), (-model.column(c)).alias("score"), c["start"].alias("start"), c["generator"].alias("generator"), c["end"].alias("end")
+        ),
     )
-    scored = scored.withColumn("_passing", passing)
-    better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & (F.struct(a["start"], a["generator"]) < F.struct(b["start"], b["generator"])))
+    # The best first, each unless it touches one that is taken already.
+    scored = scored.withColumn("_passing", F.array_sort(passing))
     added = F.transform(
-        F.filter("_passing", lambda c: ~F.exists("_passing", lambda o: _overlap(o, c) & better(o, c))),
+        F.aggregate("_passing", F.slice("_passing", 1, 0), lambda taken, c: F.when(
+            F.exists(taken, lambda o: _overlap(o, c)), taken).otherwise(F.concat(taken, F.array(c)))),
         lambda c: F.struct(
             c["start"].alias("start"), (c["generator"] + len(BASE_KINDS)).alias("rank"), c["end"].alias("end"),
             F.element_at(F.array(*[F.lit(k) for k in ADDED_KINDS]), c["generator"] + 1).alias("kind"),

@@ -66,3 +66,29 @@ def test_redaction(spark, hard):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert pii.find(docs, pii.fit(docs)).count() == 0
+
+
+ADDED = {
+    "pay to DE89 3704 0044 0532 0130 00 BIC COBADEFF": "account:7:34", "GB82WEST12345698765432.": "account:0:22",
+    "write to name (at) mail (dot) org. Please do": "email:9:33", "call 609-555-7932 now": "number:5:17",
+    "host 2001:db8:0:0:0:ff00:42:8329 is up": "ip:5:32",
+}
+NOT_ADDED = ["DE89 3704 0044 0532 0130 01", "order 6095557 came", "at 12:34:56:78:90", "see (at) home.", "11 22 33 44 55 66"]
+
+
+def test_what_has_evidence_is_added(spark):
+    texts = [*ADDED, *NOT_ADDED]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {texts[r["doc_id"]]: r["all"] for r in rows_of(pii.find(docs, pii.fit(docs))).collect()}
+    assert got == {**ADDED, **dict.fromkeys(NOT_ADDED, "")}
+    assert pii.redact(docs.filter("doc_id = 0"), pii.fit(docs)).first()["text"] == "pay to [ACCOUNT] BIC COBADEFF"
+
+
+def test_shape_learned_from_evidence_and_nothing_rides_along(spark):
+    called = [f"tel: 609-555-{1000 + i} today" for i in range(400)]
+    # Near a telling word, but not right behind it; and a few numbers of another shape.
+    near, wrong = "phone (day) 609-555-7932 today", [f"serial 88 99 77 66 55 4{i % 10}" for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate([*called, near, *wrong])), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["all"] for r in rows_of(pii.find(docs, pii.fit(docs))).collect()}
+    assert got[0] == "number:5:17" and got[400] == "number:12:24"
+    assert not any(got[401 + i] for i in range(12))
