@@ -541,7 +541,7 @@ def jn13(fx: Fixtures) -> DataFrame:
 
 @query(
     "ag6_destination_collisions",
-    """SELECT destination, concat(db_url, ' target ', target) AS source, n_sources FROM (SELECT *, count(*) OVER (PARTITION BY destination) AS n_sources FROM fx_applied) WHERE n_sources > 1""",
+    """SELECT destination, concat(db_url, ' by target ', target) AS source, n_sources FROM (SELECT *, count(*) OVER (PARTITION BY destination) AS n_sources FROM fx_applied) WHERE n_sources > 1""",
 )
 def ag6(fx: Fixtures) -> DataFrame:
     """Sources that share a destination."""
