@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import bpe, html_extract, iblt, jaccard_join, mixing, pii, pseudo_likelihood, quality_classifier, quality_rules, toxicity
+from quayside.llm import bpe, html_extract, iblt, jaccard_join, mixing, pii, pseudo_likelihood, quality_classifier, quality_rules, toxicity, warc
 from quayside.llm.common import fold, table
+from quayside.session import shared_dir
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -95,6 +96,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.language_references(docs, table=references), others=references.filter("not large"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = shared_dir(spark, "warc")
+    pages = table(spark, sf_dir, "pages")
+    warc.write_archives(warc.with_first_captures(pages), archives, date="2024-01-01T00:00:00Z")
+    return warc.resolved(warc.assemble(warc.read_records(spark, archives)), pages.schema["page_id"].dataType.simpleString())
+
+
+OP13_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+  q AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+  r AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first_id IS NULL OR page_id = first_id THEN NULL ELSE first_id END AS refers_to FROM r"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -107,8 +122,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
+        "op13_warc": op13_warc,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op13_warc": OP13_SQL}
