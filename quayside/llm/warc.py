@@ -183,7 +183,7 @@ def _headers(lines: Iterator[bytes]) -> list[tuple[str, str]] | None:
         if not text:
             return found
         if text[0] in " \t" and found:
-            found[-1] = (found[-1][0], f"{found[-1][1]} {text.strip()}")
+            found[-1] = (found[-1][0], f"{found[-1][1]} {text.strip()}".strip())
         else:
             name, _, value = text.partition(":")
             found.append((name.strip().lower(), value.strip()))
