@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import bpe, html_extract, iblt, jaccard_join, mixing, pii, pseudo_likelihood, quality_classifier, quality_rules, toxicity, warc
+from quayside.llm import bpe, collocations, html_extract, iblt, jaccard_join, mixing, pii, pseudo_likelihood, quality_classifier, quality_rules, toxicity, warc
 from quayside.llm.common import fold, table
 from quayside.session import shared_dir
 
@@ -96,6 +96,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.language_references(docs, table=references), others=references.filter("not large"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """WITH w AS (SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM
+    (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+  g AS (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase, count(*) AS f FROM
+    (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(size)) GROUP BY ALL),
+  total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE size = 1 GROUP BY lang),
+  c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE size > 1 AND f >= 10),
+  cut AS (SELECT c.lang, c.phrase, c.size, c.a, k, p.f AS l, q.f AS r, CAST(CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(p.f AS HUGEINT) * q.f) AS BIGINT) AS score
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM c) AS c JOIN g AS p ON p.lang = c.lang AND p.size = k AND p.phrase = array_to_string(c.ws[1:k], ' ')
+    JOIN g AS q ON q.lang = c.lang AND q.size = c.size - k AND q.phrase = array_to_string(c.ws[k + 1:], ' ')),
+  best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase, size ORDER BY score, k) = 1),
+  around AS (SELECT lang, array_to_string(part, ' ') AS phrase, max(a) AS a FROM
+    (SELECT lang, a, unnest([ws[1:2], ws[2:3]]) AS part FROM c WHERE size = 3) GROUP BY ALL),
+  kept AS (SELECT b.* FROM best b LEFT JOIN around o ON b.size = 2 AND o.lang = b.lang AND o.phrase = b.phrase WHERE o.a IS NULL OR 100 * o.a < 50 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM
+  (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN total USING (lang) WHERE rank <= 2000"""
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = shared_dir(spark, "warc")
     pages = table(spark, sf_dir, "pages")
@@ -122,9 +143,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
+        "op12_collocations": op12_collocations,
         "op13_warc": op13_warc,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op13_warc": OP13_SQL}
+    return {"op12_collocations": OP12_SQL, "op13_warc": OP13_SQL}
