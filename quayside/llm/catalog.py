@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import bpe, collocations, html_extract, iblt, jaccard_join, mixing, pii, pseudo_likelihood, quality_classifier, quality_rules, toxicity, warc
+from quayside.llm import bpe, collocations, conversation_repair, html_extract, iblt, jaccard_join, mixing, pii, pseudo_likelihood, quality_classifier, quality_rules, toxicity, warc
 from quayside.llm.common import fold, table
 from quayside.session import shared_dir
 
@@ -96,6 +96,56 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.language_references(docs, table=references), others=references.filter("not large"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.summary(conversation_repair.repair(rows))
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _way(state: str, cost: str, letter: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}'}}"
+
+
+def _kept(states: list[str], initial: str) -> list[str]:
+    """Keeping or renaming a row after one of the states; out of reach where that is not allowed."""
+    price = "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END + CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 ELSE 0 END"
+    keep = f"{price} + CASE WHEN initial = '{initial}' THEN 0 ELSE 1000000000 END"
+    ways = [_way(state, keep, "K") for state in states]
+    return ways if initial == "s" else ways + [_way(state, f"{price} + 3", "R") for state in states]
+
+
+OP11_SQL = f"""WITH RECURSIVE k AS (SELECT *, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS key FROM conversations),
+  h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(flatten(list_transform(range(1, length(key) + 1), lambda i: [ord(key[i]), 0, 0, 0, 0, 0, 0, 0])),
+    lambda acc, x: xor(xor(acc, x) >> 1, CASE WHEN xor(acc, x) & 1 = 1 THEN 3988292384 ELSE 0 END), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS f FROM k),
+  d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE f <> 0),
+  o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, left(role, 1) AS initial, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS visible FROM d),
+  r AS (SELECT *, CASE WHEN visible = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+    WHEN right(visible, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM o),
+  counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+  ids AS (SELECT DISTINCT conv_id FROM conversations),
+  step(conv_id, pos, s0, s1, s2, s3) AS (SELECT conv_id, CAST(0 AS BIGINT), {{'c': CAST(0 AS BIGINT), 'a': ''}}, {{'c': CAST(1000000000 AS BIGINT), 'a': ''}}, {{'c': CAST(3 AS BIGINT), 'a': 'I'}}, {{'c': CAST(6 AS BIGINT), 'a': 'II'}} FROM ids
+    UNION ALL SELECT conv_id, pos, n0, n1, m2, {_least('n3', _way('m2', '3', 'I'))} FROM
+      (SELECT *, {_least('n2', _way('n0', '3', 'I'), _way('n1', '3', 'I'), _way('n3', '3', 'I'))} AS m2 FROM
+        (SELECT conv_id, pos, {_way('s0', '4', 'D')} AS n0, {_least(_way('s1', '4', 'D'), *_kept(['s0'], 's'))} AS n1,
+          {_least(_way('s2', '4', 'D'), *_kept(['s0', 's1', 's3'], 'u'))} AS n2, {_least(_way('s3', '4', 'D'), *_kept(['s2'], 'a'))} AS n3
+          FROM (SELECT s.conv_id, r.pos, r.initial, r.fault, s0, s1, s2, s3 FROM step s JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.pos = s.pos + 1)))),
+  best AS (SELECT conv_id, {_least('s0', 's3')} AS b FROM step QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1),
+  letters AS (SELECT conv_id, b.a AS audit, unnest(range(1, length(b.a) + 1)) AS i FROM best),
+  placed AS (SELECT conv_id, i, audit[i] AS letter, sum(CASE WHEN audit[i] <> 'I' THEN 1 ELSE 0 END) OVER w AS pos, sum(CASE WHEN audit[i] <> 'D' THEN 1 ELSE 0 END) OVER w AS j
+    FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+  turns AS (SELECT p.conv_id, p.i, p.letter, p.j, r.role, r.text, r.initial FROM placed p LEFT JOIN r ON p.letter <> 'I' AND r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.pos = p.pos WHERE p.letter <> 'D'),
+  named AS (SELECT *, max(CASE WHEN j = 1 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS shift FROM turns),
+  lines AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (j - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS repaired FROM named GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  b.b.c AS cost, b.b.a AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+  FROM best b LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM b.conv_id"""
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
@@ -143,10 +193,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_collocations": op12_collocations,
         "op13_warc": op13_warc,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op12_collocations": OP12_SQL, "op13_warc": OP13_SQL}
+    return {"op11_conversation_repair": OP11_SQL, "op12_collocations": OP12_SQL, "op13_warc": OP13_SQL}
