@@ -59,7 +59,7 @@ class Fixtures:
         )
 
     @staticmethod
-    def heartbeat_rows(events: DataFrame) -> DataFrame:
+    def heartbeat_rows(events: DataFrame, *others: str) -> DataFrame:
         letters = (
             F.when(F.col("event_type") == "click", "g").when(F.col("event_type") == "view", "c")
             .when(F.col("event_type") == "purchase", "w").when(F.col("event_type") == "signup", "m")
@@ -67,7 +67,7 @@ class Fixtures:
         )
         node = F.concat(F.lit("node-"), F.col("user_id").cast("string"))
         return events.select(
-            node.alias("node_id"), letters.alias("letters"), "ts",
+            *others, node.alias("node_id"), letters.alias("letters"), "ts",
             F.concat(F.lit("nodes/"), node, F.lit("."), letters, F.lit(".json")).alias("path"),
         )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +13,12 @@ from quayside.catalog.registration import query
 from quayside.functions.names import heartbeat_parts
 from quayside.session import shared_dir
 from quayside.streaming.leases import lease_periods
-from quayside.streaming.liveness import LivenessTicks, liveness_periods, to_the_end
+from quayside.streaming.keyed import run_keyed
+from quayside.streaming.liveness import liveness_changes, liveness_periods, to_the_end
 from quayside.streaming.mirror import ContinuousMirror
-from quayside.streaming.settings import LastGoodSettings
+from quayside.streaming.settings import settings_changes, settings_view
 from quayside.streaming.state import run_available
-from quayside.streaming.tail import LogTail
+from quayside.streaming.tail import ids_of, tailed_runs
 
 LEASE_SECONDS = 6 * 3600
 # Where the events are cut into three arrivals.
@@ -42,15 +45,20 @@ def naive(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def in_arrivals(fx: Fixtures, events: DataFrame, purpose: str, columns: list[str], each) -> None:
-    """Feed the events in three arrivals; the stream restarts from its checkpoint for each."""
+def in_arrivals(fx: Fixtures, rows: DataFrame, purpose: str, arrivals: int, each: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Feed rows by their number of ``arrival``; the stream restarts from its checkpoint for each. What it emitted."""
     path = shared_dir(fx.spark, purpose)
-    arrival = sum((F.col("ts") >= F.lit(cut).cast("timestamp_ntz")).cast("int") for cut in ARRIVALS)
-    rows = events.withColumn("arrival", arrival)
-    schema = events.select(*columns).schema
-    for number in range(len(ARRIVALS) + 1):
-        rows.filter(F.col("arrival") == number).select(*columns).write.mode("append").parquet(f"{path}/in")
-        run_available(fx.spark.readStream.schema(schema).parquet(f"{path}/in"), each, f"{path}/checkpoint")
+    fed = rows.drop("arrival")
+    for number in range(arrivals):
+        rows.filter(F.col("arrival") == number).drop("arrival").write.mode("append").parquet(f"{path}/in")
+        stream = each(fx.spark.readStream.schema(fed.schema).parquet(f"{path}/in"))
+        out = run_keyed(stream, f"{path}/out", f"{path}/checkpoint")
+    return out
+
+
+def arrival_of(ts: str):
+    """In which of the three arrivals a time falls."""
+    return sum((F.col(ts) >= F.lit(cut).cast("timestamp_ntz")).cast("int") for cut in ARRIVALS)
 
 
 def sessions_sql(source: str, key: str, gap_us: int) -> str:
@@ -86,41 +94,49 @@ def sm1_periods(fx: Fixtures) -> DataFrame:
     return naive(out, "up_at", "down_at").withColumn("services", F.array_join("services", ","))
 
 
+# How late a heartbeat may be known, in days: more than the arrivals are apart.
+LATE_DAYS = 11
 TICK_VIEWS = {
-    "fx_tick": f"""SELECT 0 AS tick, max(ts) AS now FROM events WHERE ts < TIMESTAMP '{ARRIVALS[0]}' UNION ALL SELECT 1, max(ts) FROM events WHERE ts < TIMESTAMP '{ARRIVALS[1]}' UNION ALL SELECT 2, max(ts) FROM events""",
-    "fx_seen": """SELECT t.tick, t.now, e.user_id, max(e.ts) AS ts, arg_max(e.event_type, e.ts) AS last_type FROM fx_tick t JOIN events e ON e.ts <= t.now GROUP BY ALL""",
-    "fx_alive": f"SELECT tick, now, user_id, {NODE_SERVICE} AS services, epoch_us(now) - epoch_us(ts) < {HEARTBEAT_TIMEOUT}000000 AS live FROM fx_seen",
-    "fx_step": "SELECT *, coalesce(lag(live) OVER w, false) AS was, lag(services) OVER w AS old_services FROM fx_alive WINDOW w AS (PARTITION BY user_id ORDER BY tick)",
+    "fx_beat": f"""SELECT user_id, ts, {NODE_SERVICE.replace('last_type', 'event_type')} AS services, event_id % 13 = 0 AS deleted,
+      CAST(ts >= TIMESTAMP '{ARRIVALS[0]}' AS INTEGER) + CAST(ts >= TIMESTAMP '{ARRIVALS[1]}' AS INTEGER) + CAST(event_id % 7 = 3 AS INTEGER) AS arrival FROM events""",
+    "fx_known": "SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY arrival RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS youngest FROM fx_beat",
+    "fx_taken": f"""SELECT *, coalesce(NOT was_deleted AND epoch_us(ts) - epoch_us(was) < {HEARTBEAT_TIMEOUT}000000, false) AS was_live FROM
+      (SELECT *, lag(ts) OVER w AS was, lag(deleted) OVER w AS was_deleted, lag(services) OVER w AS old_services, lead(ts) OVER w AS next FROM fx_known
+       WHERE youngest IS NULL OR ts > youngest WINDOW w AS (PARTITION BY user_id ORDER BY ts, deleted, services))""",
 }
 
 
 @query(
     "sm1_liveness_ticks",
-    """SELECT concat('node-', CAST(user_id AS VARCHAR)) AS node_id, CASE WHEN live AND NOT was THEN 'up' WHEN was AND NOT live THEN 'down' ELSE 'role' END AS change, now AS at, services FROM fx_step WHERE live <> was OR (live AND was AND services <> old_services)""",
+    f"""SELECT concat('node-', CAST(user_id AS VARCHAR)) AS node_id, change, changed AS at, services FROM
+      (SELECT user_id, CASE WHEN was_live THEN 'role' ELSE 'up' END AS change, ts AS changed, services FROM fx_taken WHERE NOT deleted AND (NOT was_live OR services <> old_services)
+       UNION ALL SELECT user_id, 'down', ts, old_services FROM fx_taken WHERE deleted AND was_live
+       UNION ALL SELECT user_id, 'down', make_timestamp(epoch_us(ts) + {HEARTBEAT_TIMEOUT}000000), services FROM fx_taken
+         WHERE NOT deleted AND (next IS NULL OR epoch_us(next) - epoch_us(ts) >= {HEARTBEAT_TIMEOUT}000000))""",
     TICK_VIEWS,
 )
 def sm1_ticks(fx: Fixtures) -> DataFrame:
-    """Up, down and role changes over three looks at the fleet."""
-    rows = fx.heartbeat_rows(fx.table("events")).select("node_id", "ts", "path")
-
-    def clock(nodes: DataFrame):
-        return nodes.agg(F.max("last_modified").alias("now")).scalar()
-
-    ticks = LivenessTicks(fx.spark, shared_dir(fx.spark, "liveness-ticks"), HEARTBEAT_TIMEOUT, clock)
+    """Up, down and role changes; some heartbeats are known late, some nodes leave, and the last ones just fall silent.
+
+    The last arrival has no heartbeat: only the clock moves on.
+    """
+    events = fx.table("events")
+    parts = heartbeat_parts(F.element_at(F.split("path", "/"), -1))
+    beats = fx.heartbeat_rows(events, "event_id").select(
+        "node_id", parts["services"].alias("services"), F.col("ts").alias("last_modified"), F.col("path").alias("location"),
+        (F.col("event_id") % 13 == 0).alias("deleted"), (arrival_of("ts") + (F.col("event_id") % 7 == 3).cast("int")).alias("arrival"),
+    )
+    end = F.max("ts") + F.expr(f"INTERVAL {LATE_DAYS} DAYS") + F.expr(f"INTERVAL {HEARTBEAT_TIMEOUT + 1} SECONDS")
+    clock = events.agg(end.alias("last_modified")).select(
+        F.lit("").alias("node_id"), F.array().cast("array<string>").alias("services"), "last_modified", F.lit("").alias("location"),
+        F.lit(False).alias("deleted"), F.lit(len(ARRIVALS) + 2).alias("arrival"),
+    )
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        parts = heartbeat_parts(F.element_at(F.split("path", "/"), -1))
-        ticks(
-            batch.select(
-                "node_id", parts["services"].alias("services"), F.col("ts").cast("timestamp").alias("last_modified"),
-                F.col("path").alias("location"), F.lit(False).alias("deleted"),
-            ),
-            batch_id,
-        )
+    def changes(stream: DataFrame) -> DataFrame:
+        return liveness_changes(stream, HEARTBEAT_TIMEOUT, f"{LATE_DAYS} days")
 
-    in_arrivals(fx, rows, "liveness-arrivals", ["node_id", "ts", "path"], each)
-    events = naive(ticks.events.everything(), "at").drop("micro_batch")
-    return events.withColumn("services", F.array_join("services", ","))
+    out = in_arrivals(fx, beats.unionByName(clock), "liveness-changes", len(ARRIVALS) + 3, changes)
+    return naive(out, "at").withColumn("services", F.array_join("services", ","))
 
 
 @query("sm2_log_tail", f"SELECT db_key, '{TARGET}' AS target, wal_id FROM fx_run", TAIL_VIEWS)
@@ -129,14 +145,13 @@ def sm2(fx: Fixtures) -> DataFrame:
     path = shared_dir(fx.spark, "log-tail")
     target = F.lit(TARGET).alias("target")
     wal = fx.wal.select("db_key", target, "wal_id")
+    starts = floors(fx).select("db_key", target, "floor")
     # Hashing the ids to files makes each batch hold every n-th id at random.
     wal.repartition(4, "wal_id").write.parquet(f"{path}/in")
-    tail = LogTail(fx.spark, path, floors(fx).select("db_key", target, "floor"))
-    stream = (
-        fx.spark.readStream.schema(wal.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
-    )
-    run_available(stream, tail, f"{path}/checkpoint")
-    return tail.emitted.everything().drop("micro_batch")
+    starts.write.parquet(f"{path}/floors")
+    ids = fx.spark.readStream.schema(wal.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    stream = tailed_runs(ids, fx.spark.readStream.schema(starts.schema).parquet(f"{path}/floors"))
+    return ids_of(run_keyed(stream, f"{path}/out", f"{path}/checkpoint"))
 
 
 @query(
@@ -146,13 +161,11 @@ def sm2(fx: Fixtures) -> DataFrame:
 )
 def sm3_stream(fx: Fixtures) -> DataFrame:
     """Last-good settings kept over three arrivals of versions."""
-    keeper = LastGoodSettings(fx.spark, shared_dir(fx.spark, "last-good"))
     versions = fx.table("events").select(
         F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("version"),
-        (F.col("value") >= 5).alias("valid"), F.col("event_type").alias("payload"), "ts",
+        (F.col("value") >= 5).alias("valid"), F.col("event_type").alias("payload"), arrival_of("ts").alias("arrival"),
     )
-    in_arrivals(fx, versions, "settings-arrivals", ["key", "version", "valid", "payload"], keeper)
-    return keeper.view()
+    return settings_view(in_arrivals(fx, versions, "settings-arrivals", len(ARRIVALS) + 1, settings_changes))
 
 
 @query(

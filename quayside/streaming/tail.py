@@ -1,43 +1,131 @@
-"""Tailing a log of dense ids: in order, without holes, each id once."""
+"""Tailing a log of dense ids: in order, without holes, each id once.
+
+What is handed on are runs of ids, one row however long, and what is kept are
+runs, too. Ids of a log are first put together per range of ids, so a very busy
+log is spread over as many keys as it has ranges; only the runs of those meet
+at the log's front.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from quayside.operators.ordered import RANGE_WIDTH
+
+KEYS = ["db_key", "target"]
+_RUNS = "db_key bigint, target string, from_id bigint, to_id bigint"
+_RUN_NAMES = ["db_key", "target", "from_id", "to_id"]
+
+
+def merged_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs (first, last) that overlap or touch, made one."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(runs):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], last))
+        else:
+            out.append((first, last))
+    return out
+
+
+class _RangeRuns(StatefulProcessor):
+    """Puts the ids of one range together; nothing is kept of a range that is complete."""
 
-from quayside.operators.ordered import contiguous_from
-from quayside.streaming.state import StateTable
+    def __init__(self, width: int):
+        self.width = width
 
-_NEXT = "db_key bigint, target string, next bigint"
-_IDS = "db_key bigint, target string, wal_id bigint"
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.runs = handle.getMapState("runs", "first bigint", "last bigint")
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        db_key, target, number = key
+        ids = np.empty(0, dtype=np.int64)
+        for frame in rows:
+            # Never more ids than a range has.
+            ids = np.union1d(ids, frame["wal_id"].to_numpy(dtype=np.int64))
+        cuts = np.flatnonzero(np.diff(ids) != 1)
+        fresh = zip(ids[np.r_[0, cuts + 1]].tolist(), ids[np.r_[cuts, len(ids) - 1]].tolist())
+        known = {first: last for (first,), (last,) in self.runs.iterator()}
+        runs = merged_runs([*known.items(), *fresh])
+        if runs == [(number * self.width, (number + 1) * self.width - 1)]:
+            self.runs.clear()
+        else:
+            kept = dict(runs)
+            for first in known.keys() - kept.keys():
+                self.runs.removeKey((first,))
+            for first, last in kept.items():
+                if known.get(first) != last:
+                    self.runs.updateValue((first,), (last,))
+        changed = [(db_key, target, first, last) for first, last in runs if known.get(first) != last]
+        if changed:
+            yield pd.DataFrame(changed, columns=_RUN_NAMES)
 
-class LogTail:
-    """Emit the next dense ids of every (db_key, target).
+    def close(self) -> None:
+        pass
 
-    Ids that arrive early wait in a pending table until the hole before them
-    is filled; ids below the next expected one are duplicates and dropped. How
-    far each log reaches is found by comparing ids with their successors, which
-    spreads over the ids, so a single very busy log is no bottleneck.
+
+class _Front(StatefulProcessor):
+    """The next id of one log, and the runs beyond it that wait for a hole to be filled."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.next = handle.getValueState("next", "next bigint")
+        self.waiting = handle.getMapState("waiting", "first bigint", "last bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.next.get()[0] if self.next.exists() else None
+        front = before
+        known = {first: last for (first,), (last,) in self.waiting.iterator()}
+        waiting = dict(known)
+        for frame in rows:
+            floors = frame["floor"].dropna()
+            if len(floors):
+                front = max(int(floors.max()), int(floors.max()) if front is None else front)
+            for first, last in frame.loc[frame["floor"].isna(), ["from_id", "to_id"]].itertuples(index=False):
+                waiting[int(first)] = max(int(last), waiting.get(int(first), int(last)))
+        start = front
+        if front is not None:
+            for first in sorted(waiting):
+                if first > front:
+                    break
+                front = max(front, waiting.pop(first) + 1)
+        for first in known.keys() - waiting.keys():
+            self.waiting.removeKey((first,))
+        for first, last in waiting.items():
+            if known.get(first) != last:
+                self.waiting.updateValue((first,), (last,))
+        if front != before:
+            self.next.update((front,))
+        if front is not None and front > start:
+            yield pd.DataFrame([(*key, start, front - 1)], columns=_RUN_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def tailed_runs(ids: DataFrame, floors: DataFrame, width: int = RANGE_WIDTH) -> DataFrame:
+    """The next dense ids of every log, as runs (db_key, target, from_id, to_id).
+
+    ``ids`` is a stream of (db_key, target, wal_id) in any order, ``floors`` one
+    of (db_key, target, floor). A log's tail begins at its floor; a higher floor
+    that comes later skips the ids a commit has covered. Ids that arrive early
+    wait until the hole before them is filled, those below the front are
+    dropped. Nothing that waits ever expires: that would be a hole.
     """
+    ranged = ids.select(*KEYS, F.floor(F.col("wal_id") / F.lit(width)).cast("bigint").alias("_range"), "wal_id").filter("wal_id IS NOT NULL")
+    runs = ranged.groupBy(*KEYS, "_range").transformWithStateInPandas(_RangeRuns(width), _RUNS, "Append", "None")
+    none = F.lit(None).cast("bigint")
+    both = runs.withColumn("floor", none).unionByName(
+        floors.select(*KEYS, none.alias("from_id"), none.alias("to_id"), "floor").filter("floor IS NOT NULL")
+    )
+    return both.groupBy(*KEYS).transformWithStateInPandas(_Front(), _RUNS, "Append", "None")
+
 
-    def __init__(self, spark: SparkSession, path: str, floors: DataFrame):
-        """``floors`` is (db_key, target, floor). It is looked up again in every
-        batch: raising a floor skips the ids a commit has covered."""
-        self.floors = floors
-        self.next = StateTable(spark, f"{path}/next", _NEXT)
-        self.pending = StateTable(spark, f"{path}/pending", _IDS)
-        self.emitted = StateTable(spark, f"{path}/emitted", _IDS)
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        """``batch`` is (db_key, target, wal_id)."""
-        keys = ["db_key", "target"]
-        reached = self.next.before(batch_id)
-        starts = self.floors.join(reached, keys, "left").select(
-            *keys, F.greatest(F.col("floor"), F.coalesce("next", F.col("floor"))).alias("start")
-        )
-        ids = self.pending.before(batch_id).unionByName(batch.select(*keys, "wal_id")).distinct()
-        bounds = self.next.write(contiguous_from(ids, starts, keys, "wal_id", "start"), batch_id)
-        placed = ids.join(bounds, keys).join(starts, keys).filter(F.col("wal_id") >= F.col("start"))
-        self.emitted.write(placed.filter(F.col("wal_id") < F.col("next")), batch_id)
-        self.pending.write(placed.filter(F.col("wal_id") >= F.col("next")), batch_id)
+def ids_of(runs: DataFrame) -> DataFrame:
+    """The single ids of runs, for those who want them."""
+    return runs.select(*KEYS, F.explode(F.sequence("from_id", "to_id")).alias("wal_id"))
