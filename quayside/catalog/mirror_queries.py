@@ -507,6 +507,27 @@ def sm5(fx: Fixtures) -> DataFrame:
     )
 
 
+CUT_VIEWS = {
+    "fx_moment": "SELECT db_key, last_modified, max(manifest_id) AS manifest_id FROM fx_src_manifest GROUP BY ALL",
+    "fx_link": "SELECT db_key, last_modified, min(last_modified) OVER (PARTITION BY db_key ORDER BY last_modified RANGE BETWEEN INTERVAL 30 DAYS FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM fx_moment",
+    "fx_first": "SELECT db_key, min(last_modified) AS last_modified FROM fx_moment GROUP BY db_key",
+}
+
+
+@query(
+    "sm5_cut_history",
+    """SELECT c.db_key, p.target, m.manifest_id, c.last_modified FROM (
+      WITH RECURSIVE cut AS (SELECT * FROM fx_first UNION ALL SELECT l.db_key, l.following FROM cut JOIN fx_link l ON l.db_key = cut.db_key AND l.last_modified = cut.last_modified WHERE l.following IS NOT NULL)
+      SELECT * FROM cut) c JOIN fx_moment m ON m.db_key = c.db_key AND m.last_modified = c.last_modified JOIN fx_pair p ON p.db_key = c.db_key""",
+    CUT_VIEWS,
+)
+def sm5_history(fx: Fixtures) -> DataFrame:
+    """Every cut that targets with one per 30 days have made of their sources' histories."""
+    from quayside.streaming.periodic import cut_history
+
+    return cut_history(fx.src_manifest, fx.pair.withColumn("interval_s", F.lit(30 * 86_400.0)))
+
+
 # --------------------------------------------------------------- retention
 
 PRUNE_VIEWS = {

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.catalog.fixtures import HEARTBEAT_TIMEOUT, TARGET, Fixtures
+from quayside.catalog.fixtures import HEARTBEAT_TIMEOUT, SQL, TARGET, Fixtures
 from quayside.catalog.mirror_queries import SYNC_VIEWS, TAIL_VIEWS, floors
 from quayside.catalog.registration import query
 from quayside.functions.names import heartbeat_parts
-from quayside.session import shared_dir
+from quayside.operators.snapshot import Catalog
+from quayside.session import settle, shared_dir
 from quayside.streaming.leases import lease_periods
 from quayside.streaming.keyed import run_keyed
 from quayside.streaming.liveness import liveness_changes, liveness_periods, to_the_end
-from quayside.streaming.mirror import ContinuousMirror
+from quayside.streaming.mirror import ContinuousMirror, run_available
 from quayside.streaming.settings import settings_changes, settings_view
-from quayside.streaming.state import run_available
 from quayside.streaming.tail import ids_of, tailed_runs
 
 LEASE_SECONDS = 6 * 3600
@@ -168,26 +169,53 @@ def sm3_stream(fx: Fixtures) -> DataFrame:
     return settings_view(in_arrivals(fx, versions, "settings-arrivals", len(ARRIVALS) + 1, settings_changes))
 
 
+# How far from the end the source's manifests are cut into three arrivals.
+NEWS_CUTS = (120, 60, 0)
+
+
+def _step_views() -> dict[str, str]:
+    """The views of a sync for each arrival: its heads, and the target as the arrivals before have left it."""
+    views = {"fx_at_0": "SELECT db_key, target, manifest_id FROM fx_dst_manifest"}
+    names = ["fx_src_head", "fx_dst_head", "fx_member", "fx_state", "fx_broken", "fx_ready", "fx_both", "fx_shared_member", "fx_commit", "fx_dst_cp"]
+    for step, cut in enumerate(NEWS_CUTS):
+        own = {name: SYNC_VIEWS.get(name, SQL.get(name)) for name in names}
+        own["fx_src_head"] = f"SELECT db_key, max(manifest_id) AS head FROM fx_src_manifest WHERE manifest_id <= (SELECT max(o_orderkey) FROM orders) - {cut} GROUP BY db_key"
+        own["fx_dst_head"] = f"SELECT db_key, target, max(manifest_id) AS watermark FROM fx_at_{step} GROUP BY ALL"
+        own["fx_dst_cp"] = f"SELECT c.* FROM fx_checkpoint c SEMI JOIN fx_at_{step} m USING (db_key, manifest_id)"
+        own["fx_commit"] += f" AND NOT EXISTS (SELECT 1 FROM fx_at_{step} t WHERE t.db_key = r.db_key AND t.manifest_id = m.member_id)"
+        for name, sql in own.items():
+            for other in names:
+                sql = re.sub(rf"\b{other}\b", f"{other}_{step}", sql)
+            views[f"{name}_{step}"] = sql
+        views[f"fx_at_{step + 1}"] = f"SELECT * FROM fx_at_{step} UNION ALL SELECT * FROM fx_commit_{step}"
+    return views
+
+
 @query(
     "sm4_continuous_mirror",
-    "SELECT *, row_number() OVER (PARTITION BY db_key, target ORDER BY manifest_id) AS commit_seq FROM fx_commit",
-    SYNC_VIEWS,
+    " UNION ALL ".join(
+        f"SELECT {step} AS micro_batch, *, row_number() OVER (PARTITION BY db_key, target ORDER BY manifest_id) AS commit_seq FROM fx_commit_{step}"
+        for step in range(len(NEWS_CUTS))
+    ),
+    {**SYNC_VIEWS, **_step_views()},
 )
 def sm4(fx: Fixtures) -> DataFrame:
-    """Commits planned as source manifests stream in, and nothing twice."""
-    job = ContinuousMirror(
-        fx.spark, shared_dir(fx.spark, "continuous-mirror"), fx.source, fx.dest, fx.dst_object, fx.pair, fx.mirror_now
+    """Commits as source manifests stream in, in three arrivals, each followed by its prune and tail; nothing twice."""
+    path = shared_dir(fx.spark, "continuous-mirror")
+    source, dest = (
+        Catalog(*(settle(df, "mirror-tables") for df in (side.manifests, side.objects, side.checkpoints))) for side in (fx.source, fx.dest)
     )
-    arrived = streamed(fx, "orders").select(
-        (F.col("o_custkey") % 20).alias("db_key"), F.col("o_orderkey").alias("manifest_id")
+    job = ContinuousMirror(
+        fx.spark, path, source, dest, settle(fx.dst_object, "mirror-tables"), fx.pair, fx.mirror_now, fx.retention_policy, fx.src_wal,
+        fold_batches=2,
     )
-    known = fx.src_manifest.select("db_key", "manifest_id")
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        job(batch.join(known, ["db_key", "manifest_id"], "left_semi"), batch_id)
-
-    run_available(arrived, each, shared_dir(fx.spark, "mirror-checkpoint"))
-    return job.commits.everything().drop("micro_batch")
+    news = fx.src_manifest.select("db_key", "manifest_id")
+    top = fx._top_order()
+    arrival = sum((F.col("manifest_id") > top - cut).cast("int") for cut in NEWS_CUTS[:-1])
+    for number in range(len(NEWS_CUTS)):
+        news.filter(arrival == number).write.mode("append").parquet(f"{path}/in")
+        run_available(fx.spark.readStream.schema(news.schema).parquet(f"{path}/in"), job, f"{path}/checkpoint")
+    return job.log("commits")
 
 
 @query(

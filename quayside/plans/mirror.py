@@ -171,32 +171,37 @@ def sync_plan(source: Catalog, dest: Catalog, dest_listing: DataFrame, pairs: Da
     return SyncPlan(classified, copies, commit_order(to_commit, PAIR))
 
 
-def committed_state(source: Catalog, dest: Catalog, dest_listing: DataFrame, commits: DataFrame, copies: DataFrame,
-                    now: Column) -> tuple[Catalog, DataFrame]:
-    """The target and its listing once a plan's copies and commits are done.
+def committed_rows(source: Catalog, commits: DataFrame, copies: DataFrame,
+                   now: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The manifests, objects, checkpoints and listing rows that a target gains from a plan's copies and commits.
 
-    A committed manifest is readable and keeps the time of its source; a copied object is
-    as old as ``now``.
+    A committed manifest keeps the time of its source; a copied object is as
+    old as ``now``.
     """
-    done = commits.select(*PAIR, "manifest_id")
-
-    def from_source(rows: DataFrame) -> DataFrame:
-        return rows.join(done, ["db_key", "manifest_id"])
-
-    manifests = from_source(source.manifests)
-    if "readable" in dest.manifests.columns:
-        manifests = manifests.withColumn("readable", F.lit(True))
+    done = settle(commits.select(*PAIR, "manifest_id"), "committed")
+    manifests, objects, checkpoints = (
+        rows.join(done, ["db_key", "manifest_id"]) for rows in (source.manifests, source.objects, source.checkpoints)
+    )
     parts = object_class(F.concat(F.lit("/"), F.col("object_name")))
-    added = copies.select(
+    listed = copies.select(
         *PAIR, "kind", "object_name", F.when(F.col("kind") == "wal", parts["id"].cast("bigint")).alias("wal_id"),
         now.alias("last_modified"),
     )
+    return manifests, objects, checkpoints, listed
+
+
+def committed_state(source: Catalog, dest: Catalog, dest_listing: DataFrame, commits: DataFrame, copies: DataFrame,
+                    now: Column) -> tuple[Catalog, DataFrame]:
+    """The target and its listing once a plan's copies and commits are done; a committed manifest is readable."""
+    manifests, objects, checkpoints, listed = committed_rows(source, commits, copies, now)
+    if "readable" in dest.manifests.columns:
+        manifests = manifests.withColumn("readable", F.lit(True))
     merged = Catalog(
         dest.manifests.unionByName(manifests, allowMissingColumns=True),
-        dest.objects.unionByName(from_source(source.objects), allowMissingColumns=True),
-        dest.checkpoints.unionByName(from_source(source.checkpoints), allowMissingColumns=True),
+        dest.objects.unionByName(objects, allowMissingColumns=True),
+        dest.checkpoints.unionByName(checkpoints, allowMissingColumns=True),
     )
-    return merged, dest_listing.unionByName(added, allowMissingColumns=True)
+    return merged, dest_listing.unionByName(listed, allowMissingColumns=True)
 
 
 def sync_summary(plan: SyncPlan, prune_decisions: DataFrame | None = None,
