@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.catalog.fixtures import HEARTBEAT_TIMEOUT, SQL, TARGET, Fixtures
+from quayside.catalog.fleet_queries import PLACEMENT_VIEWS, entries, wanted
 from quayside.catalog.mirror_queries import SYNC_VIEWS, TAIL_VIEWS, floors
 from quayside.catalog.registration import query
 from quayside.functions.names import heartbeat_parts
+from quayside.operators import liveness
 from quayside.operators.snapshot import Catalog
 from quayside.session import settle, shared_dir
 from quayside.streaming.leases import lease_periods
+from quayside.streaming.handoff import HandoffStream
 from quayside.streaming.keyed import run_keyed
 from quayside.streaming.liveness import liveness_changes, liveness_periods, to_the_end
 from quayside.streaming.mirror import ContinuousMirror, run_available
@@ -234,3 +237,36 @@ def sm6(fx: Fixtures) -> DataFrame:
     lapsed = to_table(fx, periods(refreshes(streamed(fx, "events"))), "leases")
     out = to_the_end(lapsed, refreshes(fx.table("events")), "pin_id", "lapses_at", periods)
     return naive(out, "held_from", "lapses_at")
+
+
+# Which nodes are live in each of three views, by how many microseconds their heartbeat is old.
+FLEET_VIEWS = ("age_us < 18000000000", f"age_us < {HEARTBEAT_TIMEOUT}000000", "age_us >= 3600000000 AND age_us < 50000000000")
+
+
+def _handoff_sql() -> str:
+    seen = ", ".join(f"{view} AS live{n}" for n, view in enumerate(FLEET_VIEWS))
+    ranks = ", ".join(
+        f"live{n} AND row_number() OVER (PARTITION BY db_url, service, target ORDER BY NOT live{n}, score DESC, node_id) <= k AS own{n}" for n in range(len(FLEET_VIEWS))
+    )
+    owned = f"(SELECT *, {ranks} FROM (SELECT s.*, {seen} FROM fx_scored s JOIN fx_node n USING (node_id)))"
+    return " UNION ALL ".join(
+        f"""SELECT {n} AS micro_batch, db_url, service, target, string_agg(node_id, ',' ORDER BY node_id) FILTER (WHERE {was}) AS lost, string_agg(node_id, ',' ORDER BY node_id) FILTER (WHERE own{n}) AS gained
+        FROM {owned} WHERE {was} <> own{n} GROUP BY ALL""" for n, was in ((n, f"own{n - 1}" if n else "false") for n in range(len(FLEET_VIEWS)))
+    )
+
+
+@query("sm8_handoff_stream", _handoff_sql(), PLACEMENT_VIEWS)
+def sm8_stream(fx: Fixtures) -> DataFrame:
+    """Handoffs over three views of the fleet, the first of which finds nobody in charge."""
+    nodes = settle(
+        liveness.youngest_per_node(entries(fx)).select("node_id", "services", F.col("age_micros").alias("age_us")), "fleet"
+    )
+    job = HandoffStream(fx.spark, shared_dir(fx.spark, "handoffs"), settle(wanted(fx), "assignments"), full_every=2)
+    was = F.lit(False)
+    for number, view in enumerate(FLEET_VIEWS):
+        now = F.expr(view)
+        change = F.when(now & ~was, "up").when(~now & was, "down")
+        job(nodes.select("node_id", change.alias("change"), F.lit(number).alias("at"), "services").filter("change IS NOT NULL"), number)
+        was = now
+    text = {c: F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c) for c in ("lost", "gained")}
+    return job.events().select("micro_batch", "db_url", "service", "target", text["lost"], text["gained"])

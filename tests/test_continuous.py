@@ -6,9 +6,11 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 from test_mirror import World, at_target, listing_of, lit_now, rows, settled
 
-from quayside.plans import mirror, retention
+from quayside.operators import placement
 from quayside.operators.snapshot import Catalog
+from quayside.plans import mirror, retention
 from quayside.session import shared_dir
+from quayside.streaming.handoff import HandoffStream
 from quayside.streaming.mirror import ContinuousMirror
 from quayside.streaming.periodic import cut_history
 
@@ -92,6 +94,35 @@ def test_batches_equal_recomputing_everything(spark):
     assert snapshot == 1 and job.log("tails").count() and job.log("deletes").count()
 
 
+def test_handoffs_equal_ranking_the_whole_fleet(spark):
+    dice = random.Random(9)
+    services = ["gc", "mirror", "compaction-workers"]
+    wanted = spark.createDataFrame(
+        [(f"s3://d/{i}", s, "t" if s == "mirror" else None, 3 if s == "compaction-workers" else 1) for i in range(25) for s in services],
+        "db_url string, service string, target string, k int")
+    job = HandoffStream(spark, shared_dir(spark, "handoff-test"), wanted, full_every=2)
+    fleet, owned = {}, {}
+    for batch_id in range(4):
+        changes = []
+        for node in dice.sample(range(12), 12 if batch_id == 0 else 4):
+            name = f"n{node}"
+            offered = sorted(dice.sample(services, dice.randint(0, 3)))
+            if name in fleet and dice.random() < 0.5:
+                changes.append((name, "down", 1, fleet.pop(name)))
+            else:
+                changes += [(name, "up", 0, services), (name, "role" if name in fleet else "up", 1, offered)]
+                fleet[name] = offered
+        job(spark.createDataFrame(changes, "node_id string, change string, at int, services array<string>"), batch_id)
+        live = spark.createDataFrame(list(fleet.items()), "node_id string, services array<string>")
+        ranked = {(r.db_url, r.service): r.owners for r in placement.rank_nodes(wanted, live).collect()}
+        assert {(r.db_url, r.service): r.owners for r in job.owners(batch_id).collect()} == ranked
+        now = {key: {o.node_id for o in owners} for key, owners in ranked.items()}
+        want = {(key, tuple(sorted(owned.get(key, set()) - now[key])), tuple(sorted(now[key] - owned.get(key, set())))) for key in now if now[key] != owned.get(key, set())}
+        got = job.events().filter(F.col("micro_batch") == batch_id).collect()
+        assert {((r.db_url, r.service), tuple(r.lost), tuple(r.gained)) for r in got} == want and len(got) == len(want)
+        owned = now
+
+
 def test_cuts_are_those_of_going_through_the_history(spark):
     dice = random.Random(2)
     history, want = [], []
