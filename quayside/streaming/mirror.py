@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from quayside.operators.snapshot import Catalog, heads
 from quayside.plans.mirror import PAIR, commit_order, committed_rows, sync_plan
 from quayside.plans.retention import delete_order, prune_plan
 from quayside.session import settle
-from quayside.streaming.target import TargetLog
+from quayside.streaming.target import TargetLog, side_by_side
 
 _LOGS = {
     "copies": "db_key bigint, target string, kind string, object_name string",
@@ -31,10 +32,10 @@ def needed_at_source(source: Catalog, newest: DataFrame) -> Catalog:
     """
     pins = source.checkpoints.join(newest, ["db_key", "manifest_id"], "left_semi").select("db_key", F.col("pinned_id").alias("manifest_id"))
     needed = settle(newest.select("db_key", "manifest_id").unionByName(pins).distinct(), "mirror-needed")
-    return Catalog(*(
-        settle(rows.join(needed, ["db_key", "manifest_id"], "left_semi"), "mirror-needed")
+    return Catalog(*side_by_side([
+        partial(settle, rows.join(needed, ["db_key", "manifest_id"], "left_semi"), "mirror-needed")
         for rows in (source.manifests, source.objects, source.checkpoints)
-    ))
+    ]))
 
 
 class ContinuousMirror:
@@ -77,9 +78,11 @@ class ContinuousMirror:
 
         plan = sync_plan(source, dest, listing, pairs, self.now)
         fresh = plan.commits.drop("commit_seq").join(dest.manifests.select(*PAIR, "manifest_id"), [*PAIR, "manifest_id"], "left_anti")
-        commits = self._logged("commits", commit_order(fresh, PAIR), batch_id)
         there = listing.select(*PAIR, "kind", "object_name")
-        copies = self._logged("copies", plan.copies.join(there, [*PAIR, "kind", "object_name"], "left_anti"), batch_id)
+        commits, copies = side_by_side([
+            partial(self._logged, "commits", commit_order(fresh, PAIR), batch_id),
+            partial(self._logged, "copies", plan.copies.join(there, [*PAIR, "kind", "object_name"], "left_anti"), batch_id),
+        ])
         manifests, objects, checkpoints, copied = committed_rows(source, commits, copies, self.now)
         tails, tailed = self._tail(dest.manifests, manifests, listing.unionByName(copied, allowMissingColumns=True), pairs)
         self._logged("tails", tails, batch_id)

@@ -9,11 +9,17 @@ what it read before and overwrites only what it wrote itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.operators.snapshot import Catalog
+from quayside.session import settle
 
 PAIR = ["db_key", "target"]
 # What tells the rows of each table apart.
@@ -28,6 +34,12 @@ REMOVED = ("manifests", "listing")
 _NEVER = -1
 
 
+def side_by_side(jobs: Iterable[Callable[[], Any]]) -> list:
+    """Run a few independent Spark jobs at the same time; small ones are mostly waiting."""
+    with ThreadPoolExecutor(4) as pool:
+        return [done.result() for done in [pool.submit(job) for job in jobs]]
+
+
 class TargetLog:
     """The manifests, objects, checkpoints and listing of all targets, batch by batch."""
 
@@ -84,17 +96,22 @@ class TargetLog:
         The objects and checkpoints of removed manifests are removed with them.
         """
         tables = {name: self.table(name, until, snapshot, only, pruned) for name in KEYS}
+        if only is not None:
+            # A row per restore point, which every step of a pass asks for.
+            tables["manifests"] = settle(tables["manifests"], "target-manifests")
         there = tables["manifests"].select(*KEYS["manifests"])
         objects, checkpoints = (tables[name].join(there, KEYS["manifests"], "left_semi") for name in ("objects", "checkpoints"))
         return Catalog(tables["manifests"], objects, checkpoints), tables["listing"]
 
     def write(self, batch_id: int, kind: str, changes: dict[str, DataFrame]) -> None:
         """Write the ``added`` rows, or the keys ``removed``, of a batch."""
-        for name, changed in changes.items():
+        def put(name: str, changed: DataFrame) -> None:
             schema = self.first[name].select(*(self.first[name].columns if kind == "added" else KEYS[name])).schema
             rows = self.spark.createDataFrame([], schema).unionByName(changed, allowMissingColumns=True).select(*schema.names)
             rows.write.mode("overwrite").parquet(self._folder(kind, name, batch_id))
 
+        side_by_side([partial(put, name, changed) for name, changed in changes.items()])
+
     def close(self, batch_id: int) -> None:
         """End a batch: point the next one to its snapshot, which is a new one if the changes have become many."""
         snapshot, changed = self.snapshot_before(batch_id)
@@ -103,8 +120,9 @@ class TargetLog:
         if batch_id - snapshot >= self.fold_batches or changed >= self.fold_rows:
             catalog, listing = self.state(batch_id, snapshot)
             tables = {"manifests": catalog.manifests, "objects": catalog.objects, "checkpoints": catalog.checkpoints, "listing": listing}
-            for name, rows in tables.items():
-                rows.write.mode("overwrite").parquet(self._folder("snapshots", name, batch_id))
+            side_by_side([
+                partial(rows.write.mode("overwrite").parquet, self._folder("snapshots", name, batch_id)) for name, rows in tables.items()
+            ])
             snapshot, changed = batch_id, 0
         pointer = self.spark.createDataFrame([(snapshot, changed)], "snapshot int, changed bigint")
         pointer.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/pointer/micro_batch={batch_id}")
