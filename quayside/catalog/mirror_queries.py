@@ -287,6 +287,29 @@ def snk2(fx: Fixtures) -> DataFrame:
     return commit.commit_classes(source, target, ["db_key"], "manifest_id")
 
 
+@query(
+    "snk3_plan_totals",
+    """SELECT page_id % 20 AS db_key, concat('t', CAST(page_id % 3 AS VARCHAR)) AS target, count(*) FILTER (WHERE page_id % 50 <> 7) AS objects,
+      CAST(coalesce(sum(strlen(html)) FILTER (WHERE page_id % 50 <> 7), 0) AS BIGINT) AS bytes, count(*) FILTER (WHERE page_id % 50 = 7) AS failed FROM pages GROUP BY ALL""",
+)
+def snk3_plan(fx: Fixtures) -> DataFrame:
+    """A plan of many pairs carried out, each target with its own parallelism; some objects are gone at the source."""
+    from quayside.session import shared_dir
+
+    root = shared_dir(fx.spark, "objects")
+    pages = fx.table("pages").select(
+        (F.col("page_id") % 20).alias("db_key"), F.concat(F.lit("t"), (F.col("page_id") % 3).cast("string")).alias("target"),
+        (F.col("page_id") % 3 + 1).alias("copy_parallelism"), (F.col("page_id") % 50 == 7).alias("gone"),
+        F.concat(F.lit("compacted/page-"), F.col("page_id").cast("string"), F.lit(".sst")).alias("object_name"), F.encode("html", "UTF-8").alias("content"),
+    )
+    objects.put_objects(pages.filter("NOT gone"), f"{root}/source").write.parquet(f"{root}/written")
+    plan = pages.select(
+        *PAIR, "copy_parallelism", "object_name", F.concat(F.lit(f"{root}/source/"), "object_name").alias("source"),
+        F.concat(F.lit(f"{root}/"), "target", F.lit("/"), F.col("db_key").cast("string"), F.lit("/"), "object_name").alias("dest"),
+    )
+    return objects.copied_totals(objects.copy_rows(plan, PAIR), PAIR)
+
+
 @query("snk3_object_copy", "SELECT concat('wal/page-', CAST(page_id AS VARCHAR), '.sst') AS name, octet_length(CAST(html AS BLOB)) AS bytes, CAST(NULL AS VARCHAR) AS error FROM pages".replace("octet_length(CAST(html AS BLOB))", "strlen(html)"))
 def snk3(fx: Fixtures) -> DataFrame:
     """Every page written as an object and copied by the executors."""

@@ -20,10 +20,16 @@ _COPIED = "name string, bytes bigint, error string"
 _DELETED = "path string, deleted boolean, error string"
 
 
+# Objects of one target that are copied at a time, unless the plan says otherwise.
+COPIED_AT_ONCE = 8
+
+
 def _open(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    # What Hadoop calls s3a or s3n is the same store.
+    scheme, colon, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") and colon else uri)
 
 
 def _copy_one(source: str, dest: str) -> int:
@@ -43,10 +49,16 @@ def copy_rows(plan: DataFrame, keys: list[str], tasks: int | None = None) -> Dat
     """Copy every row's ``source`` URI to its ``dest`` URI: the ``keys``, name, bytes, error.
 
     A plan may mix any number of databases and targets; the rows are dealt
-    evenly over ``tasks``, by default as many as the session shuffles to. A
+    evenly over ``tasks``, by default as many as the session shuffles to. With a
+    column ``copy_parallelism`` the rows of each of the ``keys`` are dealt over
+    at most so many of them, so that no target is asked for more at a time. A
     failed object carries its error instead of failing the others.
     """
-    kept = plan.select(*keys, "object_name", "source", "dest")
+    slots = None
+    if "copy_parallelism" in plan.columns:
+        at_once = F.greatest(F.coalesce("copy_parallelism", F.lit(COPIED_AT_ONCE)), F.lit(1))
+        slots = F.pmod(F.xxhash64("object_name"), at_once)
+    kept = plan.select(*keys, "object_name", "source", "dest", (F.lit(0) if slots is None else slots).alias("_slot"))
     columns = [*keys, "name", "bytes", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,7 +76,8 @@ def copy_rows(plan: DataFrame, keys: list[str], tasks: int | None = None) -> Dat
 
     tasks = tasks or int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     types = "".join(f"{field.name} {field.dataType.simpleString()}, " for field in kept.select(*keys).schema)
-    return kept.repartition(tasks).mapInPandas(run, types + _COPIED)
+    dealt = kept.repartition(tasks) if slots is None else kept.repartition(tasks, *keys, "_slot")
+    return dealt.mapInPandas(run, types + _COPIED)
 
 
 def copy_objects(plan: DataFrame, source_root: str, dest_root: str, tasks: int | None = None) -> DataFrame:
@@ -79,9 +92,9 @@ def copy_objects(plan: DataFrame, source_root: str, dest_root: str, tasks: int |
     return copy_rows(rooted, [], tasks)
 
 
-def copied_totals(copied: DataFrame) -> DataFrame:
-    """One row: objects and bytes moved, objects that failed."""
-    return copied.agg(
+def copied_totals(copied: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Objects and bytes moved and objects that failed, in one row, or one per value of the ``keys``."""
+    return copied.groupBy(*(keys or [])).agg(
         F.count_if(F.col("error").isNull()).alias("objects"),
         F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("bytes"),
         F.count_if(F.col("error").isNotNull()).alias("failed"),

@@ -188,6 +188,22 @@ def test_objects_are_written_listed_copied_and_deleted(spark, tmp_path):
     assert not (tmp_path / "dst/wal/1.sst").exists()
 
 
+def test_a_plan_is_copied_with_the_parallelism_of_each_target(spark, tmp_path):
+    root = str(tmp_path)
+    names = [f"wal/{i}.sst" for i in range(60)]
+    objects.put_objects(spark.createDataFrame([(n, b"x" * i) for i, n in enumerate(names)], "object_name string, content binary"), f"{root}/src").count()
+    plan = spark.createDataFrame(
+        [(db, t, p, n, f"{root}/src/{n}", f"{root}/{t}/{db}/{n}") for db, t, p in ((1, "slow", 1), (1, "fast", 5), (2, "plain", None)) for n in [*names, "wal/none.sst"]],
+        "db_key bigint, target string, copy_parallelism int, object_name string, source string, dest string")
+    copied = objects.copy_rows(plan, ["db_key", "target"], tasks=16)
+    tasks = copied.withColumn("task", F.spark_partition_id()).groupBy("target").agg(F.count_distinct("task").alias("tasks"))
+    spread = {r.target: r.tasks for r in tasks.collect()}
+    assert spread["slow"] == 1 and 1 < spread["fast"] <= 5 and 1 < spread["plain"] <= 8
+    totals = {(r.db_key, r.target): (r.objects, r.bytes, r.failed) for r in objects.copied_totals(copied, ["db_key", "target"]).collect()}
+    assert totals == {key: (60, 1770, 1) for key in ((1, "slow"), (1, "fast"), (2, "plain"))}
+    assert (tmp_path / "fast/1/wal/59.sst").read_bytes() == b"x" * 59
+
+
 def test_one_divergence_stops_its_group_only(spark):
     schema = "db_key bigint, manifest_id bigint, content string"
     source = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "a"), (2, 2, "c")], schema)
