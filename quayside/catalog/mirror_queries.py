@@ -366,6 +366,34 @@ def wn4(fx: Fixtures) -> DataFrame:
     return ordered.contiguous_run(fx.wal, floors(fx), ["db_key"], "wal_id", "floor")
 
 
+LAGGING = "wal_id < (SELECT max(o_orderkey) FROM orders) - 260 + 60 * db_key"
+TARGET_TAIL_VIEWS = {
+    "fx_start": f"""SELECT h.db_key, h.target, greatest(m.next_wal_sst_id, coalesce(w.last + 1, 0)) AS floor FROM fx_dst_head h JOIN fx_dst_manifest m ON m.db_key = h.db_key AND m.manifest_id = h.watermark
+      LEFT JOIN (SELECT db_key, max(wal_id) AS last FROM fx_wal WHERE {LAGGING} GROUP BY db_key) w ON w.db_key = h.db_key""",
+    "fx_after": "SELECT w.db_key, s.target, w.wal_id, s.floor, row_number() OVER (PARTITION BY w.db_key ORDER BY w.wal_id) AS n FROM fx_wal w JOIN fx_start s USING (db_key) WHERE w.wal_id >= s.floor",
+}
+
+
+def target_tail_starts(fx: Fixtures) -> DataFrame:
+    """Where the tails of targets start that lag behind by database."""
+    bound = F.lit(fx._top_order() - 260) + F.col("db_key") * 60
+    listing = fx.wal.filter(F.col("wal_id") < bound).select("db_key", F.lit(TARGET).alias("target"), F.lit("wal").alias("kind"), "wal_id")
+    return mirror.tail_starts(fx.dst_manifest, listing)
+
+
+@query("wn4_tail_starts", "SELECT * FROM fx_start", TARGET_TAIL_VIEWS)
+def wn4_starts(fx: Fixtures) -> DataFrame:
+    """Where each target's tail starts: after its last WAL, or at its newest manifest's open ones."""
+    return target_tail_starts(fx)
+
+
+@query("wn4_target_tail", "SELECT db_key, target, wal_id FROM fx_after WHERE wal_id - floor = n - 1", TARGET_TAIL_VIEWS)
+def wn4_target(fx: Fixtures) -> DataFrame:
+    """WAL ids that can be tailed to each target now."""
+    wal = fx.wal.withColumn("target", F.lit(TARGET))
+    return ordered.contiguous_run(wal, target_tail_starts(fx), PAIR, "wal_id", "floor").select(*PAIR, "wal_id")
+
+
 @query(
     "wn5_gap_report",
     "SELECT db_key, wal_id + 1 AS gap_start, nxt - 1 AS gap_end FROM (SELECT *, lead(wal_id) OVER (PARTITION BY db_key ORDER BY wal_id) AS nxt FROM fx_wal) WHERE nxt > wal_id + 1",

@@ -204,6 +204,19 @@ def committed_state(source: Catalog, dest: Catalog, dest_listing: DataFrame, com
     return merged, dest_listing.unionByName(listed, allowMissingColumns=True)
 
 
+def tail_starts(manifests: DataFrame, listing: DataFrame) -> DataFrame:
+    """(db_key, target, floor): the id from which on each target's log is tailed.
+
+    That is the one after the target's last WAL, or where its newest manifest
+    says that WALs which no snapshot holds begin, whichever is later.
+    """
+    last = listing.filter("kind = 'wal'").groupBy(*PAIR).agg((F.max("wal_id") + 1).alias("after"))
+    tops = heads(manifests.select(*PAIR, "manifest_id", "next_wal_sst_id"), PAIR_KEYS)
+    return tops.join(last, PAIR, "left").select(
+        *PAIR, F.greatest("next_wal_sst_id", F.coalesce("after", F.lit(0))).cast("bigint").alias("floor")
+    )
+
+
 def sync_summary(plan: SyncPlan, prune_decisions: DataFrame | None = None,
                  source_listing: DataFrame | None = None) -> DataFrame:
     """One row per pair: head, committed or not, and what is copied and pruned.

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quayside.functions.names import object_class, wal_name
 from quayside.operators.ordered import contiguous_from
-from quayside.operators.snapshot import Catalog, heads
-from quayside.plans.mirror import PAIR, commit_order, committed_rows, sync_plan
+from quayside.operators.snapshot import Catalog
+from quayside.plans.mirror import PAIR, commit_order, committed_rows, sync_plan, tail_starts
 from quayside.plans.retention import delete_order, prune_plan
 from quayside.session import settle
 from quayside.streaming.target import TargetLog, side_by_side
@@ -104,21 +104,12 @@ class ContinuousMirror:
         self.target.close(batch_id)
 
     def _tail(self, before: DataFrame, committed: DataFrame, listing: DataFrame, pairs: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-        """Dense WAL ids after what the target has, as runs and as rows of its listing.
-
-        A tail starts after the target's last WAL, or where its newest manifest
-        says that unflushed WALs begin, whichever is later.
-        """
+        """Dense WAL ids after what the target has, as runs and as rows of its listing."""
         if self.wals is None:
             return None, None
         wanted = [*PAIR, "manifest_id", "next_wal_sst_id"]
-        tops = heads(before.select(*wanted).unionByName(committed.select(*wanted)), ("db_key", "target"))
-        last = listing.filter("kind = 'wal'").groupBy(*PAIR).agg((F.max("wal_id") + 1).alias("after"))
-        floors = settle(
-            tops.join(pairs.select(*PAIR), PAIR, "left_semi").join(last, PAIR, "left")
-            .select(*PAIR, F.greatest("next_wal_sst_id", F.coalesce("after", F.lit(0))).cast("bigint").alias("floor")),
-            "tail-floors",
-        )
+        manifests = before.select(*wanted).unionByName(committed.select(*wanted)).join(pairs.select(*PAIR), PAIR, "left_semi")
+        floors = settle(tail_starts(manifests, listing), "tail-floors")
         ids = self.wals.join(floors, "db_key").filter(F.col("wal_id") >= F.col("floor")).select(*PAIR, "wal_id").distinct()
         reached = contiguous_from(ids, floors, PAIR, "wal_id", "floor").filter(F.col("next") > F.col("floor"))
         runs = settle(reached.select(*PAIR, F.col("floor").alias("from_id"), (F.col("next") - 1).alias("to_id")), "tail-runs")
