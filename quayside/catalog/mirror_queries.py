@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quayside.catalog.fixtures import KEEP_SECONDS, MIN_AGE_SECONDS, MIRROR_NOW, TARGET, Fixtures
 from quayside.catalog.registration import query
-from quayside.operators import ordered, sets, snapshot
+from quayside.operators import intervals, ordered, sets, snapshot
 from quayside.plans import audits, lag, mirror, restore, retention
+from quayside.session import settle
 from quayside.sinks import commit, objects, responses
 from quayside.sources import jobs, listings
 
@@ -16,6 +17,12 @@ PAIR = ["db_key", "target"]
 LIVE = f"(expire_time IS NULL OR expire_time > TIMESTAMP '{MIRROR_NOW}')"
 
 
+def runs_sql(ids: str, keys: str, number: str = "wal_id") -> str:
+    """The fewest runs of distinct ids: those whose distance to their rank is the same."""
+    return f"""SELECT {keys}, min({number}) AS "start", max({number}) + 1 AS "end"
+      FROM (SELECT *, {number} - row_number() OVER (PARTITION BY {keys} ORDER BY {number}) AS island FROM ({ids})) GROUP BY {keys}, island"""
+
+
 # ------------------------------------------------------- snapshot listings
 
 LISTING_VIEW = {
@@ -131,6 +138,17 @@ def ag5(fx: Fixtures) -> DataFrame:
     return snapshot.closure_objects(members, fx.source.objects)
 
 
+CLOSURE_IDS = "SELECT DISTINCT m.db_key, m.head, unnest(range(x.replay_after_wal_id + 1, x.next_wal_sst_id)) AS wal_id FROM fx_member m JOIN fx_src_manifest x ON x.db_key = m.db_key AND x.manifest_id = m.member_id WHERE m.present"
+
+
+@query("ag5_closure_wal_runs", runs_sql(CLOSURE_IDS, "db_key, head"))
+def ag5_runs(fx: Fixtures) -> DataFrame:
+    """The WAL ids of every head's closure, as runs."""
+    roots = snapshot.heads(fx.source.manifests).select("db_key", "manifest_id")
+    members = snapshot.closure_members(fx.source, roots, fx.mirror_now).filter("present")
+    return snapshot.closure_runs(members, fx.source.manifests)
+
+
 @query(
     "ag12_object_counts",
     "SELECT db_key, manifest_id, count(*) FILTER (WHERE kind = 'wal') AS n_wal, count(*) FILTER (WHERE kind = 'compacted') AS n_compacted, count(*) AS n_objects FROM fx_nested GROUP BY db_key, manifest_id",
@@ -155,6 +173,40 @@ def st1(fx: Fixtures) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
+RUN_VIEWS = {
+    "fx_window_id": "SELECT DISTINCT db_key, unnest(range(replay_after_wal_id + 1, next_wal_sst_id)) AS wal_id FROM fx_manifest",
+    "fx_listed_id": "SELECT DISTINCT db_key, wal_id FROM fx_dst_object WHERE wal_id IS NOT NULL",
+}
+RUN_OPS = {"difference": "EXCEPT", "intersection": "INTERSECT", "union": "UNION"}
+
+
+@query(
+    "st1_run_algebra",
+    " UNION ALL ".join(
+        f"""SELECT '{op}' AS op, * FROM ({runs_sql(f"SELECT * FROM fx_window_id {word} SELECT * FROM fx_listed_id", "db_key")})"""
+        for op, word in RUN_OPS.items()
+    ),
+    RUN_VIEWS,
+)
+def st1_runs(fx: Fixtures) -> DataFrame:
+    """Windows of all manifests against the WAL ids that the target lists, as runs."""
+    windows, listed = snapshot.window_runs(fx.manifest), intervals.as_runs(fx.dst_object, ["db_key"], "wal_id")
+    rows = [
+        getattr(intervals, op)(windows, listed, ["db_key"]).select(F.lit(op).alias("op"), "db_key", "start", "end") for op in RUN_OPS
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(
+    "st2_window_sizes",
+    "SELECT db_key, count(*) AS n_ids FROM fx_window_id GROUP BY db_key",
+    RUN_VIEWS,
+)
+def st2_sizes(fx: Fixtures) -> DataFrame:
+    """How many WAL ids each database's windows hold, without expanding them."""
+    return intervals.sizes(snapshot.window_runs(fx.manifest), ["db_key"])
+
+
 # ---------------------------------------------------------------- sync
 
 SYNC_VIEWS = {
@@ -201,6 +253,18 @@ def jb2_copies(fx: Fixtures) -> DataFrame:
     return sync(fx).copies
 
 
+COPY_IDS = "SELECT db_key, target, CAST(substr(object_name, 5, 20) AS BIGINT) AS wal_id FROM fx_copy WHERE kind = 'wal'"
+
+
+@query("jb2_wal_runs", runs_sql(COPY_IDS, "db_key, target"), SYNC_VIEWS)
+def jb2_runs(fx: Fixtures) -> DataFrame:
+    """The WAL ids each pass copies, as runs."""
+    ready, members = ready_parts(fx)
+    ready, members = settle(ready, "ready"), settle(members, "members")
+    present = mirror.present_manifests(fx.source, fx.dest, ready, members, fx.mirror_now)
+    return mirror.wal_runs_to_copy(fx.src_manifest, fx.dst_object, ready, members, present)
+
+
 @query(
     "so1_commit_order",
     "SELECT *, row_number() OVER (PARTITION BY db_key, target ORDER BY manifest_id) AS commit_seq FROM fx_commit",
@@ -366,6 +430,12 @@ def wn4(fx: Fixtures) -> DataFrame:
     return ordered.contiguous_run(fx.wal, floors(fx), ["db_key"], "wal_id", "floor")
 
 
+@query("wn4_tail_runs", "SELECT f.db_key, f.floor, max(r.wal_id) + 1 AS next FROM fx_floor f JOIN fx_run r USING (db_key) GROUP BY f.db_key, f.floor", TAIL_VIEWS)
+def wn4_runs(fx: Fixtures) -> DataFrame:
+    """How far each tail gets from its floor: a row per database, whatever its length."""
+    return intervals.dense_until(intervals.as_runs(fx.wal, ["db_key"], "wal_id"), floors(fx), ["db_key"], "floor")
+
+
 LAGGING = "wal_id < (SELECT max(o_orderkey) FROM orders) - 260 + 60 * db_key"
 TARGET_TAIL_VIEWS = {
     "fx_start": f"""SELECT h.db_key, h.target, greatest(m.next_wal_sst_id, coalesce(w.last + 1, 0)) AS floor FROM fx_dst_head h JOIN fx_dst_manifest m ON m.db_key = h.db_key AND m.manifest_id = h.watermark

@@ -1,9 +1,9 @@
 """Ordered work within a key that stays spread out when one key is huge.
 
 A window over ``partitionBy(key)`` puts a whole key into one task. Here each
-key is cut into ranges of the ordering number, the ranges are summarised (a
-small table), and what a range needs from its neighbours is added to it as one
-extra row. The window then runs per (key, range).
+key is cut into ranges of the ordering number, or into pieces of equal size,
+these are summarised (a small table), and what one needs from its neighbours is
+added to it as one extra row. The window then runs per (key, range).
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.session import settle
+
 # Numbers per range; a range is the unit of work of one window group.
 RANGE_WIDTH = 65_536
 
@@ -44,44 +46,41 @@ def row_number_by(df: DataFrame, keys: list[str], order: str, out: str, width: i
     )
 
 
-def next_id(df: DataFrame, keys: list[str], order: str, out: str, width: int = RANGE_WIDTH) -> DataFrame:
+def pieces(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``df`` in the order of ``keys`` and ``order``, written, with the number ``_piece`` of the part each row lies in.
+
+    Pieces hold about as many rows each, whether numbers are dense, sparse or
+    skewed: they are the partitions of a range partitioning, for which Spark
+    samples the rows. A busy key takes many pieces, many small keys share one,
+    and equal rows of (keys, order) lie in the same. They are written so that
+    every step that follows sees the same cuts.
+    """
+    dealt = df.repartitionByRange(*keys, order).withColumn("_piece", F.spark_partition_id())
+    return settle(dealt, "pieces")
+
+
+def next_id(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
     """Add ``out``: the next larger ``order`` of the key, NULL on the last row.
 
     Expects one row per (keys, order).
     """
-    ranged = df.withColumn("_range", _range_of(order, width))
-    following = Window.partitionBy(*keys).orderBy("_range")
+    dealt = pieces(df, keys, order)
+    following = Window.partitionBy(*keys).orderBy("_piece")
     first_of_next = (
-        ranged.groupBy(*keys, "_range").agg(F.min(order).alias("_first"))
-        .select(*keys, "_range", F.lead("_first").over(following).alias(order))
+        dealt.groupBy(*keys, "_piece").agg(F.min(order).alias("_first"))
+        .select(*keys, "_piece", F.lead("_first").over(following).alias(order))
         .filter(F.col(order).isNotNull())
         .withColumn("_borrowed", F.lit(True))
     )
-    rows = ranged.unionByName(first_of_next, allowMissingColumns=True)
-    within = Window.partitionBy(*keys, "_range").orderBy(order)
+    rows = dealt.unionByName(first_of_next, allowMissingColumns=True)
+    within = Window.partitionBy(*keys, "_piece").orderBy(order)
     return (
         rows.withColumn(out, F.lead(order).over(within))
         .filter(F.col("_borrowed").isNull())
-        .drop("_range", "_borrowed")
+        .drop("_piece", "_borrowed")
     )
 
 
-def _sample_spans(samples: DataFrame, keys: list[str], sample: str, width: int | None) -> DataFrame:
-    low, high = F.min(sample), F.max(sample)
-    fitted = F.ceil((high - low + 1) / F.ceil(F.sqrt(F.count(sample))))
-    chosen = F.lit(width) if width else F.greatest(fitted, F.lit(1))
-    return samples.groupBy(*keys).agg(
-        F.struct(low.alias("low"), high.alias("high"), chosen.cast("bigint").alias("width")).alias("_span")
-    )
-
-
-def _with_sample_range(df: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``_range``; numbers outside the samples' span fall into its end ranges."""
-    df = df.join(spans, keys) if keys else df.withColumn("_span", spans.scalar())
-    inside = F.least(F.greatest(F.col("_at"), F.col("_span.low") - 1), F.col("_span.high"))
-    return df.withColumn("_range", F.floor(inside / F.col("_span.width")).cast("bigint")).drop("_span")
-
-
 def asof_round_down(
     points: DataFrame,
     samples: DataFrame,
@@ -90,7 +89,6 @@ def asof_round_down(
     sample: str,
     value: str,
     out: str,
-    width: int | None = None,
     largest: bool = False,
 ) -> DataFrame:
     """Add ``out`` to ``points``: ``value`` of the newest sample at or below ``point``.
@@ -99,43 +97,38 @@ def asof_round_down(
     ``point`` instead. NULL where every sample is larger. ``keys`` may be empty
     for one shared series of samples.
 
-    Without a ``width`` each key gets one that cuts its samples' span into
-    about as many ranges as a range then holds samples.
+    Samples and points are cut into pieces together, so points that crowd
+    between two samples, or lie beyond them all, are spread as well.
     """
     wanted = points.select(*keys, F.col(point).alias("_at")).filter(F.col(point).isNotNull()).distinct()
     known = samples.groupBy(*keys, F.col(sample).alias("_at")).agg(F.max(value).alias("_value")).filter(
         F.col("_at").isNotNull()
     )
-    spans = _sample_spans(samples, keys, sample, width)
-    wanted, known = (_with_sample_range(df, spans, keys) for df in (wanted, known))
-    # The last sample of every range, carried into the ranges after it.
-    ranges = known.select(*keys, "_range", "_at", "_value").unionByName(
-        wanted.select(*keys, "_range"), allowMissingColumns=True
+    dealt = pieces(
+        known.withColumn("_kind", F.lit(1)).unionByName(wanted.withColumn("_kind", F.lit(2)), allowMissingColumns=True),
+        keys, "_at",
     )
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    summary = F.max("_value") if largest else F.max_by("_value", "_at")
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.col("_kind") == 1
+    summary = F.max("_value") if largest else F.max_by("_value", F.when(own, F.col("_at")))
 
     def so_far(column: str):
         return F.max(column) if largest else F.last(column, ignorenulls=True)
 
+    # The last sample of every piece, carried into the pieces after it.
     carried = (
-        ranges.groupBy(*keys, "_range").agg(summary.alias("_last"))
-        .select(*keys, "_range", so_far("_last").over(earlier).alias("_value"))
+        dealt.groupBy(*keys, "_piece").agg(summary.alias("_last"))
+        .select(*keys, "_piece", so_far("_last").over(earlier).alias("_value"))
         .filter(F.col("_value").isNotNull())
         .withColumn("_kind", F.lit(0))
     )
-    rows = (
-        known.withColumn("_kind", F.lit(1))
-        .unionByName(carried, allowMissingColumns=True)
-        .unionByName(wanted.withColumn("_kind", F.lit(2)), allowMissingColumns=True)
-    )
-    # A carried sample has no number and sorts before the range's own ones.
+    # A carried sample has no number and sorts before the piece's own ones.
     within = (
-        Window.partitionBy(*keys, "_range").orderBy(F.col("_at").asc_nulls_first(), "_kind")
+        Window.partitionBy(*keys, "_piece").orderBy(F.col("_at").asc_nulls_first(), "_kind")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     answers = (
-        rows.withColumn(out, so_far("_value").over(within))
+        dealt.unionByName(carried, allowMissingColumns=True).withColumn(out, so_far("_value").over(within))
         .filter(F.col("_kind") == 2)
         .select(*keys, F.col("_at").alias(point), out)
     )
@@ -176,9 +169,9 @@ def contiguous_run(ids: DataFrame, floors: DataFrame, keys: list[str], number: s
     )
 
 
-def gaps(ids: DataFrame, keys: list[str], number: str, width: int = RANGE_WIDTH) -> DataFrame:
+def gaps(ids: DataFrame, keys: list[str], number: str) -> DataFrame:
     """``keys, gap_start, gap_end``: every hole between two present ids, inclusive."""
-    following = next_id(ids.select(*keys, number).distinct(), keys, number, "_next", width)
+    following = next_id(ids.select(*keys, number).distinct(), keys, number, "_next")
     return following.filter(F.col("_next") > F.col(number) + 1).select(
         *keys, (F.col(number) + 1).alias("gap_start"), (F.col("_next") - 1).alias("gap_end")
     )

@@ -25,13 +25,6 @@ def looked_up(big: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
     return big.select(*on).join(wanted.select(*on), on, "left_semi").distinct()
 
 
-def open_range(low, high):
-    """The integers strictly between two columns, as an array (empty if none)."""
-    return F.when(high - low > 1, F.sequence(low + 1, high - 1)).otherwise(
-        F.array().cast("array<bigint>")
-    )
-
-
 def with_self(live: DataFrame, viewers: DataFrame) -> DataFrame:
     """The node set each viewer places with: the live nodes, and itself.
 

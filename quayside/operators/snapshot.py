@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions.names import compacted_name, wal_name
 from quayside.functions.predicates import checkpoint_live
-from quayside.operators.sets import open_range
+from quayside.operators.intervals import chunk_ids, chunks, merged
 
 
 @dataclass(frozen=True)
@@ -34,8 +34,8 @@ def manifest_objects(manifests: DataFrame, keys: tuple[str, ...] = ("db_key",))
     ``l0``, every run's ``ssts``, and the same of every segment are lists of
     ``struct<ulid, wal_id>``; an entry with a WAL id is a WAL object. The WAL
     window between the replay position and the next id is open on both ends.
-    A manifest is one row, so its set of names is made within the row: the
-    table is read once and nothing is shuffled.
+    A manifest is one row, so its set of names is made within the row and the
+    window by chunks: the table is read once and nothing is shuffled.
     """
     ids = [*keys, "manifest_id"]
     runs = F.flatten(F.transform("runs", lambda r: r["ssts"]))
@@ -47,16 +47,26 @@ def manifest_objects(manifests: DataFrame, keys: tuple[str, ...] = ("db_key",))
     )
     none = F.array().cast("array<struct<ulid:string,wal_id:bigint>>")
     views = F.concat(*[F.coalesce(part, none) for part in (F.col("l0"), runs, in_segments)])
-    listed = F.transform(
-        views,
-        lambda v: F.coalesce(wal_name(v["wal_id"]), compacted_name(v["ulid"])),
+    # A WAL object that the window holds too is left to the window.
+    outside = F.filter(views, lambda v: ~F.coalesce(
+        (v["wal_id"] > F.col("replay_after_wal_id")) & (v["wal_id"] < F.col("next_wal_sst_id")), F.lit(False)))
+    listed = F.array_distinct(F.transform(outside, lambda v: F.coalesce(wal_name(v["wal_id"]), compacted_name(v["ulid"]))))
+    # One part for what is listed and one per chunk of the window: no row holds a whole window.
+    no_names = F.lit(None).cast("array<string>")
+    parts = F.concat(
+        F.array(F.struct(listed.alias("names"), F.lit(None).cast("bigint").alias("first"))),
+        F.transform(_window_chunks(), lambda first: F.struct(no_names.alias("names"), first.alias("first"))),
     )
-    names = F.array_distinct(F.concat(listed, _window_names()))
-    return _named_objects(manifests, ids, names)
+    cut = manifests.select(*ids, "next_wal_sst_id", F.explode(parts).alias("_part"))
+    return _named_objects(cut, ids, F.coalesce("_part.names", _chunk_names(F.col("_part.first"))))
 
 
-def _window_names() -> Column:
-    return F.transform(open_range(F.col("replay_after_wal_id"), F.col("next_wal_sst_id")), wal_name)
+def _window_chunks() -> Column:
+    return chunks(F.col("replay_after_wal_id") + 1, F.col("next_wal_sst_id"))
+
+
+def _chunk_names(first: Column) -> Column:
+    return F.transform(chunk_ids(first, F.col("next_wal_sst_id")), wal_name)
 
 
 def _named_objects(manifests: DataFrame, ids: list[str], names: Column) -> DataFrame:
@@ -66,9 +76,23 @@ def _named_objects(manifests: DataFrame, ids: list[str], names: Column) -> DataF
 
 
 def window_objects(manifests: DataFrame, keys: tuple[str, ...] = ("db_key",)) -> DataFrame:
-    """Only the WAL-window objects of flat manifest rows."""
+    """Only the WAL-window objects of flat manifest rows, a chunk of a window at a time."""
     ids = [*keys, "manifest_id"]
-    return _named_objects(manifests, ids, _window_names())
+    cut = manifests.select(*ids, "next_wal_sst_id", F.explode(_window_chunks()).alias("_first"))
+    return _named_objects(cut, ids, _chunk_names(F.col("_first")))
+
+
+def window_runs(manifests: DataFrame, keys: tuple[str, ...] = ("db_key",)) -> DataFrame:
+    """(keys, manifest_id, start, end): the WAL window of each manifest that has one, as a run of ids."""
+    return manifests.select(
+        *keys, "manifest_id", (F.col("replay_after_wal_id") + 1).alias("start"), F.col("next_wal_sst_id").alias("end")
+    ).filter("end > start")
+
+
+def closure_runs(members: DataFrame, manifests: DataFrame, keys: tuple[str, ...] = ("db_key",)) -> DataFrame:
+    """(keys, head, start, end): the WAL ids of each closure's windows as runs, however long they are."""
+    windows = window_runs(manifests, keys).withColumnRenamed("manifest_id", "member_id")
+    return merged(members.select(*keys, "head", "member_id").join(windows, [*keys, "member_id"]), [*keys, "head"])
 
 
 def heads(manifests: DataFrame, keys: tuple[str, ...] = ("db_key",)) -> DataFrame:

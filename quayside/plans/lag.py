@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quayside.functions.predicates import behind, micros_between
 from quayside.operators.ordered import asof_round_down
 from quayside.operators.snapshot import heads
+from quayside.session import settle
 
 PAIR = ["db_key", "target"]
 
@@ -34,8 +35,13 @@ def mirror_lag(pairs: DataFrame, source: DataFrame, dest: DataFrame, source_wals
         pairs.join(src, "db_key", "left").join(dst, PAIR, "left")
         .join(src_wal, "db_key", "left").join(dst_wal, PAIR, "left")
     )
-    for side in ("source", "dest"):
-        rows = asof_round_down(rows, samples, sample_keys, f"{side}_seq", "seq", "ts", f"{side}_ts")
+    # Both sides' numbers are looked up at once.
+    sides = ("source", "dest")
+    asked = rows.select(*sample_keys, F.explode(F.array(*[f"{side}_seq" for side in sides])).alias("_seq")).distinct()
+    times = settle(asof_round_down(asked.filter(F.col("_seq").isNotNull()), samples, sample_keys, "_seq", "seq", "ts", "_ts"), "lag-times")
+    for side in sides:
+        found = times.withColumnsRenamed({"_seq": f"{side}_seq", "_ts": f"{side}_ts"})
+        rows = rows.join(found, [*sample_keys, f"{side}_seq"], "left")
     if failures is not None:
         rows = rows.join(failures.select(*PAIR, "error"), PAIR, "left")
     else:

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.names import object_class
+from quayside.operators import intervals
 from quayside.operators.ordered import row_number_by
 from quayside.operators.sets import looked_up
 from quayside.operators.snapshot import (
-    Catalog, closure_members, heads, live_pins, member_objects,
+    Catalog, closure_members, heads, live_pins, member_objects, window_runs,
 )
 from quayside.session import settle
 
@@ -120,6 +121,24 @@ def missing_at_target(candidates: DataFrame, listing: DataFrame) -> DataFrame:
     return candidates.join(there, on, "left").filter(~checked | F.col("_there").isNull()).drop("_there")
 
 
+def wal_runs_to_copy(source: DataFrame, dest_listing: DataFrame, ready: DataFrame, members: DataFrame,
+                     present: DataFrame) -> DataFrame:
+    """(db_key, target, start, end): the windows' WAL ids that a pass copies, as runs.
+
+    The same ids as among the copies of :func:`sync_plan`, where those come from
+    windows, without a row per id: the closure's windows less those of
+    ``present`` manifests and less what the target lists.
+    """
+    windows = window_runs(source)
+    wanted = (
+        members.select("db_key", F.col("member_id").alias("manifest_id")).join(windows, ["db_key", "manifest_id"])
+        .join(ready.select(*PAIR), "db_key").select(*PAIR, "start", "end")
+    )
+    held = windows.join(present, ["db_key", "manifest_id"]).select(*PAIR, "start", "end")
+    listed = dest_listing.filter(F.col("kind") == "wal").join(ready.select(*PAIR), PAIR, "left_semi")
+    return intervals.difference(wanted, held.unionByName(intervals.as_runs(listed, PAIR, "wal_id")), PAIR)
+
+
 def commit_order(members: DataFrame, keys: list[str]) -> DataFrame:
     """Number the manifests to commit, ascending by id, so the head comes last."""
     return row_number_by(members, keys, "manifest_id", "commit_seq")

@@ -12,8 +12,6 @@ from quayside.operators.snapshot import Catalog, closure_members, closure_object
 from quayside.plans.mirror import commit_order
 from quayside.session import settle
 
-_DAY_MICROS = 86_400_000_000
-
 
 @dataclass(frozen=True)
 class RestorePlan:
@@ -52,9 +50,7 @@ def resolve_points(backup: Catalog, requests: DataFrame, samples: DataFrame, sam
     asked = requests.join(latest, "db_key", "left").withColumn(
         "_at", F.when(F.col("mode") == "time", F.unix_micros(F.col("at").cast("timestamp")))
     )
-    dated = asof_round_down(
-        asked, by_time, ["db_key"], "_at", "micros", "manifest_id", "_by_time", _DAY_MICROS, largest=True
-    )
+    dated = asof_round_down(asked, by_time, ["db_key"], "_at", "micros", "manifest_id", "_by_time", largest=True)
     exact = ids.select("db_key", F.col("manifest_id").alias("want_id"), F.lit(True).alias("_exists"))
     chosen = (
         F.when(F.col("mode") == "latest", F.col("latest"))
@@ -86,15 +82,16 @@ def restore_plan(backup: Catalog, requests: DataFrame, samples: DataFrame, occup
     usable = members.join(dangling, ["db_key", "head"], "left_anti")
 
     asked = open_points.select("request_id", "db_key", F.col("chosen").alias("head"))
-    copies = closure_objects(usable, backup.objects).join(asked, ["db_key", "head"]).select(
-        "request_id", "kind", "object_name"
-    )
+    objects = closure_objects(usable, backup.objects)
+    copies = objects.join(asked, ["db_key", "head"]).select("request_id", "kind", "object_name")
     commits = commit_order(
         usable.join(asked, ["db_key", "head"]).select("request_id", F.col("member_id").alias("manifest_id")),
         ["request_id"],
     )
-    n_objects = copies.groupBy("request_id").agg(F.count(F.lit(1)).alias("copied_objects"))
-    n_manifests = commits.groupBy("request_id").agg(F.count(F.lit(1)).alias("manifests_committed"))
+    # Requests for the same restore point have the same counts, so they are counted once per point.
+    n_objects = objects.groupBy("db_key", "head").agg(F.count(F.lit(1)).alias("copied_objects"))
+    n_manifests = usable.groupBy("db_key", "head").agg(F.count(F.lit(1)).alias("manifests_committed"))
+    counted = n_manifests.join(n_objects, ["db_key", "head"], "left").withColumnRenamed("head", "chosen")
     error = (
         F.when(F.col("_full"), F.lit("target holds data already"))
         .when(F.col("latest").isNull(), F.lit("no manifests at the source"))
@@ -106,13 +103,13 @@ def restore_plan(backup: Catalog, requests: DataFrame, samples: DataFrame, occup
     zero = F.lit(0).cast("bigint")
     outcomes = (
         points.join(flagged, ["db_key", "chosen"], "left")
-        .join(n_manifests, "request_id", "left").join(n_objects, "request_id", "left")
+        .join(counted, ["db_key", "chosen"], "left")
         .withColumn("error", error)
         .select(
             "request_id", "db_key", "mode",
             F.when(F.col("error").isNull(), F.col("chosen")).alias("manifest_id"),
-            F.coalesce("manifests_committed", zero).alias("manifests_committed"),
-            F.coalesce("copied_objects", zero).alias("copied_objects"),
+            F.when(F.col("error").isNull(), F.coalesce("manifests_committed", zero)).otherwise(zero).alias("manifests_committed"),
+            F.when(F.col("error").isNull(), F.coalesce("copied_objects", zero)).otherwise(zero).alias("copied_objects"),
             "error",
         )
     )

@@ -7,6 +7,16 @@ from quayside.operators import ordered
 WIDTHS = [3, 10, 1000]
 
 
+@pytest.fixture(params=["true", "false"], ids=["coalesced", "apart"], autouse=True, scope="module")
+def coalesced(spark, request):
+    """Small tables are one piece by default; without coalescing they are cut as large ones are."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield request.param
+    spark.conf.set(name, before)
+
+
 @pytest.fixture(scope="module")
 def ids(spark):
     """One key holds most of the rows; another is tiny."""
@@ -26,20 +36,18 @@ def test_row_numbers(ids, width):
     assert {(r.k, r.n): r.p for r in got} == want
 
 
-@pytest.mark.parametrize("width", WIDTHS)
-def test_gaps(ids, width):
+def test_gaps(ids):
     rows, df = ids
     want = set()
     for k in ("hot", "cold"):
         have = sorted(n for kk, n in rows if kk == k)
         want |= {(k, a + 1, b - 1) for a, b in zip(have, have[1:]) if b > a + 1}
-    got = ordered.gaps(df, ["k"], "n", width).collect()
+    got = ordered.gaps(df, ["k"], "n").collect()
     assert {(r.k, r.gap_start, r.gap_end) for r in got} == want
 
 
-@pytest.mark.parametrize("width", [None, *WIDTHS])
 @pytest.mark.parametrize("largest", [False, True])
-def test_asof(spark, ids, width, largest):
+def test_asof(spark, ids, largest):
     rows, _ = ids
     rng = random.Random(6)
     samples = [(k, n, rng.randint(0, 50)) for k, n in rows if n % 3 == 0]
@@ -51,7 +59,7 @@ def test_asof(spark, ids, width, largest):
     got = ordered.asof_round_down(
         spark.createDataFrame(points, "i int, k string, at bigint"),
         spark.createDataFrame(samples, "k string, n bigint, v int"),
-        ["k"], "at", "n", "v", "out", width, largest,
+        ["k"], "at", "n", "v", "out", largest,
     ).collect()
     assert {r.i: r.out for r in got} == want
 
@@ -68,3 +76,24 @@ def test_contiguous_run(spark, ids):
     assert bounds == {"hot": first, "cold": 4, "none": 7, "hot2": 0}
     run = {(r.k, r.n) for r in ordered.contiguous_run(df, floor_df, ["k"], "n", "floor").collect()}
     assert run == {("hot", n) for n in range(min(have), first)} | {("cold", 2), ("cold", 3)}
+
+
+def test_pieces_follow_the_rows_and_not_the_numbers(spark, coalesced):
+    """Numbers that lie far apart, and one crowd of them, are cut evenly; a key is in order across pieces."""
+    rows = [("hot", n) for n in range(400)] + [("hot", 10 ** 6 * n) for n in range(1, 401)] + [("cold", 10 ** 15)]
+    dealt = ordered.pieces(spark.createDataFrame(rows, "k string, n bigint").repartition(7), ["k"], "n").collect()
+    sizes, spans = {}, {}
+    for r in dealt:
+        sizes[r._piece] = sizes.get(r._piece, 0) + 1
+        low, high = spans.get(r._piece, ((r.k, r.n),) * 2)
+        spans[r._piece] = (min(low, (r.k, r.n)), max(high, (r.k, r.n)))
+    assert len(dealt) == 801 and (len(sizes) == 1 if coalesced == "true" else max(sizes.values()) < 401)
+    inorder = [spans[p] for p in sorted(spans)]
+    assert all(a[1] < b[0] for a, b in zip(inorder, inorder[1:]))
+
+
+def test_points_beyond_the_samples(spark):
+    points = spark.createDataFrame([(i, "a", 10 ** 9 + i) for i in range(500)] + [(-1, "a", -5), (-2, "b", 3)], "i int, k string, at bigint")
+    samples = spark.createDataFrame([("a", 0, 7), ("a", 10, 3), ("a", None, 9)], "k string, n bigint, v int")
+    got = {r.i: r.out for r in ordered.asof_round_down(points, samples, ["k"], "at", "n", "v", "out").collect()}
+    assert got == {**{i: 3 for i in range(500)}, -1: None, -2: None}
