@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from quayside.catalog.fixtures import KEEP_SECONDS, MIN_AGE_SECONDS, MIRROR_NOW, TARGET, Fixtures
 from quayside.catalog.registration import query
-from quayside.operators import intervals, ordered, sets, snapshot
+from quayside.operators import intervals, liveness, ordered, sets, snapshot
 from quayside.plans import audits, lag, mirror, restore, retention
-from quayside.session import settle
-from quayside.sinks import commit, objects, responses
-from quayside.sources import jobs, listings
+from quayside.session import settle, shared_dir
+from quayside.sinks import commit, conditional, objects, responses
+from quayside.sources import documents, jobs, listings
 
 PAIR = ["db_key", "target"]
 LIVE = f"(expire_time IS NULL OR expire_time > TIMESTAMP '{MIRROR_NOW}')"
@@ -331,8 +331,6 @@ def ag9(fx: Fixtures) -> DataFrame:
 @query("snk5_copy_list", "SELECT DISTINCT object_name FROM fx_copy", SYNC_VIEWS)
 def snk5(fx: Fixtures) -> DataFrame:
     """The copy list as written for an outside copier, read back."""
-    from quayside.session import shared_dir
-
     path = shared_dir(fx.spark, "copy-list")
     objects.export_copy_list(sync(fx).copies, path)
     return fx.spark.read.text(path).withColumnRenamed("value", "object_name")
@@ -358,8 +356,6 @@ def snk2(fx: Fixtures) -> DataFrame:
 )
 def snk3_plan(fx: Fixtures) -> DataFrame:
     """A plan of many pairs carried out, each target with its own parallelism; some objects are gone at the source."""
-    from quayside.session import shared_dir
-
     root = shared_dir(fx.spark, "objects")
     pages = fx.table("pages").select(
         (F.col("page_id") % 20).alias("db_key"), F.concat(F.lit("t"), (F.col("page_id") % 3).cast("string")).alias("target"),
@@ -377,8 +373,6 @@ def snk3_plan(fx: Fixtures) -> DataFrame:
 @query("snk3_object_copy", "SELECT concat('wal/page-', CAST(page_id AS VARCHAR), '.sst') AS name, octet_length(CAST(html AS BLOB)) AS bytes, CAST(NULL AS VARCHAR) AS error FROM pages".replace("octet_length(CAST(html AS BLOB))", "strlen(html)"))
 def snk3(fx: Fixtures) -> DataFrame:
     """Every page written as an object and copied by the executors."""
-    from quayside.session import shared_dir
-
     root = shared_dir(fx.spark, "objects")
     pages = fx.table("pages").select(
         F.concat(F.lit("wal/page-"), F.col("page_id").cast("string"), F.lit(".sst")).alias("object_name"),
@@ -396,12 +390,10 @@ def snk3(fx: Fixtures) -> DataFrame:
     "SELECT concat('manifest/page-', CAST(page_id AS VARCHAR)) AS object_name, CASE WHEN page_id % 3 = 0 THEN 0 ELSE strlen(url) END AS size FROM pages",
 )
 def src1_listed(fx: Fixtures) -> DataFrame:
-    """A folder with an object per page, every third one empty, listed."""
-    from quayside.session import shared_dir
-
+    """A root with an object per page, a hundred to a folder and every third one empty, listed."""
     root = shared_dir(fx.spark, "listing")
     pages = fx.table("pages").select(
-        F.concat(F.lit("manifest/page-"), F.col("page_id").cast("string")).alias("object_name"),
+        F.concat(F.lit("part-"), F.floor(F.col("page_id") / 100).cast("string"), F.lit("/manifest/page-"), F.col("page_id").cast("string")).alias("object_name"),
         F.when(F.col("page_id") % 3 == 0, F.encode(F.lit(""), "UTF-8")).otherwise(F.encode("url", "UTF-8")).alias("content"),
     )
     objects.put_objects(pages, root).write.format("noop").mode("overwrite").save()
@@ -410,6 +402,61 @@ def src1_listed(fx: Fixtures) -> DataFrame:
     return listings.list_objects(roots).select(name, "size")
 
 
+@query(
+    "snk1_created_objects",
+    "SELECT concat('page-', CAST(page_id AS VARCHAR)) AS object_name, CASE WHEN page_id % 4 > 0 THEN 'created' WHEN page_id % 12 = 0 THEN 'diverged' ELSE 'same' END AS outcome FROM pages",
+)
+def snk1_created(fx: Fixtures) -> DataFrame:
+    """Pages written where another writer has been: a quarter is there, a third of that with other content."""
+    root, key = shared_dir(fx.spark, "created"), F.col("page_id")
+    name, content = F.concat(F.lit("page-"), key.cast("string")).alias("object_name"), F.encode("url", "UTF-8")
+    pages = fx.table("pages")
+    theirs = pages.filter(key % 4 == 0).select(name, F.when(key % 12 == 0, F.encode(F.lit("theirs"), "UTF-8")).otherwise(content).alias("content"))
+    conditional.create_objects(theirs, root).write.format("noop").mode("overwrite").save()
+    return settle(conditional.create_objects(pages.select(name, content.alias("content")), root), "created")
+
+
+@query(
+    "snk2_committed_objects",
+    """SELECT db_key, page_id, CASE WHEN foreign_before > 0 THEN 'stopped' WHEN other THEN 'diverged' WHEN mine THEN 'same' ELSE 'created' END AS outcome FROM
+      (SELECT *, count(*) FILTER (WHERE other) OVER (PARTITION BY db_key ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS foreign_before
+       FROM (SELECT page_id % 16 AS db_key, page_id, page_id % 5 = 0 AS mine, page_id % 16 < 4 AND page_id % 97 = 50 AS other FROM pages))""",
+)
+def snk2_committed(fx: Fixtures) -> DataFrame:
+    """Pages committed per database in order: some are there, and in some databases others wrote one."""
+    root, key = shared_dir(fx.spark, "committed"), F.col("page_id")
+    pair = key % 16
+    name = F.concat(pair.cast("string"), F.lit("/manifest/"), F.lpad(key.cast("string"), 20, "0"), F.lit(".manifest"))
+    content, other = F.encode("url", "UTF-8"), (pair < 4) & (key % 97 == 50)
+    pages = fx.table("pages")
+    held = pages.filter((key % 5 == 0) | other).select(
+        name.alias("object_name"), F.when(other, F.encode(F.lit("theirs"), "UTF-8")).otherwise(content).alias("content")
+    )
+    conditional.create_objects(held, root).write.format("noop").mode("overwrite").save()
+    members = pages.select(pair.alias("db_key"), key, F.concat(F.lit(f"{root}/"), name).alias("dest"), content.alias("content"))
+    return settle(conditional.commit_objects(members, ["db_key"], "page_id"), "committed")
+
+
+@query(
+    "src3_fetched_bodies",
+    "SELECT concat('node-', CAST(page_id % 50 AS VARCHAR)) AS node_id, CASE WHEN max(page_id) % 7 <> 3 THEN arg_max(url, page_id) END AS body FROM pages GROUP BY page_id % 50",
+)
+def src3_fetched(fx: Fixtures) -> DataFrame:
+    """The body of each node's youngest object, the only ones opened; some of these are gone."""
+    root, key = shared_dir(fx.spark, "bodies"), F.col("page_id")
+    written = fx.table("pages").select(
+        F.concat(F.lit("nodes/page-"), key.cast("string")).alias("object_name"), F.encode("url", "UTF-8").alias("content")
+    ).filter(key % 7 != 3)
+    objects.put_objects(written, root).write.format("noop").mode("overwrite").save()
+    known = fx.table("pages").select(
+        F.concat(F.lit("node-"), (key % 50).cast("string")).alias("node_id"), F.lit(None).cast("array<string>").alias("services"),
+        (-key).alias("age_micros"), F.concat(F.lit(f"{root}/nodes/page-"), key.cast("string")).alias("location"),
+        F.lit(None).cast("timestamp").alias("last_modified"),
+    )
+    youngest = settle(liveness.youngest_per_node(known), "youngest")
+    return youngest.join(documents.fetch_bodies(youngest), "location", "left").select("node_id", "body")
+
+
 # ----------------------------------------------------------- ordered ids
 
 

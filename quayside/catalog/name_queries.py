@@ -12,7 +12,9 @@ from quayside.functions import names, predicates, urls
 from quayside.functions.durations import duration_nanos
 from quayside.functions.hashing import fold_batch, node_score, placement_key
 from quayside.plans.audits import golden_mismatches
-from quayside.plans.register import register_batch
+from quayside.plans.register import register_batch, register_written
+from quayside.session import shared_dir
+from quayside.sinks import conditional
 
 SCHEME_LIST = "'s3', 's3a', 'gs', 'az', 'adl', 'azure', 'abfs', 'abfss', 'file', 'memory', 'http', 'https'"
 
@@ -355,6 +357,15 @@ def jb11(fx: Fixtures) -> DataFrame:
     return register_batch(register_requests(fx), existing_files(fx))
 
 
+@query("jb11_written_registry", "SELECT * FROM fx_registered", REGISTER_VIEWS)
+def jb11_written(fx: Fixtures) -> DataFrame:
+    """Register every page's URL in a folder of registry files, new ones written by the executors."""
+    root = shared_dir(fx.spark, "registry")
+    held = existing_files(fx).select(F.col("file_name").alias("object_name"), F.encode(F.lit("{}"), "UTF-8").alias("content"))
+    conditional.create_objects(held, root).write.format("noop").mode("overwrite").save()
+    return register_written(register_requests(fx), root)
+
+
 @query(
     "snk1_create_if_absent",
     "SELECT request_id, file_name, created FROM fx_registered WHERE url IS NOT NULL",

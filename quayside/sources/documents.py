@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BODY_TYPE = (
@@ -10,12 +13,30 @@ BODY_TYPE = (
 )
 
 
-def read_bodies(spark: SparkSession, root: str) -> DataFrame:
-    """(path, body) text of the objects under a folder."""
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .select("path", F.decode("content", "UTF-8").alias("body"))
-    )
+def fetch_bodies(locations: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(location, body): the text of each object named in ``locations``, NULL if it is gone or no text.
+
+    Only these objects are opened, so hand in the youngest of each node
+    (:func:`quayside.operators.liveness.youngest_per_node`) or what changed
+    (:func:`documents_to_read`). They are dealt over ``tasks``, by default as many
+    as the session shuffles to.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for location in batch["location"]:
+                try:
+                    store, path = fs.FileSystem.from_uri(location)
+                    with store.open_input_stream(path) as reader:
+                        body = reader.read().decode()
+                except (OSError, UnicodeDecodeError):
+                    body = None
+                yield pd.DataFrame({"location": [location], "body": pd.Series([body], dtype="object")})
+
+    tasks = tasks or int(locations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return locations.select("location").distinct().repartition(tasks, "location").mapInPandas(run, "location string, body string")
 
 
 def with_heartbeat_bodies(youngest: DataFrame, bodies: DataFrame, version_fields: tuple[str, ...]) -> DataFrame:

@@ -10,44 +10,49 @@ from pyspark.sql import functions as F
 
 from quayside.functions.names import heartbeat_parts, object_class
 from quayside.functions.predicates import age_micros
+from quayside.session import settle
 
 
-# Rows per frame that a listing hands on.
-_LISTED_AT_ONCE = 10_000
-_LISTED = "root string, path string, last_modified timestamp, size bigint, etag string"
+_LISTED = "root string, path string, last_modified timestamp, size bigint, etag string, folder boolean"
 
 
 def list_objects(roots: DataFrame) -> DataFrame:
     """LIST the folders of ``roots`` (column ``root``): one row per object.
 
-    Roots are dealt out over as many tasks as there are roots, so many
-    databases, or many prefixes of a large one, are listed side by side. A missing folder is an
-    empty listing; any other error fails the job. (Spark's own file sources
-    leave out empty files, and an empty registry file is a registered
-    database.) Use an inventory table for folders too large to list.
+    Folders are listed level by level: those of a level are dealt over as many
+    tasks as the session shuffles to, and what they hold is written before the
+    next level, so one root is listed by many tasks and a task holds one folder at a
+    time. This runs when it is called, not when its result is read. A missing
+    folder is an empty listing; any other error fails the job. (Spark's own
+    file sources leave out empty files, and an empty registry file is a
+    registered database.) Use an inventory table for folders too large to list.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        columns = ["root", "path", "last_modified", "size", "etag"]
         for batch in batches:
-            for root in batch["root"]:
-                store, inner = fs.FileSystem.from_uri(root)
-                selector = fs.FileSelector(inner, allow_not_found=True, recursive=True)
-                infos = store.get_file_info(selector)
-                for at in range(0, len(infos), _LISTED_AT_ONCE):
-                    found = [
-                        (root, info.path, info.mtime, info.size, None)
-                        for info in infos[at : at + _LISTED_AT_ONCE] if info.is_file
-                    ]
-                    listed = pd.DataFrame(found, columns=columns)
-                    listed["last_modified"] = pd.to_datetime(listed["last_modified"], utc=True)
-                    yield listed
-
-    # A number that is asked for is not coalesced, however few bytes the names of the roots have.
-    distinct = roots.select("root").distinct()
-    return distinct.repartitionByRange(max(distinct.count(), 1), "root").mapInPandas(run, _LISTED)
+            for root, path in zip(batch["root"], batch["path"]):
+                store, top = fs.FileSystem.from_uri(root)
+                infos = store.get_file_info(fs.FileSelector(path or top, allow_not_found=True))
+                if not infos:
+                    continue
+                yield pd.DataFrame({
+                    "root": root, "path": [info.path for info in infos],
+                    "last_modified": pd.to_datetime(pd.Series([info.mtime for info in infos], dtype="object"), utc=True),
+                    "size": pd.array([info.size for info in infos], dtype="Int64"), "etag": None,
+                    "folder": [info.type == fs.FileType.Directory for info in infos],
+                })
+
+    tasks = int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    level, found = roots.select("root", F.lit(None).cast("string").alias("path")).distinct(), None
+    while True:
+        listed = settle(level.repartition(tasks, "root", "path").mapInPandas(run, _LISTED), "listed")
+        objects = listed.filter("NOT folder").drop("folder")
+        found = objects if found is None else found.unionByName(objects)
+        level = listed.filter("folder").select("root", "path")
+        if level.isEmpty():
+            return found
 
 
 def heartbeat_entries(listing: DataFrame, now: Column) -> DataFrame:
