@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,12 @@ def ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+def beside(docs: DataFrame, used: list[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` of ``docs``, which keeps all columns, with those it does not use under names that meet no name of its own."""
+    named = {name: f"beside_{i}" for i, name in enumerate(docs.columns) if name not in used}
+    return stage(docs.withColumnsRenamed(named)).withColumnsRenamed({new: old for old, new in named.items()})
+
+
 def fold(id_text: Column, folds: int) -> Column:
     """The remainder that decides on which side of a split a row falls."""
     return F.crc32(id_text.cast("string")) % F.lit(folds)

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import ready, whole_text
+from quayside.llm.common import beside, ready, whole_text
 from quayside.llm.components import connected
 from quayside.llm.linear import Remembered
 from quayside.session import settle
@@ -342,4 +342,5 @@ def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         jaccard_components(docs, k, percent, id_col, text_col)
         .filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"))
     )
-    return docs.join(settle(kept.distinct(), "kept"), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
+    kept = settle(kept.distinct(), "kept")
+    return beside(docs, [id_col, text_col], lambda rows: rows.join(kept, rows[id_col].eqNullSafe(kept["_id"]), "left_semi"))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import WORD, ready, whole_text
+from quayside.llm.common import beside, WORD, ready, whole_text
 from quayside.session import settle
 
 # Units per leaf, and residuals that meet in a group above the leaves.
@@ -194,7 +194,11 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 7, id_col: str = "doc_id",
                source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken."""
+    """The mix itself: the rows of ``docs``, each as often as it is taken. Other columns may have any names."""
+    return beside(docs, [id_col, source_col, text_col], lambda rows: _mixed(rows, share, most, seed, id_col, source_col, text_col))
+
+
+def _mixed(docs: DataFrame, share: float, most: float, seed: int, id_col: str, source_col: str, text_col: str) -> DataFrame:
     _, _, copies = _planned(docs, share, most, seed, id_col, source_col, text_col)
     times = copies.filter("copies > 0").select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("copies").cast("int").alias("_copies"))
     joined = docs.join(

@@ -34,7 +34,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import whole_text
+from quayside.llm.common import beside, whole_text
 
 # The kinds in order, and their formats. They are written with
 # possessive groups, which find the same spans without deep recursion, and
@@ -385,7 +385,12 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with every span replaced by its kind in brackets; a null text stays null.
 
     Where spans overlap, the first gives the name and all their characters go.
+    Other columns may have any names.
     """
+    return beside(docs, [text_col], lambda rows: _redacted(rows, model, text_col))
+
+
+def _redacted(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
     rows = _with_spans(docs.withColumn("_text", whole_text(text_col)), model)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import ready, whole_text
+from quayside.llm.common import beside, ready, whole_text
 from quayside.session import settle
 
 # The symbols that are counted.
@@ -303,7 +303,11 @@ def judge(
 def keep_good(
     docs: DataFrame, references: list[dict], limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang", others: DataFrame | None = None
 ) -> DataFrame:
-    """The rows that the verdict keeps, with all their columns."""
+    """The rows that the verdict keeps, with all their columns, which may have any names."""
+    return beside(docs, [text_col, lang_col], lambda rows: _good(rows, references, limits, text_col, lang_col, others))
+
+
+def _good(docs: DataFrame, references: list[dict], limits: Limits, text_col: str, lang_col: str, others: DataFrame | None) -> DataFrame:
     ready(docs.sparkSession)
 
     @F.pandas_udf("boolean")

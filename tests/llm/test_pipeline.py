@@ -8,6 +8,8 @@ import sys
 import brute
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quayside.llm import bpe, catalog, quality_rules
 
@@ -83,6 +85,22 @@ def test_hard_rows_pass_every_stage(spark):
             stage(spark, one, SF_DIR).collect()
 
 
+def test_extra_columns_may_have_private_names(spark):
+    """Columns named like those that the stages add for themselves come out as they went in."""
+    names = ["_text", "_base", "_all", "_proposed", "_passing", "_id", "_source", "_copies", "_copy", "_words", "_shares",
+             "_classes", "_lang", "id", "class", "component_id", "beside_1", "with.dot", "kept"]
+    plain = spark.read.parquet(f"{SF_DIR}/documents.parquet").filter("doc_id < 60")
+    odd = plain
+    for i, name in enumerate(names):
+        odd = odd.withColumn(name, F.concat(F.lit(f"{i}-"), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want, got = stage(spark, plain, SF_DIR), stage(spark, odd, SF_DIR)
+        assert got.columns == odd.columns, name
+        rows = got.collect()
+        assert all(r[n] == f"{i}-{r['doc_id']}" for r in rows for i, n in enumerate(names)), name
+        assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((r["doc_id"], r["text"]) for r in want.collect()), name
+
+
 def test_entry_works_without_the_subpackage(tmp_path):
     root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
     import shutil
