@@ -375,14 +375,9 @@ def jn1(fx: Fixtures) -> DataFrame:
     PLACEMENT_VIEWS,
 )
 def jn15(fx: Fixtures) -> DataFrame:
-    """Every candidate of every assignment scored, in-row: extremes and count."""
-    everyone = placement.rank_nodes(wanted(fx).withColumn("k", F.lit(2**31 - 1)), live(fx))
-    return everyone.filter(F.size("owners") > 0).select(
-        "db_url", "service", "target",
-        F.size("owners").cast("bigint").alias("n_candidates"),
-        F.element_at("owners", 1)["score"].alias("best"),
-        F.element_at("owners", -1)["score"].alias("worst"),
-    )
+    """How many candidates each assignment has, and their highest and lowest scores."""
+    tallied = placement.tally_nodes(wanted(fx).drop("k"), live(fx))
+    return tallied.filter("n_candidates > 0").select("db_url", "service", "target", "n_candidates", "best", "worst")
 
 
 @query(
@@ -399,6 +394,19 @@ def wn1(fx: Fixtures) -> DataFrame:
     )
 
 
+@query(
+    "wn1_successors",
+    f"""SELECT db_url, service, target, node_id, rank - k AS turn, {hex_sql('score')} AS score FROM fx_ranked WHERE rank > k AND rank <= k + 3""",
+    PLACEMENT_VIEWS,
+)
+def wn1_successors(fx: Fixtures) -> DataFrame:
+    """The three nodes that take over next, should owners fail: a ranking that ends where it is asked to."""
+    three_more = placement.rank_nodes(wanted(fx).withColumn("own", F.col("k")).withColumn("k", F.col("k") + 3), live(fx))
+    return placement.owner_rows(three_more).filter("rank > own").select(
+        "db_url", "service", "target", "node_id", (F.col("rank") - F.col("own")).alias("turn"), "score"
+    )
+
+
 @query(
     "wn2_owners",
     f"SELECT db_url, service, target, k, node_id, rank, {hex_sql('score')} AS score FROM fx_owned",

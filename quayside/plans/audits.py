@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions.hashing import node_score
 from quayside.functions.names import compacted_name, manifest_name, registry_name, wal_name
-from quayside.operators.placement import rank_nodes
+from quayside.operators.placement import rank_nodes, tally_nodes
 from quayside.operators.sets import looked_up
 from quayside.operators.snapshot import Catalog, heads, live_pins
 from quayside.session import settle
@@ -59,21 +59,17 @@ def ownership_coverage(assignments: DataFrame, live: DataFrame, dead: DataFrame)
 
     Returns (db_url, service, target, k, live_claims, dead_claims).
     """
-    owned = rank_nodes(assignments, live).withColumnRenamed("owners", "live_owners")
-    everyone = owned.withColumn("_k", F.col("k")).withColumn("k", F.lit(2**31 - 1))
-    ranked = rank_nodes(everyone, dead).withColumn("k", F.col("_k"))
-    last = F.element_at("live_owners", -1)
-    open_place = F.size("live_owners") < F.col("k")
-    claims = F.filter(
-        "owners",
-        lambda d: open_place
-        | (d["score"] > last["score"])
-        | ((d["score"] == last["score"]) & (d["node_id"] < last["node_id"])),
+    owned = rank_nodes(assignments, live)
+    last = F.element_at("owners", -1)
+    # With a place left over there is no bar, and every dead node takes itself for an owner.
+    full = (F.size("owners") >= F.col("k")) & (F.size("owners") > 0)
+    barred = owned.select(
+        "db_url", "service", "target", "k", F.size("owners").cast("bigint").alias("live_claims"),
+        F.when(full, last["score"]).alias("bar_score"), F.when(full, last["node_id"]).alias("bar_node"),
     )
-    return ranked.select(
-        "db_url", "service", "target", "k",
-        F.size("live_owners").cast("bigint").alias("live_claims"),
-        F.when(F.col("k") > 0, F.size(claims)).otherwise(0).cast("bigint").alias("dead_claims"),
+    return tally_nodes(barred, dead).select(
+        "db_url", "service", "target", "k", "live_claims",
+        F.when(F.col("k") > 0, F.col("n_ahead")).otherwise(F.lit(0).cast("bigint")).alias("dead_claims"),
     )
 
 
