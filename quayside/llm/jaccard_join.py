@@ -25,6 +25,15 @@ words of their documents are read again, and every cluster is linked exactly
 in blocks of bounded size. A task of blocks compares sets in memory and
 returns a spanning forest of the verified links, never the pairs.
 
+Passages that many documents share tie documents that are not similar at all.
+A cluster of more than two blocks is therefore refined before it is compared:
+a signature that several sets share is grown by the next segment, less up to
+one token, and in a second round by the one after it, less up to two. Similar
+sets stay together, for by the cycle lemma there is a segment from which on
+the first l segments differ in l - 1 tokens at most, for every l. A signature
+that one set has alone ties nothing and is dropped. What is shared is told by
+a Bloom filter of bounded size; a full one only grows more signatures.
+
 Equal sets are one class, whatever their number. Tokens and classes are known
 by 64-bit hashes.
 
@@ -43,6 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.llm.collocations import FILTER_BITS_PER_KEY, LARGEST_FILTER, Filter
 from quayside.llm.common import beside, ready, whole_text
 from quayside.llm.components import connected
 from quayside.llm.linear import Remembered
@@ -56,6 +66,8 @@ SPARSE = 0.25
 HELD_SIGNATURES = 1_000_000
 # Bounds of one block: documents and tokens.
 BLOCK_SETS, BLOCK_TOKENS = 256, 1_500_000
+# How often the clusters of more than two blocks are refined.
+REFINEMENTS = 2
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -127,8 +139,12 @@ class Bands:
         return (100 - self.percent) * 2 * largest // (100 + self.percent) + 1
 
 
-def signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    """All signatures of a set. In a band of one segment only equal sets are similar; it needs none."""
+def signatures(tokens: np.ndarray, bands: Bands, shared: tuple[Filter, ...] = ()) -> np.ndarray:
+    """All signatures of a set. In a band of one segment only equal sets are similar; it needs none.
+
+    ``shared`` has a filter per round of refinement: of the signatures that
+    several sets have before it. Those, and only those, are grown.
+    """
     found = []
     values = mixed(tokens)
     with np.errstate(over="ignore"):
@@ -143,17 +159,42 @@ def signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
             subset = sums[bounds[1:]] - sums[bounds[:-1]]
             named = mixed(subset ^ mixed(np.arange(m, dtype=np.uint64) + np.uint64(band << 32)))
             sparse = np.diff(bounds) < SPARSE * bands.low(band) / m
-            found.append(named[~sparse])
-            for i in np.flatnonzero(sparse):
-                j = (i + 1) % m
-                follower = subset[j] - np.concatenate([[np.uint64(0)], values[bounds[j] : bounds[j + 1]]])
-                found.append(mixed(mixed(follower) ^ named[i]))
-    return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
 
-
-def combined(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            def grown(heads: np.ndarray, start: int, length: int) -> np.ndarray:
+                """Chains of ``length`` segments with the next one, less up to ``length`` tokens."""
+                j = (start + length) % m
+                rests = less(subset[j], values[bounds[j] : bounds[j + 1]], length)
+                return mixed(mixed(rests)[None, :] ^ heads[:, None]).ravel()
+
+            if not shared:
+                found.append(named[~sparse])
+            starts = np.flatnonzero(sparse | shared[0].may_hold(named) if shared else sparse)
+            for i in starts.tolist():
+                heads, length = named[i : i + 1], 1
+                if sparse[i]:
+                    heads, length = grown(heads, i, 1), 2
+                for round_, held in enumerate(shared, 1):
+                    heads = heads[held.may_hold(heads)]
+                    if length == round_ and length < m and len(heads):
+                        heads, length = grown(heads, i, length), length + 1
+                found.append(heads)
+    return np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.uint64)
+
+
+def less(total: np.uint64, values: np.ndarray, most: int) -> np.ndarray:
+    """The sum of a segment without up to ``most`` (one or two) of its values."""
+    sums = [np.array([total]), total - values]
+    if most > 1:
+        one, other = np.triu_indices(len(values), 1)
+        sums.append(total - values[one] - values[other])
+    return np.concatenate(sums)
+
+
+def combined(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One row per signature, and a signature of their own for each tie between sets that shared one.
 
+    The third array tells where the row may stand for other sets than its class.
+
     Ties are a spanning forest: a set is tied once to the smallest set of the
     task that it is connected with, and that one stands for it everywhere else.
     """
@@ -177,11 +218,17 @@ def combined(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndar
     tied = np.array(sorted((find(member), member) for member in root), dtype=np.int64).reshape(-1, 2)
     own = mixed(mixed(tied[:, 0].astype(np.uint64)) ^ tied[:, 1].astype(np.uint64))
     standing = classes[first]
+    several = np.diff(np.append(np.flatnonzero(first), len(keys))) > 1
     if len(tied):
         by_member = tied[np.argsort(tied[:, 1])]
         at = np.minimum(np.searchsorted(by_member[:, 1], standing), len(by_member) - 1)
-        standing = np.where(by_member[at, 1] == standing, by_member[at, 0], standing)
-    return np.concatenate([keys[first], own, own]), np.concatenate([standing, tied[:, 0], tied[:, 1]])
+        stood = np.where(by_member[at, 1] == standing, by_member[at, 0], standing)
+        several, standing = several | (stood != standing), stood
+    alone = np.zeros(2 * len(tied), dtype=bool)
+    return (
+        np.concatenate([keys[first], own, own]), np.concatenate([standing, tied[:, 0], tied[:, 1]]),
+        np.concatenate([several, alone]),
+    )
 
 
 def linked(sets: list[np.ndarray], percent: int) -> list[int]:
@@ -234,8 +281,12 @@ def classes(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "te
     return rows.mapInPandas(run, f"id {kind}, n_shingles bigint, class bigint")
 
 
-def candidate_pairs(docs: DataFrame, k: int, percent: int, text_col: str = "text") -> DataFrame:
-    """Pairs of classes ``a``, ``b`` that connect all classes which share signatures."""
+def shared_signatures(docs: DataFrame, k: int, percent: int, text_col: str = "text", shared: tuple[Filter, ...] = ()) -> DataFrame:
+    """Signatures (``key``) of several classes, and pairs of classes ``a``, ``b`` that connect all classes which share one.
+
+    ``a`` and ``b`` are equal where all the classes of a task that share the
+    signature are tied by others.
+    """
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,8 +294,8 @@ def candidate_pairs(docs: DataFrame, k: int, percent: int, text_col: str = "text
         keys, owners, seen, held = [], [], set(), 0
 
         def handed_on() -> pd.DataFrame:
-            names, of = combined(np.concatenate(keys), np.concatenate(owners))
-            return pd.DataFrame({"key": names.astype(np.int64), "class": of})
+            names, of, several = combined(np.concatenate(keys), np.concatenate(owners))
+            return pd.DataFrame({"key": names.astype(np.int64), "class": of, "several": several})
 
         for batch in batches:
             for text in batch["text"]:
@@ -252,7 +303,7 @@ def candidate_pairs(docs: DataFrame, k: int, percent: int, text_col: str = "text
                 if not len(tokens) or (own := class_of(tokens)) in seen:
                     continue
                 seen.add(own)
-                found = signatures(tokens, bands)
+                found = signatures(tokens, bands, shared)
                 keys.append(found)
                 owners.append(np.full(len(found), own, dtype=np.int64))
                 held += len(found)
@@ -262,22 +313,75 @@ def candidate_pairs(docs: DataFrame, k: int, percent: int, text_col: str = "text
         if held:
             yield handed_on()
 
-    rows = docs.select(whole_text(text_col).alias("text")).mapInPandas(run, "key bigint, class bigint")
+    rows = docs.select(whole_text(text_col).alias("text")).mapInPandas(run, "key bigint, class bigint, several boolean")
     # Equal signatures come in runs; the first class of a run stands for all.
     by_key = Window.partitionBy("key").orderBy("class")
-    return rows.withColumn("a", F.first("class").over(by_key)).filter("a <> class").select("a", F.col("class").alias("b")).distinct()
+    return (
+        rows.withColumn("a", F.first("class").over(by_key)).filter("several OR a <> class")
+        .select("key", "a", F.col("class").alias("b")).distinct()
+    )
 
 
-def links(docs: DataFrame, members: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs of classes ``a``, ``b`` that connect what is linked inside the candidate clusters.
+def key_filter(keys: DataFrame) -> Filter:
+    """A filter of the signatures ``key``. Its bits are set in Spark; at most 32 MB of them come to the driver."""
+    ready(keys.sparkSession)
+    size = min(max(15, (keys.count() * FILTER_BITS_PER_KEY - 1).bit_length()), LARGEST_FILTER)
 
-    ``members`` has ``id``, ``class``, ``n_shingles`` and ``cluster``, a row per class.
-    """
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = Filter.positions(batch["key"].to_numpy().astype(np.uint64), np.uint64((1 << size) - 1))
+            yield pd.DataFrame({"place": np.concatenate(found).astype(np.int64)})
+
+    # Spark's bitmaps of 32,768 bits count places from 1.
+    at = keys.select("key").mapInPandas(places, "place bigint").select((F.col("place") + 1).alias("at"))
+    bitmaps = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    whole = bytearray(1 << (size - 3))
+    for row in bitmaps.toLocalIterator():
+        start = (row["bucket"] - 1) * len(row["bits"])
+        whole[start : start + len(row["bits"])] = row["bits"]
+    return Filter(bytes(whole))
+
+
+def sized(members: DataFrame) -> DataFrame:
+    """Members with ``blocks``, the number of blocks in which their cluster is compared."""
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("tokens"))
     blocks = settle(sizes.select(
         "cluster", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("bigint").alias("blocks")
     ), "blocks")
-    placed = settle(members.join(blocks, "cluster"), "placed")
+    return settle(members.join(blocks, "cluster"), "placed")
+
+
+def refined(
+    docs: DataFrame, members: DataFrame, shared: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``members`` with ``blocks``, after clusters of more than two blocks are split as far as grown signatures allow.
+
+    ``shared`` are the signatures by which the clusters were found. Members
+    that are left alone have no links and go.
+    """
+    placed, texts, filters = sized(members), None, ()
+    for _ in range(REFINEMENTS):
+        large = placed.filter("blocks > 2")
+        if large.isEmpty():
+            break
+        if texts is None:
+            whole = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("text")).hint("merge")
+            texts = settle(large.join(whole, F.col("id").eqNullSafe(F.col("_id"))).select("class", "text"), "large")
+        left = texts.join(large.select("class"), "class", "left_semi")
+        filters += (key_filter(shared.select("key").distinct()),)
+        shared = settle(shared_signatures(left, k, percent, "text", filters), "shared")
+        finer = connected(shared.filter("a <> b")).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+        split = large.drop("cluster", "blocks").join(finer, "class")
+        kept = placed.filter("blocks <= 2").drop("blocks")
+        placed = sized(settle(kept.unionByName(split), "members"))
+    return placed
+
+
+def links(docs: DataFrame, placed: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs of classes ``a``, ``b`` that connect what is linked inside the candidate clusters.
+
+    ``placed`` has ``id``, ``class``, ``cluster`` and ``blocks``, a row per class.
+    """
     texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("text"))
     own = F.pmod(F.xxhash64("class"), F.col("blocks"))
     # A cluster of several blocks is compared block against block; a set goes to each pair with its block.
@@ -320,10 +424,11 @@ def jaccard_components(
     per_class = settle(
         known.filter("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles")), "per-class"
     )
-    pairs = settle(candidate_pairs(docs, k, percent, text_col), "pairs")
-    clusters = connected(pairs).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+    shared = settle(shared_signatures(docs, k, percent, text_col), "shared")
+    clusters = connected(shared.filter("a <> b")).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
     members = settle(per_class.join(clusters, "class"), "members")
-    roots = connected(settle(links(docs, members, k, percent, id_col, text_col), "links"))
+    placed = refined(docs, members, shared, k, percent, id_col, text_col)
+    roots = connected(settle(links(docs, placed, k, percent, id_col, text_col), "links"))
     rooted = per_class.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
         "class", "id", F.coalesce("root", "class").alias("root")
     )

@@ -53,6 +53,54 @@ def test_similar_sets_always_share_a_signature():
                 assert set(jaccard_join.signatures(one, bands)) & set(jaccard_join.signatures(other, bands))
 
 
+class Everything:
+    """A filter that is full."""
+
+    def may_hold(self, keys):
+        return np.ones(len(keys), dtype=bool)
+
+
+def test_similar_sets_always_share_a_grown_signature():
+    draw = np.random.default_rng(4)
+    for percent in (80, 90):
+        bands = jaccard_join.Bands(percent)
+        for rounds in (1, 2):
+            shared = (Everything(),) * rounds
+            for _ in range(400):
+                one = np.unique(draw.integers(0, 2**64, int(draw.integers(1, 120)), dtype=np.uint64))
+                drop, add = int(draw.integers(0, 3 + len(one) // 8)), int(draw.integers(0, 3 + len(one) // 8))
+                other = np.unique(np.concatenate([draw.permutation(one)[drop:], draw.integers(0, 2**64, add, dtype=np.uint64)]))
+                both = len(np.intersect1d(one, other))
+                if len(other) and 100 * both >= percent * (len(one) + len(other) - both) and len(one) + len(other) > 2 * both:
+                    assert set(jaccard_join.signatures(one, bands, shared)) & set(jaccard_join.signatures(other, bands, shared))
+
+
+def test_shared_passages_are_refined_away(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 5)
+    draw = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"w{draw.randrange(5000)}" for _ in range(30)])) for i in range(120)]
+    rows += [(1000 + i, text + " end") for i, text in rows[:20]]
+    sizes = []
+
+    def seen(members, sized=jaccard_join.sized):
+        placed = sized(members)
+        sizes.append(max((r["blocks"] for r in placed.collect()), default=0))
+        return placed
+
+    monkeypatch.setattr(jaccard_join, "sized", seen)
+    check(spark, rows, 5, 80)
+    assert sizes[0] > 2 and sizes[-1] < sizes[0]
+
+
+def test_key_filter_holds_its_keys(spark):
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63, 3000)
+    held = jaccard_join.key_filter(spark.createDataFrame([(int(key),) for key in keys], "key bigint"))
+    assert held.may_hold(keys.astype(np.uint64)).all()
+    others = np.random.default_rng(2).integers(0, 2**64, 3000, dtype=np.uint64)
+    assert held.may_hold(others).mean() < 0.1
+
+
 def test_blocks_link_as_one(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 5)
     draw = random.Random(5)
