@@ -28,7 +28,8 @@ returns a spanning forest of the verified links, never the pairs.
 Passages that many documents share tie documents that are not similar at all.
 A cluster of more than two blocks is therefore refined before it is compared:
 a signature that several sets share is grown by the next segment, less up to
-one token, and in a second round by the one after it, less up to two. Similar
+one token, and in a second round, for clusters that are still very large, by
+the one after it, less up to two. Similar
 sets stay together, for by the cycle lemma there is a segment from which on
 the first l segments differ in l - 1 tokens at most, for every l. A signature
 that one set has alone ties nothing and is dropped. What is shared is told by
@@ -66,8 +67,9 @@ SPARSE = 0.25
 HELD_SIGNATURES = 1_000_000
 # Bounds of one block: documents and tokens.
 BLOCK_SETS, BLOCK_TOKENS = 256, 1_500_000
-# How often the clusters of more than two blocks are refined.
-REFINEMENTS = 2
+# Clusters of more blocks than this are refined: in the first round, in the second. The second
+# multiplies the signatures of true copies, which it cannot part; it is for clusters that cost more to compare.
+REFINED_ABOVE = (2, 64)
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -190,10 +192,10 @@ def less(total: np.uint64, values: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate(sums)
 
 
-def combined(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def combined(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One row per signature, and a signature of their own for each tie between sets that shared one.
 
-    The third array tells where the row may stand for other sets than its class.
+    The third array tells which signatures several sets of the task share, the fourth which rows stand for another set.
 
     Ties are a spanning forest: a set is tied once to the smallest set of the
     task that it is connected with, and that one stands for it everywhere else.
@@ -218,16 +220,16 @@ def combined(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndar
     tied = np.array(sorted((find(member), member) for member in root), dtype=np.int64).reshape(-1, 2)
     own = mixed(mixed(tied[:, 0].astype(np.uint64)) ^ tied[:, 1].astype(np.uint64))
     standing = classes[first]
-    several = np.diff(np.append(np.flatnonzero(first), len(keys))) > 1
+    several, stands = np.diff(np.append(np.flatnonzero(first), len(keys))) > 1, np.zeros(len(standing), dtype=bool)
     if len(tied):
         by_member = tied[np.argsort(tied[:, 1])]
         at = np.minimum(np.searchsorted(by_member[:, 1], standing), len(by_member) - 1)
         stood = np.where(by_member[at, 1] == standing, by_member[at, 0], standing)
-        several, standing = several | (stood != standing), stood
+        stands, standing = stood != standing, stood
     alone = np.zeros(2 * len(tied), dtype=bool)
     return (
         np.concatenate([keys[first], own, own]), np.concatenate([standing, tied[:, 0], tied[:, 1]]),
-        np.concatenate([several, alone]),
+        np.concatenate([several, alone]), np.concatenate([stands, alone]),
     )
 
 
@@ -294,8 +296,8 @@ def shared_signatures(docs: DataFrame, k: int, percent: int, text_col: str = "te
         keys, owners, seen, held = [], [], set(), 0
 
         def handed_on() -> pd.DataFrame:
-            names, of, several = combined(np.concatenate(keys), np.concatenate(owners))
-            return pd.DataFrame({"key": names.astype(np.int64), "class": of, "several": several})
+            names, of, several, stands = combined(np.concatenate(keys), np.concatenate(owners))
+            return pd.DataFrame({"key": names.astype(np.int64), "class": of, "several": several, "stands": stands})
 
         for batch in batches:
             for text in batch["text"]:
@@ -313,11 +315,13 @@ def shared_signatures(docs: DataFrame, k: int, percent: int, text_col: str = "te
         if held:
             yield handed_on()
 
-    rows = docs.select(whole_text(text_col).alias("text")).mapInPandas(run, "key bigint, class bigint, several boolean")
-    # Equal signatures come in runs; the first class of a run stands for all.
-    by_key = Window.partitionBy("key").orderBy("class")
+    rows = docs.select(whole_text(text_col).alias("text")).mapInPandas(run, "key bigint, class bigint, several boolean, stands boolean")
+    # Equal signatures come in runs; the first class of a run stands for all. Two rows of one class, of which
+    # one stands for another, are several sets as well.
+    by_key = Window.partitionBy("key").orderBy("class", "stands")
     return (
-        rows.withColumn("a", F.first("class").over(by_key)).filter("several OR a <> class")
+        rows.withColumns({"a": F.first("class").over(by_key), "place": F.row_number().over(by_key)})
+        .filter("several OR a <> class OR (stands AND place > 1)")
         .select("key", "a", F.col("class").alias("b")).distinct()
     )
 
@@ -354,14 +358,14 @@ def sized(members: DataFrame) -> DataFrame:
 def refined(
     docs: DataFrame, members: DataFrame, shared: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``members`` with ``blocks``, after clusters of more than two blocks are split as far as grown signatures allow.
+    """``members`` with ``blocks``, after clusters of many blocks are split as far as grown signatures allow.
 
     ``shared`` are the signatures by which the clusters were found. Members
     that are left alone have no links and go.
     """
     placed, texts, filters = sized(members), None, ()
-    for _ in range(REFINEMENTS):
-        large = placed.filter("blocks > 2")
+    for above in REFINED_ABOVE:
+        large = placed.filter(F.col("blocks") > above)
         if large.isEmpty():
             break
         if texts is None:
@@ -372,7 +376,7 @@ def refined(
         shared = settle(shared_signatures(left, k, percent, "text", filters), "shared")
         finer = connected(shared.filter("a <> b")).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
         split = large.drop("cluster", "blocks").join(finer, "class")
-        kept = placed.filter("blocks <= 2").drop("blocks")
+        kept = placed.filter(F.col("blocks") <= above).drop("blocks")
         placed = sized(settle(kept.unionByName(split), "members"))
     return placed
 

@@ -77,9 +77,10 @@ def test_similar_sets_always_share_a_grown_signature():
 
 def test_shared_passages_are_refined_away(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 5)
+    monkeypatch.setattr(jaccard_join, "REFINED_ABOVE", (2, 2))
     draw = random.Random(8)
     passage = [f"p{i}" for i in range(60)]
-    rows = [(i, " ".join(passage + [f"w{draw.randrange(5000)}" for _ in range(30)])) for i in range(120)]
+    rows = [(i, " ".join(passage + [f"w{draw.randrange(5000)}" for _ in range(150)])) for i in range(120)]
     rows += [(1000 + i, text + " end") for i, text in rows[:20]]
     sizes = []
 
