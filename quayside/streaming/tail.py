@@ -2,12 +2,13 @@
 
 What is handed on are runs of ids, one row however long, and what is kept are
 runs, too. Ids of a log are first put together per range of ids, so a very busy
-log is spread over as many keys as it has ranges; only the runs of those meet
-at the log's front.
+log is spread over as many keys as it has ranges; of each only the runs that a
+front can enter meet at the log's front, at most two.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,48 +24,51 @@ _RUNS = "db_key bigint, target string, from_id bigint, to_id bigint"
 _RUN_NAMES = ["db_key", "target", "from_id", "to_id"]
 
 
-def merged_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Runs (first, last) that overlap or touch, made one."""
-    out: list[tuple[int, int]] = []
-    for first, last in sorted(runs):
-        if out and first <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(out[-1][1], last))
-        else:
-            out.append((first, last))
-    return out
-
-
 class _RangeRuns(StatefulProcessor):
-    """Puts the ids of one range together; nothing is kept of a range that is complete."""
+    """Puts the ids of one range together and tells how far they are dense.
+
+    A front enters a range at its start or at a floor in it, and a higher floor
+    replaces a lower one. So only two runs of a range can ever be tailed: that from
+    its start and that from its highest floor. Whatever holes a range has, it hands
+    on these two when they grow, and keeps its ids as one packed value.
+    """
 
     def __init__(self, width: int):
         self.width = width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.runs = handle.getMapState("runs", "first bigint", "last bigint")
+        self.state = handle.getValueState("range", "ids binary, floor int, told_start int, told_floor int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         db_key, target, number = key
-        ids = np.empty(0, dtype=np.int64)
+        begin = number * self.width
+        packed, floor, *told = self.state.get() if self.state.exists() else (b"", -1, 0, 0)
+        # No ids stand for all of them.
+        have = np.ones(self.width, dtype=bool)
+        if packed is not None:
+            have[:] = False
+            if packed:
+                have = np.unpackbits(np.frombuffer(zlib.decompress(packed), dtype=np.uint8), count=self.width).astype(bool)
         for frame in rows:
-            # Never more ids than a range has.
-            ids = np.union1d(ids, frame["wal_id"].to_numpy(dtype=np.int64))
-        cuts = np.flatnonzero(np.diff(ids) != 1)
-        fresh = zip(ids[np.r_[0, cuts + 1]].tolist(), ids[np.r_[cuts, len(ids) - 1]].tolist())
-        known = {first: last for (first,), (last,) in self.runs.iterator()}
-        runs = merged_runs([*known.items(), *fresh])
-        if runs == [(number * self.width, (number + 1) * self.width - 1)]:
-            self.runs.clear()
-        else:
-            kept = dict(runs)
-            for first in known.keys() - kept.keys():
-                self.runs.removeKey((first,))
-            for first, last in kept.items():
-                if known.get(first) != last:
-                    self.runs.updateValue((first,), (last,))
-        changed = [(db_key, target, first, last) for first, last in runs if known.get(first) != last]
-        if changed:
-            yield pd.DataFrame(changed, columns=_RUN_NAMES)
+            places = frame["at"].to_numpy(dtype=np.int64) - begin
+            is_floor = frame["is_floor"].to_numpy(dtype=bool)
+            have[places[~is_floor]] = True
+            highest = int(places[is_floor].max(initial=-1))
+            if highest > floor:
+                floor, told[1] = highest, 0
+        full, grown = bool(have.all()), []
+        for place, first in enumerate((0, floor)):
+            if first < 0 or not have[first]:
+                continue
+            missing = int(np.argmin(have[first:]))
+            end = first + missing if not have[first + missing] else self.width
+            if end > told[place]:
+                told[place] = end
+                grown.append((db_key, target, begin + first, begin + end - 1))
+        ids = None if full else zlib.compress(np.packbits(have).tobytes(), 1)
+        self.state.update((ids, floor, *told))
+        if grown:
+            yield pd.DataFrame(grown, columns=_RUN_NAMES)
 
     def close(self) -> None:
         pass
@@ -117,11 +121,17 @@ def tailed_runs(ids: DataFrame, floors: DataFrame, width: int = RANGE_WIDTH) ->
     wait until the hole before them is filled, those below the front are
     dropped. Nothing that waits ever expires: that would be a hole.
     """
-    ranged = ids.select(*KEYS, F.floor(F.col("wal_id") / F.lit(width)).cast("bigint").alias("_range"), "wal_id").filter("wal_id IS NOT NULL")
-    runs = ranged.groupBy(*KEYS, "_range").transformWithStateInPandas(_RangeRuns(width), _RUNS, "Append", "None")
     none = F.lit(None).cast("bigint")
+    wanted = floors.select(*KEYS, F.col("floor").cast("bigint").alias("floor")).filter("floor IS NOT NULL")
+
+    def in_ranges(rows: DataFrame, at: str, is_floor: bool) -> DataFrame:
+        number = F.expr(f"({at} - pmod({at}, {width})) div {width}")
+        return rows.filter(F.col(at).isNotNull()).select(*KEYS, number.alias("_range"), F.col(at).cast("bigint").alias("at"), F.lit(is_floor).alias("is_floor"))
+
+    ranged = in_ranges(ids, "wal_id", False).unionByName(in_ranges(wanted, "floor", True))
+    runs = ranged.groupBy(*KEYS, "_range").transformWithStateInPandas(_RangeRuns(width), _RUNS, "Append", "None")
     both = runs.withColumn("floor", none).unionByName(
-        floors.select(*KEYS, none.alias("from_id"), none.alias("to_id"), "floor").filter("floor IS NOT NULL")
+        wanted.select(*KEYS, none.alias("from_id"), none.alias("to_id"), "floor")
     )
     return both.groupBy(*KEYS).transformWithStateInPandas(_Front(), _RUNS, "Append", "None")
 

@@ -70,6 +70,24 @@ def test_tail_in_any_order_is_the_dense_run(spark):
     assert sorted(got) == [(1, i) for i in range(3, 200)] + [(2, i) for i in range(150)]
 
 
+def test_a_range_with_many_holes_hands_on_two_runs(spark):
+    """What waits at a log's front is bounded by its ranges and floors, not by the holes in them."""
+    from quayside.operators.ordered import RANGE_WIDTH
+
+    ids = spark.createDataFrame([(1, "t", i) for i in range(0, 3000) if i % 3], IDS).coalesce(1)
+    path = shared_dir(spark, "holes-test")
+    ids.write.parquet(f"{path}/in")
+    spark.createDataFrame([(1, "t", 1), (1, "t", 1000)], "db_key bigint, target string, floor bigint").write.parquet(f"{path}/floors")
+    stream = tailed_runs(spark.readStream.schema(ids.schema).parquet(f"{path}/in"),
+                         spark.readStream.schema("db_key bigint, target string, floor bigint").parquet(f"{path}/floors"))
+    out = run_keyed(stream, f"{path}/out", f"{path}/checkpoint").collect()
+    assert [(r.from_id, r.to_id) for r in out] == [(1000, 1001)] and RANGE_WIDTH > 3000
+    told = spark.read.format("statestore").option("operatorId", 1).option("stateVarName", "range").load(f"{path}/checkpoint").collect()
+    assert len(told) == 1
+    waiting = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "waiting").load(f"{path}/checkpoint").collect()
+    assert len(waiting) == 0
+
+
 BEATS = "node_id string, services array<string>, last_modified timestamp, location string, deleted boolean"
 
 
