@@ -140,8 +140,10 @@ def contiguous_from(ids: DataFrame, floors: DataFrame, keys: list[str], number:
 
     Everything in ``[floor, next)`` is present. A number is compared with its
     successor through one aggregation on (keys, number), so no key is read as
-    an ordered whole.
+    an ordered whole. The floors are written first, so that their size is known:
+    a few are broadcast, and the ids are not dealt by key for them.
     """
+    floors = settle(floors, "floors")
     above = ids.select(*keys, number).join(floors, keys).filter(F.col(number) >= F.col(floor))
     present = above.select(*keys, number, F.lit(1).alias("_has"), F.lit(0).alias("_wanted"))
     successors = above.select(
@@ -161,7 +163,8 @@ def contiguous_from(ids: DataFrame, floors: DataFrame, keys: list[str], number:
 
 def contiguous_run(ids: DataFrame, floors: DataFrame, keys: list[str], number: str, floor: str) -> DataFrame:
     """The ids of the dense run that starts at each key's floor."""
-    bounds = contiguous_from(ids, floors, keys, number, floor)
+    # Written, as the floors are: the ids of a few busy keys are filtered where they are, not dealt by key.
+    bounds = settle(contiguous_from(ids, floors, keys, number, floor), "tail-ends")
     return (
         ids.select(*keys, number).distinct().join(bounds, keys)
         .filter((F.col(number) >= F.col(floor)) & (F.col(number) < F.col("next")))

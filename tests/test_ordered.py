@@ -97,3 +97,15 @@ def test_points_beyond_the_samples(spark):
     samples = spark.createDataFrame([("a", 0, 7), ("a", 10, 3), ("a", None, 9)], "k string, n bigint, v int")
     got = {r.i: r.out for r in ordered.asof_round_down(points, samples, ["k"], "at", "n", "v", "out").collect()}
     assert got == {**{i: 3 for i in range(500)}, -1: None, -2: None}
+
+
+def test_ids_are_not_dealt_by_key_for_a_few_floors(spark):
+    """A busy key's ids are filtered where they are read; dealt by key they would all lie in one task."""
+    ids = spark.range(5000).selectExpr("id % 2 AS k", "id AS n")
+    floors = ids.groupBy("k").min("n").withColumnRenamed("min(n)", "floor")
+    bounds = ordered.contiguous_from(ids, floors, ["k"], "n", "floor")
+    run = ordered.contiguous_run(ids, floors, ["k"], "n", "floor")
+    for df in (bounds, run):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(map(tuple, run.collect())) == [(0, 0), (1, 1)]
