@@ -167,8 +167,9 @@ def ag12(fx: Fixtures) -> DataFrame:
 def st1(fx: Fixtures) -> DataFrame:
     """Difference and union of referenced and listed objects."""
     on = ["db_key", "kind", "object_name"]
-    referenced = fx._objects(fx.manifest, ["db_key"])
-    parts = {"difference": sets.difference(referenced, fx.dst_object, on), "union": sets.union(referenced, fx.dst_object, on)}
+    referenced = settle(fx._objects(fx.manifest, ["db_key"]).select(*on), "referenced")
+    listed = settle(fx.dst_object.select(*on), "listed")
+    parts = {"difference": sets.difference(referenced, listed, on), "union": sets.union(referenced, listed, on)}
     rows = [df.select(F.lit(op).alias("op"), "db_key", "object_name") for op, df in parts.items()]
     return rows[0].unionByName(rows[1])
 
@@ -286,7 +287,7 @@ def jn6(fx: Fixtures) -> DataFrame:
     marks = ready.select(*PAIR, F.col("watermark").alias("manifest_id"))
     own = fx.dest.objects.join(marks, [*PAIR, "manifest_id"])
     wanted = snapshot.closure_objects(members, fx.source.objects).join(ready.select("db_key"), "db_key")
-    return sets.difference(wanted, own, ["db_key", "kind", "object_name"])
+    return sets.difference(settle(wanted, "wanted"), settle(own, "own"), ["db_key", "kind", "object_name"])
 
 
 @query("jn7_live_in_both", "SELECT db_key, target, manifest_id FROM (SELECT db_key, target, member_id AS manifest_id FROM fx_shared_member UNION SELECT db_key, target, watermark FROM fx_ready WHERE watermark IS NOT NULL)", SYNC_VIEWS)

@@ -109,3 +109,16 @@ def test_ids_are_not_dealt_by_key_for_a_few_floors(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert sorted(map(tuple, run.collect())) == [(0, 0), (1, 1)]
+
+
+def test_sets_are_dealt_by_their_rows(spark, monkeypatch):
+    """The parts of a set operation follow its rows, not the bytes that they pack to or the session's partitions."""
+    from quayside.operators import sets
+
+    monkeypatch.setattr(sets, "TASK_ROWS", 100)
+    left, right = spark.range(1000).selectExpr("'same' AS kind", "id % 900 AS n"), spark.range(500).selectExpr("'same' AS kind", "id * 2 AS n")
+    assert {r.n for r in sets.difference(left, right, ["kind", "n"]).collect()} == {n for n in range(900) if n % 2}
+    both = sets.union(left, right, ["kind", "n"])
+    assert sorted(r.n for r in both.collect()) == sorted({*range(900), *range(0, 1000, 2)})
+    for df in (both, sets.difference(left, right, ["kind", "n"])):
+        assert ", 15), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
