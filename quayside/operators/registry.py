@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.names import registered_url, registry_url
-from quayside.session import settle
+from quayside.session import settle, spread
 
 
 def registry_entries(listing: DataFrame) -> DataFrame:
-    """Decode a listing of registry files: (file_name, size, decoded, url, reject_reason)."""
-    named = listing.withColumn("file_name", F.element_at(F.split("path", "/"), -1))
+    """Decode a listing of registry files: (file_name, size, decoded, url, reject_reason).
+
+    Names are dealt to tasks by their number and decoded once, into a written
+    table, since groups and warnings read it several times.
+    """
+    named = spread(listing).withColumn("file_name", F.element_at(F.split("path", "/"), -1))
     decoded = named.withColumn("decoded", registry_url(F.col("file_name")))
     checked = decoded.withColumn("_r", registered_url(F.col("decoded")))
-    return checked.select(
+    entries = checked.select(
         "file_name",
         "size",
         "decoded",
@@ -22,6 +26,7 @@ def registry_entries(listing: DataFrame) -> DataFrame:
         F.when(F.col("decoded").isNull(), F.lit("not a registry file"))
         .otherwise(F.col("_r.reject_reason")).alias("reject_reason"),
     )
+    return settle(entries, "registry-entries")
 
 
 def alias_groups(entries: DataFrame) -> DataFrame:
