@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quayside.functions.durations import duration_seconds
 from quayside.functions.names import SERVICES, valid_identifier
 from quayside.functions.urls import canonical_url
+from quayside.session import settle, spread
 
 KIND_TYPES = {
     "flag": "boolean", "duration": "double", "count": "bigint", "ratio": "float",
@@ -330,9 +331,12 @@ def read_documents(documents: DataFrame, keys: list[str], column: str = "documen
     The schema is closed: a field the catalog does not have is a violation,
     as is a value of the wrong kind or a broken rule. Unreadable text is one
     violation. An empty or NULL document sets nothing. Top-level sections
-    named in ``ignore`` are read elsewhere.
+    named in ``ignore`` are read elsewhere. Documents are dealt to tasks by their
+    number first, since reading one costs far more than its bytes tell, and
+    written, since a filter would move below the dealing.
     """
     settings = settings or SETTINGS
+    documents = settle(spread(documents.select(*keys, column)), "documents")
     tree = _tree(settings)
     text = F.when(F.trim(F.col(column)) != "", F.col(column))
     parsed = documents.select(

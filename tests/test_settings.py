@@ -143,3 +143,14 @@ def test_reconcile_is_null_safe(spark):
     running = spark.createDataFrame([("u", "gc", None, 1), ("u", "mirror", "b", 1), ("v", "gc", None, 9)], schema)
     got = {(r.db_url, r.service, r.target): r.action for r in reconcile(owned, running).collect()}
     assert got == {("u", "gc", None): "keep", ("u", "mirror", "a"): "start", ("u", "mirror", "b"): "stop", ("v", "gc", None): "restart"}
+
+
+def test_documents_and_names_are_dealt_by_their_number(spark):
+    """One small file holds many rows that are dear to read: they do not stay in the task that reads it."""
+    rows = spark.range(25_000).coalesce(1)
+    layer = settings.read_documents(rows.selectExpr("id AS db_key", "'{}' AS document"), ["db_key"])
+    # A filter on what was read does not move it back into the one task.
+    kept = layer.filter("size(violations) = 0").select("db_key", F.spark_partition_id().alias("task"))
+    assert {r["count"] for r in kept.groupBy("task").count().collect()} <= set(range(5_000, 12_500))
+    listing = rows.selectExpr("concat('db/', id) AS path", "id AS size")
+    assert registry.registry_entries(listing).count() == 25_000
