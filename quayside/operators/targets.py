@@ -38,11 +38,13 @@ def applied_targets(databases: DataFrame, inherited: DataFrame, tuned: DataFrame
     :func:`quayside.operators.settings.merge_targets`. A prefix matches at
     path-segment boundaries: each url is taken apart into its prefixes, so the
     match is an equi-join. A destination equal to the source never applies.
+    The targets are written first: of known size, they are broadcast while they
+    are few, and the databases, which look small on disk, are not.
     """
     settings = [c for c in inherited.columns if c not in ("target", "url", "source_prefix", "disabled")]
     out = ["db_key", "db_url", "target", "destination", *settings]
     exploded = databases.select("db_key", "db_url", F.explode(path_prefixes(F.col("db_url"))).alias("_from"))
-    matched = exploded.join(_usable(inherited), "_from")
+    matched = exploded.join(settle(_usable(inherited), "usable-targets"), "_from")
     if tuned is not None:
         # A database's own row replaces the fleet target of that name.
         matched = matched.join(tuned.select("db_key", "target"), ["db_key", "target"], "left_anti")
@@ -88,9 +90,10 @@ def collision_messages(collided: DataFrame) -> DataFrame:
 def registered_destinations(applied: DataFrame, databases: DataFrame) -> DataFrame:
     """Destinations that are themselves registered databases."""
     registered = databases.select(F.col("db_url").alias("destination"))
-    return applied.select("destination").distinct().join(registered, "destination", "left_semi")
+    # As many as databases: not to be broadcast.
+    return applied.select("destination").distinct().join(registered.hint("merge"), "destination", "left_semi")
 
 
 def unmirrored(mirroring: DataFrame, applied: DataFrame) -> DataFrame:
     """Databases that want mirroring and have no applicable target."""
-    return mirroring.join(applied.select("db_key"), "db_key", "left_anti")
+    return mirroring.join(applied.select("db_key").hint("merge"), "db_key", "left_anti")

@@ -38,7 +38,8 @@ def assignments(resolved: DataFrame, applied: DataFrame) -> DataFrame:
 
     ``resolved`` is (db_key, db_url, services, compaction_workers_count, ...).
     One owner each, except as many workers as the settings say. The mirror
-    service is assigned per applied target.
+    service is assigned per applied target. Both sides have a row per database:
+    small as they are on disk, neither is to be broadcast.
     """
     wanted = resolved.select(
         "db_key", "db_url", "compaction_workers_count", F.explode("services").alias("service")
@@ -48,7 +49,9 @@ def assignments(resolved: DataFrame, applied: DataFrame) -> DataFrame:
         "db_url", "service", F.lit(None).cast("string").alias("target"),
         F.when(workers, F.col("compaction_workers_count")).otherwise(F.lit(1)).cast("bigint").alias("k"),
     )
-    mirrors = wanted.filter(F.col("service") == "mirror").join(applied.select("db_key", "target"), "db_key")
+    mirrors = wanted.filter(F.col("service") == "mirror").join(
+        applied.select("db_key", "target").hint("merge"), "db_key"
+    )
     return plain.unionByName(
         mirrors.select("db_url", "service", "target", F.lit(1).cast("bigint").alias("k"))
     )
@@ -76,7 +79,7 @@ def warnings(resolved: DataFrame, applied: DataFrame, wanted: DataFrame, live: D
     subject = F.col("subject")
     if mirrors:
         mirroring = resolved.filter(F.array_contains("services", "mirror"))
-        used = applied.join(mirroring.select("db_key"), "db_key", "left_semi")
+        used = applied.join(mirroring.select("db_key").hint("merge"), "db_key", "left_semi")
         warn(collision_messages(collisions(used)), "collision", subject, F.col("message"))
         warn(
             unmirrored(mirroring.select("db_key", "db_url"), applied), "unmirrored", F.col("db_url"),

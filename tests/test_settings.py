@@ -154,3 +154,16 @@ def test_documents_and_names_are_dealt_by_their_number(spark):
     assert {r["count"] for r in kept.groupBy("task").count().collect()} <= set(range(5_000, 12_500))
     listing = rows.selectExpr("concat('db/', id) AS path", "id AS size")
     assert registry.registry_entries(listing).count() == 25_000
+
+
+def test_databases_are_not_broadcast(spark):
+    """What has a row per database stays on the executors, however small Spark takes it to be."""
+    from quayside.plans import status
+
+    mirroring = spark.createDataFrame([(1, "s3://a/1"), (2, "s3://a/2")], "db_key bigint, db_url string")
+    applied = spark.createDataFrame([(1, "t", "s3://a/2")], "db_key bigint, target string, destination string")
+    resolved = mirroring.selectExpr("*", "array('mirror') AS services", "1L AS compaction_workers_count")
+    wanted = status.assignments(resolved, applied)
+    parts = [wanted, targets.unmirrored(mirroring, applied), targets.registered_destinations(applied, mirroring)]
+    assert [df.count() for df in parts] == [1, 1, 1]
+    assert not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in parts)
