@@ -46,11 +46,7 @@ def src6(fx: Fixtures) -> DataFrame:
         .otherwise(F.concat(F.lit("wal/"), key, F.lit(".tmp")))
     )
     listing = fx.table("lineitem").select((F.col("l_suppkey") % 20).alias("db_key"), path.alias("path")).distinct()
-    kinds = [
-        listings.snapshot_listing(listing, kind).select("db_key", F.lit(kind).alias("kind"), "path")
-        for kind in ("manifest", "wal", "compacted")
-    ]
-    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("db_key", "kind").agg(
+    return listings.snapshot_listings(listing).groupBy("db_key", "kind").agg(
         F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"), F.max("path").alias("last_path")
     )
 

@@ -103,26 +103,27 @@ def object_class(path: Column) -> Column:
     ``id`` is DECIMAL(20,0): object ids are unsigned 64-bit numbers. Padding is
     optional when reading.
     """
-    folder = F.element_at(F.split(path, "/"), -2)
-    name = F.element_at(F.split(path, "/"), -1)
-    digits = F.regexp_extract(name, r"^\+?0*([0-9]+)\.(?:manifest|sst)\z", 1)
-    in_range = (F.length(digits) < 20) | ((F.length(digits) == 20) & (digits <= _MAX_U64))
-    number = F.when((digits != "") & in_range, digits.try_cast("decimal(20,0)"))
-    ulid = F.regexp_extract(name, r"^([A-Za-z0-9]{26})\.sst\z", 1)
     none = F.lit(None)
+
+    def numbered(kind: str, suffix: str) -> Column:
+        def classed(digits: Column) -> Column:
+            in_range = (F.length(digits) < 20) | ((F.length(digits) == 20) & (digits <= _MAX_U64))
+            number = F.when((digits != "") & in_range, digits.try_cast("decimal(20,0)"))
+            return let(number, lambda n: F.when(n.isNotNull(), F.struct(
+                F.lit(kind).alias("kind"), n.alias("id"), none.cast("string").alias("ulid")
+            )))
+
+        return let(F.regexp_extract(path, rf"(?s)(?:^|/){kind}/\+?0*([0-9]+)\.{suffix}\z", 1), classed)
+
+    compacted = let(F.regexp_extract(path, r"(?s)(?:^|/)compacted/([A-Za-z0-9]{26})\.sst\z", 1), lambda ulid: F.when(ulid != "", F.struct(
+        F.lit("compacted").alias("kind"), none.cast("decimal(20,0)").alias("id"), ulid.alias("ulid")
+    )))
+    # A cheap look at the folder comes first, so that a name meets one pattern, and that once.
+    folder = F.substring_index(path, "/", -2)
     return (
-        F.when(
-            (folder == "manifest") & name.endswith(".manifest") & number.isNotNull(),
-            F.struct(F.lit("manifest").alias("kind"), number.alias("id"), none.cast("string").alias("ulid")),
-        )
-        .when(
-            (folder == "wal") & name.endswith(".sst") & number.isNotNull(),
-            F.struct(F.lit("wal").alias("kind"), number.alias("id"), none.cast("string").alias("ulid")),
-        )
-        .when(
-            (folder == "compacted") & (ulid != ""),
-            F.struct(F.lit("compacted").alias("kind"), none.cast("decimal(20,0)").alias("id"), ulid.alias("ulid")),
-        )
+        F.when(folder.startswith("manifest/"), numbered("manifest", "manifest"))
+        .when(folder.startswith("wal/"), numbered("wal", "sst"))
+        .when(folder.startswith("compacted/"), compacted)
     )
 
 

@@ -74,13 +74,19 @@ def heartbeat_entries(listing: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def snapshot_listing(listing: DataFrame, kind: str, keys: tuple[str, ...] = ("db_key",)) -> DataFrame:
-    """Snapshot objects of one kind: manifest and wal by id, compacted by ulid.
+def snapshot_listings(listing: DataFrame, keys: tuple[str, ...] = ("db_key",)) -> DataFrame:
+    """Snapshot objects of all kinds in one pass: manifest and wal by ``id``, compacted by ``ulid``.
 
     Names that do not parse are skipped. Rows come unsorted: sort at the end,
     once, if a reader needs the order.
     """
-    classed = listing.withColumn("_c", object_class(F.col("path"))).filter(F.col("_c.kind") == kind)
-    number = F.col("_c.ulid").alias("ulid") if kind == "compacted" else F.col("_c.id").alias("id")
+    # Exploded, so that each name is taken apart once and not again for the filter.
+    classed = listing.withColumn("_c", F.explode(F.array_compact(F.array(object_class(F.col("path"))))))
     rest = [c for c in ("last_modified", "size", "etag") if c in listing.columns]
-    return classed.select(*keys, number, "path", *rest)
+    return classed.select(*keys, "_c.kind", "_c.id", "_c.ulid", "path", *rest)
+
+
+def snapshot_listing(listing: DataFrame, kind: str, keys: tuple[str, ...] = ("db_key",)) -> DataFrame:
+    """The rows of :func:`snapshot_listings` of one kind, with the number that it has."""
+    ours = snapshot_listings(listing.filter(F.contains("path", F.lit(f"{kind}/"))), keys).filter(F.col("kind") == kind)
+    return ours.drop("kind", "id" if kind == "compacted" else "ulid")

@@ -76,6 +76,25 @@ def test_object_classes_never_cross(spark):
     ]
 
 
+def test_listings_of_all_kinds_take_one_pass(spark):
+    from quayside.sources import listings
+
+    ulid = "01HZX3V9QK8M2T5W7Y4B6C1D0E"
+    given = ["manifest/+0007.manifest", "x/manifest/wal/7.sst", "wal/manifest/7.manifest", "wal/7.sst", f"compacted/{ulid}.sst",
+             "7.sst", "xwal/7.sst", "wal/7.sst\n", "wal/-7.sst", "wal/.sst", "a\nb/wal/0.sst", f"wal/compacted/{ulid}.sst", None, ""]
+    listing = spark.createDataFrame([(1, p) for p in given], "db_key bigint, path string")
+    every = listings.snapshot_listings(listing)
+    got = sorted((r["kind"], r["id"] is not None and int(r["id"]), r["ulid"], r["path"]) for r in every.collect())
+    want = [("manifest", 7, None, given[0]), ("wal", 7, None, given[1]), ("manifest", 7, None, given[2]), ("wal", 7, None, given[3]),
+            ("compacted", False, ulid, given[4]), ("wal", 0, None, given[10]), ("compacted", False, ulid, given[11])]
+    assert got == sorted(want)
+    assert every._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 3
+    for kind in ("manifest", "wal", "compacted"):
+        rows = listings.snapshot_listing(listing, kind)
+        assert sorted(r["path"] for r in rows.collect()) == sorted(w[3] for w in want if w[0] == kind)
+        assert rows.columns == ["db_key", "ulid" if kind == "compacted" else "id", "path"]
+
+
 def test_identifiers(spark):
     given = ["a", "A_b-9", "", "a.b", "a\n", "x" * 128, "x" * 129, None]
     assert column(spark, given, names.valid_identifier) == [True, True, False, False, False, True, False, False]
