@@ -188,10 +188,7 @@ RUN_OPS = {"difference": "EXCEPT", "intersection": "INTERSECT", "union": "UNION"
 def st1_runs(fx: Fixtures) -> DataFrame:
     """Windows of all manifests against the WAL ids that the target lists, as runs."""
     windows, listed = snapshot.window_runs(fx.manifest), intervals.as_runs(fx.dst_object, ["db_key"], "wal_id")
-    rows = [
-        getattr(intervals, op)(windows, listed, ["db_key"]).select(F.lit(op).alias("op"), "db_key", "start", "end") for op in RUN_OPS
-    ]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return intervals.algebra(windows, listed, ["db_key"], list(RUN_OPS))
 
 
 @query(

@@ -40,8 +40,8 @@ def _end_points(runs: DataFrame, keys: list[str], side: str) -> DataFrame:
     return points.select(*keys, F.col("_point.at").alias("_at"), *[c.cast("bigint").alias(f"_{name}") for name, c in change.items()])
 
 
-def _sweep(points: DataFrame, keys: list[str], wanted: Callable[[Column, Column], Column]) -> DataFrame:
-    """The runs over which ``wanted`` holds for the cover of the two sides."""
+def _sweep(points: DataFrame, keys: list[str], **wanted: Callable[[Column, Column], Column]) -> DataFrame:
+    """(op, keys, start, end): the runs over which each of ``wanted`` holds for the cover of the two sides."""
     sides = ["_left", "_right"]
     changes = points.groupBy(*keys, "_at").agg(*[F.sum(s).alias(s) for s in sides]).filter("_left <> 0 OR _right <> 0")
     dealt = pieces(changes, keys, "_at")
@@ -58,52 +58,66 @@ def _sweep(points: DataFrame, keys: list[str], wanted: Callable[[Column, Column]
     swept = dealt.unionByName(carried, allowMissingColumns=True).select(
         "*", *[F.sum(s).over(running).alias(f"_after{s}") for s in sides]
     )
+    turn = F.array(*[
+        F.struct(F.lit(op).alias("op"), holds(left, right).alias("opens"),
+                 holds(left - F.col("_left"), right - F.col("_right")).alias("was"))
+        for op, holds in wanted.items()
+    ])
     turns = settle(
         swept.filter(F.col("_at").isNotNull())
-        .select(*keys, "_piece", "_at", wanted(left, right).alias("_opens"),
-                wanted(left - F.col("_left"), right - F.col("_right")).alias("_was"))
-        .filter("_opens <> _was").drop("_was"),
+        .select(*keys, "_piece", "_at", F.explode(turn).alias("_turn")).filter("_turn.opens <> _turn.was")
+        .select(F.col("_turn.op").alias("op"), *keys, "_piece", "_at", F.col("_turn.opens").alias("_opens")),
         "turns",
     )
     # Openings and closings alternate, so a run ends at the next turn, which may lie in a later piece.
     first_of_next = (
-        turns.groupBy(*keys, "_piece").agg(F.min("_at").alias("_first"))
-        .select(*keys, "_piece", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_piece")).alias("_at"))
+        turns.groupBy("op", *keys, "_piece").agg(F.min("_at").alias("_first"))
+        .select("op", *keys, "_piece", F.lead("_first").over(Window.partitionBy("op", *keys).orderBy("_piece")).alias("_at"))
         .filter(F.col("_at").isNotNull()).withColumn("_opens", F.lit(False))
     )
-    following = F.lead("_at").over(Window.partitionBy(*keys, "_piece").orderBy("_at"))
+    following = F.lead("_at").over(Window.partitionBy("op", *keys, "_piece").orderBy("_at"))
     return (
         turns.unionByName(first_of_next).withColumn("_end", following)
         .filter(F.col("_opens") & F.col("_end").isNotNull())
-        .select(*keys, F.col("_at").alias("start"), F.col("_end").alias("end"))
+        .select("op", *keys, F.col("_at").alias("start"), F.col("_end").alias("end"))
     )
 
 
 def merged(runs: DataFrame, keys: list[str]) -> DataFrame:
     """The runs of each key, put together where they overlap or touch."""
-    return _sweep(_end_points(runs, keys, "left"), keys, lambda left, _: left > 0)
+    return _sweep(_end_points(runs, keys, "left"), keys, merged=lambda left, _: left > 0).drop("op")
 
 
 def holes(runs: DataFrame, keys: list[str]) -> DataFrame:
     """What lies between each key's runs and belongs to none."""
-    return _sweep(_end_points(runs, keys, "left"), keys, lambda left, _: left == 0)
+    return _sweep(_end_points(runs, keys, "left"), keys, holes=lambda left, _: left == 0).drop("op")
 
 
-def _both(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return _end_points(left, keys, "left").unionByName(_end_points(right, keys, "right"))
+# What of two sides each operation keeps, by how often either covers a number.
+_ALGEBRA: dict[str, Callable[[Column, Column], Column]] = {
+    "union": lambda a, b: (a > 0) | (b > 0),
+    "intersection": lambda a, b: (a > 0) & (b > 0),
+    "difference": lambda a, b: (a > 0) & (b == 0),
+}
+
+
+def algebra(left: DataFrame, right: DataFrame, keys: list[str], ops: list[str]) -> DataFrame:
+    """(op, keys, start, end) of several of ``union``, ``intersection`` and ``difference``, in one sweep for all."""
+    both = _end_points(left, keys, "left").unionByName(_end_points(right, keys, "right"))
+    return _sweep(both, keys, **{op: _ALGEBRA[op] for op in ops})
 
 
 def union(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return _sweep(_both(left, right, keys), keys, lambda a, b: (a > 0) | (b > 0))
+    return algebra(left, right, keys, ["union"]).drop("op")
 
 
 def intersection(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return _sweep(_both(left, right, keys), keys, lambda a, b: (a > 0) & (b > 0))
+    return algebra(left, right, keys, ["intersection"]).drop("op")
 
 
 def difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """What is in ``left`` and not in ``right``."""
-    return _sweep(_both(left, right, keys), keys, lambda a, b: (a > 0) & (b == 0))
+    return algebra(left, right, keys, ["difference"]).drop("op")
 
 
 def dense_until(runs: DataFrame, floors: DataFrame, keys: list[str], floor: str) -> DataFrame:

@@ -53,6 +53,17 @@ def test_algebra(spark, sides):
     assert collected(intervals.difference(left, left, ["k"])) == []
 
 
+def test_all_operations_take_one_sweep(spark, sides, monkeypatch):
+    left, right = (spark.createDataFrame(rows, SCHEMA).repartition(5) for rows in sides)
+    a, b = map(numbers, sides)
+    cuts, pieces = [], intervals.pieces
+    monkeypatch.setattr(intervals, "pieces", lambda *args: cuts.append(args) or pieces(*args))
+    both = intervals.algebra(left, right, ["k"], ["union", "intersection", "difference"])
+    assert len(cuts) == 1
+    for op, want in {"union": a | b, "intersection": a & b, "difference": a - b}.items():
+        assert collected(both.filter(both["op"] == op)) == runs(want)
+
+
 def test_holes_sizes_and_ids(spark, sides):
     left = spark.createDataFrame(sides[0], SCHEMA)
     a = numbers(sides[0])
