@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions.names import compacted_name, wal_name
 from quayside.operators.snapshot import Catalog, window_objects
+from quayside.session import deal_shuffles
 
 HEARTBEAT_NOW = "2024-01-30 18:00:00"
 HEARTBEAT_TIMEOUT = 36_000
@@ -30,10 +31,14 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._tables: dict[str, DataFrame] = {}
+        self._most_rows = 0
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            # Counted from the files' footers.
+            self._most_rows = max(self._most_rows, self._tables[name].count())
+            deal_shuffles(self.spark, self._most_rows)
         return self._tables[name]
 
     @property

@@ -96,9 +96,17 @@ def closure_runs(members: DataFrame, manifests: DataFrame, keys: tuple[str, ...]
 
 
 def heads(manifests: DataFrame, keys: tuple[str, ...] = ("db_key",)) -> DataFrame:
-    """The manifest row with the highest id per key."""
+    """The manifest row with the highest id per key.
+
+    The highest ids come first, as numbers, which are hashed: the maximum of a whole
+    row would sort all manifests that a task reads.
+    """
     rest = [c for c in manifests.columns if c not in keys and c != "manifest_id"]
-    top = manifests.groupBy(*keys).agg(F.max(F.struct("manifest_id", *rest)).alias("h"))
+    highest = manifests.groupBy(*keys).agg(F.max("manifest_id").alias("manifest_id"))
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (*keys, "manifest_id")]
+    rows = manifests.alias("m").join(highest.alias("t"), same, "left_semi")
+    # Of several rows with that id the largest is taken.
+    top = rows.groupBy(*keys).agg(F.max(F.struct("manifest_id", *rest)).alias("h"))
     return top.select(*keys, "h.*")
 
 

@@ -129,7 +129,8 @@ def wal_runs_to_copy(source: DataFrame, dest_listing: DataFrame, ready: DataFram
     windows, without a row per id: the closure's windows less those of
     ``present`` manifests and less what the target lists.
     """
-    windows = window_runs(source)
+    # Written, so that these few rows are known to be few and the windows are not sent to them.
+    windows, present = window_runs(source), settle(present, "present")
     wanted = (
         members.select("db_key", F.col("member_id").alias("manifest_id")).join(windows, ["db_key", "manifest_id"])
         .join(ready.select(*PAIR), "db_key").select(*PAIR, "start", "end")
@@ -161,7 +162,7 @@ def sync_plan(source: Catalog, dest: Catalog, dest_listing: DataFrame, pairs: Da
     ready = pending.join(broken, "db_key", "left_anti")
     usable = members.join(broken, "db_key", "left_anti")
 
-    present = present_manifests(source, dest, ready, usable, now)
+    present = settle(present_manifests(source, dest, ready, usable, now), "sync-present")
     candidates = settle(unproven_objects(source, dest, ready, usable, present), "sync-candidates")
     copies = settle(
         missing_at_target(candidates, dest_listing).select(*PAIR, "kind", "object_name"), "sync-copies"

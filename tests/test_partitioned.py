@@ -48,3 +48,27 @@ def test_late_heartbeats_are_not_lost(spark):
     emitted = liveness_periods(rows.filter("false"), 30)
     got = to_the_end(emitted, rows, "node_id", "down_at", lambda r: liveness_periods(r, 30))
     assert {r["node_id"]: r["down_at"] is None for r in got.collect()} == {"a": False, "b": True}
+
+
+def test_shuffles_are_cut_by_the_rows_that_are_read(spark, tmp_path):
+    from quayside.catalog.fixtures import Fixtures
+
+    spark.range(1_000_000).withColumnRenamed("id", "l_orderkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(10).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    fx = Fixtures(spark, str(tmp_path))
+    lines, orders = fx.table("lineitem"), fx.table("orders")
+    for table in (lines, orders):
+        plan = table.distinct()._jdf.queryExecution().executedPlan().toString()
+        assert ", 5)" in plan, plan
+
+
+def test_newest_manifests_are_hashed_and_not_sorted(spark):
+    from quayside.operators.snapshot import heads
+
+    rows = [(1, 7, "a"), (1, 9, "b"), (1, 9, "c"), (2, None, "d"), (None, 3, "e"), (3, None, None), (3, 1, None)]
+    given = spark.createDataFrame(rows, "db_key bigint, manifest_id bigint, note string")
+    got = {r["db_key"]: (r["manifest_id"], r["note"]) for r in heads(given).collect()}
+    assert got == {1: (9, "c"), 2: (None, "d"), None: (3, "e"), 3: (1, None)}
+    stored = spark.createDataFrame(rows * 3, given.schema)
+    first = heads(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "functions=[partial_max(manifest_id" in first and "HashAggregate" in first
