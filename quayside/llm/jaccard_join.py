@@ -26,10 +26,18 @@ in blocks of bounded size. A task of blocks compares sets in memory and
 returns a spanning forest of the verified links, never the pairs.
 
 Passages that many documents share tie documents that are not similar at all.
-A cluster of more than two blocks is therefore refined before it is compared:
-a signature that several sets share is grown by the next segment, less up to
-one token, and in a second round, for clusters that are still very large, by
-the one after it, less up to two. Similar
+A cluster of more than two blocks is therefore refined before it is compared,
+by prefixes: whatever the order of all tokens, two similar sets share one of
+the first ``size - ceil(size * percent / 100) + 1`` tokens of each. The order
+puts tokens first that few sets hold, so a set with enough tokens of its own
+is tied to none, however many passages it shares. How many sets hold a token
+is counted for the lowest hashes only, about three times what a prefix takes;
+the others come last, and are counted as tokens of a prefix where a set has
+too few low ones. A token that many sets of one task hold arrives as a count;
+sets whose prefix might reach such tokens take all of theirs.
+
+Clusters that are still very large are refined once more: a signature that
+several sets share is grown by the next segment, less up to one token. Similar
 sets stay together, for by the cycle lemma there is a segment from which on
 the first l segments differ in l - 1 tokens at most, for every l. A signature
 that one set has alone ties nothing and is dropped. What is shared is told by
@@ -67,9 +75,13 @@ SPARSE = 0.25
 HELD_SIGNATURES = 1_000_000
 # Bounds of one block: documents and tokens.
 BLOCK_SETS, BLOCK_TOKENS = 256, 1_500_000
-# Clusters of more blocks than this are refined: in the first round, in the second. The second
-# multiplies the signatures of true copies, which it cannot part; it is for clusters that cost more to compare.
+# Clusters of more blocks than this are refined: by prefixes, then by grown signatures. These
+# multiply the signatures of true copies, which they cannot part; they are for clusters that cost more to compare.
 REFINED_ABOVE = (2, 64)
+# The owners of a low token are counted for so many times the tokens of a prefix.
+LOW_PER_PREFIX = 3
+# Tokens that a task holds before it hands them on, and from how many sets among them on a token is handed on as a count.
+HELD_TOKENS, HOT = 2_000_000, 32
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -315,7 +327,11 @@ def shared_signatures(docs: DataFrame, k: int, percent: int, text_col: str = "te
         if held:
             yield handed_on()
 
-    rows = docs.select(whole_text(text_col).alias("text")).mapInPandas(run, "key bigint, class bigint, several boolean, stands boolean")
+    return tied(docs.select(whole_text(text_col).alias("text")).mapInPandas(run, "key bigint, class bigint, several boolean, stands boolean"))
+
+
+def tied(rows: DataFrame) -> DataFrame:
+    """Pairs of classes that connect all classes which share a key, from rows that :func:`combined` has made."""
     # Equal signatures come in runs; the first class of a run stands for all. Two rows of one class, of which
     # one stands for another, are several sets as well.
     by_key = Window.partitionBy("key").orderBy("class", "stands")
@@ -326,6 +342,123 @@ def shared_signatures(docs: DataFrame, k: int, percent: int, text_col: str = "te
     )
 
 
+def prefix_length(size: int, percent: int) -> int:
+    """Tokens of a set of this size, first in any order, of which similar sets share one."""
+    return size - -(-percent * size // 100) + 1
+
+
+def ordered_key(tokens: np.ndarray) -> np.ndarray:
+    """Tokens as signed numbers of the same order."""
+    return (tokens ^ np.uint64(1 << 63)).astype(np.int64)
+
+
+def low_tokens(docs: DataFrame, k: int, percent: int, text_col: str = "text") -> tuple[DataFrame, int]:
+    """Tokens of which prefixes are made, and the key below which their order goes by their number of owners.
+
+    Rows are of three kinds: a token (``key``) of a ``class``; a token that ``n`` sets of a task hold, without them;
+    and, with ``inside``, per class the ``wanted`` length of its prefix, how many tokens are ``inside``, and the
+    ``hot`` ones among them, which are handed on as counts.
+    """
+    ready(docs.sparkSession)
+    bound = min((100 - percent) * LOW_PER_PREFIX, 100) * (1 << 64) // 100 - (1 << 63)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingles(k)
+        tokens, owners, wanted, held = [], [], [], 0
+
+        def rows_of(key, class_=None, hot=None, **numbers) -> pd.DataFrame:
+            columns = {"class": class_, "n": None, "wanted": None, "inside": None} | numbers
+            none = pd.arrays.IntegerArray(np.zeros(len(key), np.int64), np.ones(len(key), bool))
+            filled = {name: none if of is None else pd.array(of, dtype="Int64") for name, of in columns.items()}
+            return pd.DataFrame({"key": key, **filled, "hot": pd.Series([None] * len(key) if hot is None else hot, dtype=object)})
+
+        def handed_on() -> Iterator[pd.DataFrame]:
+            sizes = np.array([len(t) for t in tokens])
+            keys, of = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), sizes)
+            order = np.argsort(keys, kind="stable")
+            ordered = keys[order]
+            begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            counts = np.diff(np.append(begins, len(keys)))
+            hot = np.empty(len(keys), dtype=bool)
+            hot[order] = np.repeat(counts >= HOT, counts)
+            own, counted = np.array(owners), counts >= HOT
+            ends = np.cumsum(sizes)
+            yield rows_of(keys[~hot], own[of[~hot]])
+            yield rows_of(ordered[begins[counted]], n=counts[counted])
+            parts = [keys[end - size : end][hot[end - size : end]] for size, end in zip(sizes, ends)]
+            yield rows_of(own, own, wanted=wanted, inside=sizes, hot=parts)
+
+        seen = set()
+        for batch in batches:
+            for text in batch["text"]:
+                found = shingles(text)
+                if not len(found) or (own := class_of(found)) in seen:
+                    continue
+                seen.add(own)
+                keys, length = ordered_key(found), prefix_length(len(found), percent)
+                tokens.append(keys[: max(length, int(np.searchsorted(keys, bound)) if bound < 1 << 63 else len(keys))])
+                owners.append(own)
+                wanted.append(length)
+                held += len(tokens[-1])
+                if held >= HELD_TOKENS:
+                    yield from handed_on()
+                    tokens, owners, wanted, held = [], [], [], 0
+                    seen.clear()
+        if held:
+            yield from handed_on()
+
+    rows = docs.select(whole_text(text_col).alias("text"))
+    return rows.mapInPandas(run, "key bigint, class bigint, n bigint, wanted bigint, inside bigint, hot array<bigint>"), bound
+
+
+def prefixes(docs: DataFrame, k: int, percent: int, text_col: str = "text") -> DataFrame:
+    """``key`` and ``class``: the tokens of every set's prefix that another set may have in its own."""
+    rows, bound = low_tokens(docs, k, percent, text_col)
+    by_key = Window.partitionBy("key")
+    owner = F.when(F.col("inside").isNull(), F.col("class"))
+    known = rows.withColumns({
+        "one": F.min(owner).over(by_key), "other": F.max(owner).over(by_key), "elsewhere": F.sum("n").over(by_key),
+        "known": F.count(owner).over(by_key),
+    })
+    # A row per token that several sets hold, and those of the classes. What comes behind the low tokens goes by its hash.
+    many = F.col("known") + F.coalesce("elsewhere", F.lit(0))
+    rank = F.when(F.col("key") < F.lit(bound), many).otherwise(F.lit((1 << 63) - 1)) if bound < 1 << 63 else many
+    known = known.filter("class IS NOT NULL AND (inside IS NOT NULL OR one <> other OR elsewhere IS NOT NULL)")
+    sets = known.groupBy("class").agg(
+        F.max("wanted").alias("wanted"), F.max("inside").alias("inside"),
+        F.array_sort(F.collect_set(F.when(F.col("inside").isNull(), F.struct(rank.alias("rank"), "key")))).alias("known"),
+        F.array_distinct(F.flatten(F.collect_list("hot"))).alias("hot"),
+    )
+    # Tokens that no other set holds come first in the prefix, and tie nothing.
+    left = (F.col("wanted") - F.col("inside") + F.size(F.array_union("known.key", "hot"))).cast("int")
+    sets = sets.withColumn("left", left).filter("left > 0")
+    first = F.slice(F.col("known.key"), F.lit(1), F.col("left"))
+    rare = F.size(F.filter("known", lambda token: token["rank"] < HOT))
+    return sets.select(F.explode(F.when(rare >= F.col("left"), first).otherwise(F.array_union(first, "hot"))).alias("key"), "class")
+
+
+def shared_prefixes(docs: DataFrame, k: int, percent: int, text_col: str = "text") -> DataFrame:
+    """Pairs of classes ``a``, ``b`` that connect all classes whose prefixes share a token, with that ``key``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, owners, held = [], [], 0
+
+        def handed_on() -> pd.DataFrame:
+            names, of, several, stands = combined(np.concatenate(keys).astype(np.uint64), np.concatenate(owners))
+            return pd.DataFrame({"key": names.astype(np.int64), "class": of, "several": several, "stands": stands})
+
+        for batch in batches:
+            keys.append(batch["key"].to_numpy())
+            owners.append(batch["class"].to_numpy())
+            held += len(batch)
+            if held >= HELD_SIGNATURES:
+                yield handed_on()
+                keys, owners, held = [], [], 0
+        if held:
+            yield handed_on()
+
+    return tied(prefixes(docs, k, percent, text_col).mapInPandas(run, "key bigint, class bigint, several boolean, stands boolean"))
+
+
 def key_filter(keys: DataFrame) -> Filter:
     """A filter of the signatures ``key``. Its bits are set in Spark; at most 32 MB of them come to the driver."""
     ready(keys.sparkSession)
@@ -358,23 +491,24 @@ def sized(members: DataFrame) -> DataFrame:
 def refined(
     docs: DataFrame, members: DataFrame, shared: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``members`` with ``blocks``, after clusters of many blocks are split as far as grown signatures allow.
+    """``members`` with ``blocks``, after clusters of many blocks are split as far as prefixes and grown signatures allow.
 
     ``shared`` are the signatures by which the clusters were found. Members
     that are left alone have no links and go.
     """
-    placed, texts, filters = sized(members), None, ()
-    for above in REFINED_ABOVE:
+    placed = sized(members)
+    for above, by_prefixes in zip(REFINED_ABOVE, (True, False)):
         large = placed.filter(F.col("blocks") > above)
         if large.isEmpty():
             break
-        if texts is None:
-            whole = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("text")).hint("merge")
-            texts = settle(large.join(whole, F.col("id").eqNullSafe(F.col("_id"))).select("class", "text"), "large")
-        left = texts.join(large.select("class"), "class", "left_semi")
-        filters += (key_filter(shared.select("key").distinct()),)
-        shared = settle(shared_signatures(left, k, percent, "text", filters), "shared")
-        finer = connected(shared.filter("a <> b")).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+        whole = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("text")).hint("merge")
+        texts = large.join(whole, F.col("id").eqNullSafe(F.col("_id"))).select("text")
+        if by_prefixes:
+            ties = shared_prefixes(texts, k, percent)
+        else:
+            ties = shared_signatures(texts, k, percent, "text", (key_filter(shared.select("key").distinct()),))
+        ties = settle(ties.filter("a <> b").select("a", "b").distinct(), "ties")
+        finer = connected(ties).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
         split = large.drop("cluster", "blocks").join(finer, "class")
         kept = placed.filter(F.col("blocks") <= above).drop("blocks")
         placed = sized(settle(kept.unionByName(split), "members"))

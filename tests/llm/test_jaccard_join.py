@@ -94,6 +94,61 @@ def test_shared_passages_are_refined_away(spark, monkeypatch):
     assert sizes[0] > 2 and sizes[-1] < sizes[0]
 
 
+def passage_rows(draw, count=300):
+    """Texts of passages that very many share; nearly half of every text is its own."""
+    pool = [" ".join(f"p{draw.randrange(3000)}" for _ in range(60)) for _ in range(12)]
+    rows = [(i, " ".join([*draw.sample(pool, 4), *(f"w{draw.randrange(50_000)}" for _ in range(200))])) for i in range(count)]
+    return rows + [(1000 + i, text + " end") for i, text in rows[:20]]
+
+
+def test_prefixes_part_what_only_shares_passages(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 5)
+    placed = []
+
+    def seen(members, sized=jaccard_join.sized):
+        placed.append(sized(members))
+        return placed[-1]
+
+    monkeypatch.setattr(jaccard_join, "sized", seen)
+    check(spark, passage_rows(random.Random(9)), 5, 80)
+    most = [max(r["blocks"] for r in found.collect()) for found in placed]
+    assert most[0] > 20 and most[-1] == 1
+
+
+@pytest.mark.parametrize("hot, held", [(2, 100), (3, 4_000), (32, 2_000_000)])
+@pytest.mark.parametrize("k, percent", [(3, 90), (5, 80), (1, 70)])
+def test_similar_sets_are_tied_by_prefixes(spark, monkeypatch, hot, held, k, percent):
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "HELD_TOKENS", held)
+    monkeypatch.setattr(jaccard_join, "HELD_SIGNATURES", held)
+    draw = random.Random(hot)
+    rows = passage_rows(draw, 12) + [(5000, "one"), (5001, None), (5002, "one two")]
+    for number, size in enumerate((4, 9, 19, 40, 130, 300) * 3):
+        base = [f"w{draw.randrange(400)}" for _ in range(size)]
+        for copy in range(6):
+            text = list(base)
+            for _ in range(draw.randrange(max(2, size // 14))):
+                text[draw.randrange(len(text))] = f"x{draw.randrange(9)}"
+            rows.append((100 * number + copy, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    shingles, root = jaccard_join.Shingles(k), {}
+
+    def find(of):
+        while root.get(of, of) != of:
+            of = root[of]
+        return of
+
+    for r in jaccard_join.shared_prefixes(docs, k, percent).collect():
+        root[find(r["a"])] = find(r["b"])
+    sets = [s for s in (shingles(text or "") for _, text in rows) if len(s)]
+    names = [jaccard_join.class_of(s) for s in sets]
+    for i, one in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(one, sets[j]))
+            if 100 * both >= percent * (len(one) + len(sets[j]) - both):
+                assert find(names[i]) == find(names[j])
+
+
 def test_key_filter_holds_its_keys(spark):
     keys = np.random.default_rng(1).integers(-(2**63), 2**63, 3000)
     held = jaccard_join.key_filter(spark.createDataFrame([(int(key),) for key in keys], "key bigint"))
