@@ -31,7 +31,7 @@ by prefixes: whatever the order of all tokens, two similar sets share one of
 the first ``size - ceil(size * percent / 100) + 1`` tokens of each. The order
 puts tokens first that few sets hold, so a set with enough tokens of its own
 is tied to none, however many passages it shares. How many sets hold a token
-is counted for the lowest hashes only, about three times what a prefix takes;
+is counted for the lowest hashes only, about twice what a prefix takes;
 the others come last, and are counted as tokens of a prefix where a set has
 too few low ones. A token that many sets of one task hold arrives as a count;
 sets whose prefix might reach such tokens take all of theirs.
@@ -79,7 +79,7 @@ BLOCK_SETS, BLOCK_TOKENS = 256, 1_500_000
 # multiply the signatures of true copies, which they cannot part; they are for clusters that cost more to compare.
 REFINED_ABOVE = (2, 64)
 # The owners of a low token are counted for so many times the tokens of a prefix.
-LOW_PER_PREFIX = 3
+LOW_PER_PREFIX = 2
 # Tokens that a task holds before it hands them on, and from how many sets among them on a token is handed on as a count.
 HELD_TOKENS, HOT = 2_000_000, 32
 
