@@ -99,3 +99,34 @@ def test_what_two_pages_of_a_large_host_share_is_found_wherever_they_lie(spark):
         **{i: f"Own{i} text of page{i} with its{i} words{i}." for i in range(16)}, None: passage(99)
     }
     assert all(r["n_repeated"] == (0 if r["page_id"] is None else 12) for r in got)
+
+
+def test_pages_with_an_article_are_compared_too(spark, monkeypatch):
+    # Groups of a few pages, and one id with more rows than a group holds.
+    monkeypatch.setattr(html_extract, "GROUP_BYTES", 4_000, raising=False)
+    draw = np.random.default_rng(3)
+    phrase = lambda n: " ".join(f"w{x}" for x in draw.integers(0, 40, n))
+    shared = [phrase(int(n)) for n in draw.integers(6, 14, 12)]
+    rows = []
+    for i in range(90):
+        text = [phrase(int(draw.integers(0, 9))) + f" own{i}", shared[i % 12], phrase(3) + " " + shared[(5 * i) % 12]]
+        body = "".join(f"<p>{part}</p>" for part in text)
+        kind = ("article", "article", "div", "main")[i % 4]
+        page_id = None if 20 <= i < 40 else 7 if i == 50 else i
+        rows.append((page_id, f"http://h{i % 3}.example/x", f"<nav>{shared[0]}</nav><{kind}>{body}</{kind}>"))
+    rows += rows[:6] + [(200, None, None), (201, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = sorted((r["page_id"] is None, r["page_id"] or 0, r["url"] or "", r["text"], r["n_repeated"]) for r in html_extract.extract(pages).collect())
+
+    kinds = [html_extract.blocks_of(page or "") for _, _, page in rows]
+    words = [[(kind, text.split(" ")) for kind, text in page] for page in kinds]
+    expected = []
+    for host in {html_extract.host_of(url) for _, url, _ in rows}:
+        at = [i for i, (_, url, _) in enumerate(rows) if html_extract.host_of(url) == host]
+        marks = brute_covered([[w for _, part in words[i] for w in part] for i in at], [rows[i][0] for i in at], html_extract.MIN_RUN)
+        for i, mark in zip(at, marks):
+            page_id, url, _ = rows[i]
+            text = "\n".join(t for k, t in kinds[i] if k == html_extract.ARTICLE) if any(k == html_extract.ARTICLE for k, _ in kinds[i]) else html_extract.main_text(words[i], np.array(mark, dtype=bool))
+            expected.append((page_id is None, page_id or 0, url or "", text, sum(mark)))
+    assert got == sorted(expected)
+    assert sum(n for *_, n in got) > 1_000 and any(n == 0 for *_, n in got)
