@@ -319,15 +319,17 @@ class Fixtures:
     @cached_property
     def dst_object(self) -> DataFrame:
         """The target's listing: compacted objects with holes, and WAL objects."""
-        number = F.col("ulid").cast("bigint")
+        # Names are made last: numbers are shuffled and grouped for less.
+        number = F.col("manifest_id") - F.col("manifest_id") % 200 + F.col("l_linenumber")
+        lines = self.table("lineitem").select(F.col("l_orderkey").alias("manifest_id"), "l_linenumber")
         compacted = (
-            self.sst.join(self.manifest.select("db_key", "manifest_id", "last_modified"), ["db_key", "manifest_id"])
-            .filter(
-                (F.col("db_key") != 7) & (F.col("manifest_id") < self._top_order() - 100) & (number % 7 != 3)
-            )
-            .groupBy("db_key", "ulid").agg(F.min("last_modified").alias("last_modified"))
+            self.manifest.select("db_key", "manifest_id", "last_modified")
+            .filter((F.col("db_key") != 7) & (F.col("manifest_id") < self._top_order() - 100))
+            .join(lines, "manifest_id").withColumn("number", number).filter("number % 7 <> 3")
+            .groupBy("db_key", "number").agg(F.min("last_modified").alias("last_modified"))
             .select(
-                "db_key", F.lit("compacted").alias("kind"), compacted_name(F.col("ulid")).alias("object_name"),
+                "db_key", F.lit("compacted").alias("kind"),
+                compacted_name(F.lpad(F.col("number").cast("string"), 26, "0")).alias("object_name"),
                 F.lit(None).cast("bigint").alias("wal_id"), "last_modified",
             )
         )
@@ -343,11 +345,14 @@ class Fixtures:
         )
         return compacted.unionByName(wals).withColumn("target", F.lit(TARGET))
 
+    @cached_property
+    def src_wal_rows(self) -> DataFrame:
+        """The source's WAL ids as they are read, some of them repeated."""
+        return self.table("lineitem").select((F.col("l_suppkey") % 19).alias("db_key"), F.col("l_orderkey").alias("wal_id"))
+
     @cached_property
     def src_wal(self) -> DataFrame:
-        return self.table("lineitem").select(
-            (F.col("l_suppkey") % 19).alias("db_key"), F.col("l_orderkey").alias("wal_id")
-        ).distinct()
+        return self.src_wal_rows.distinct()
 
     @cached_property
     def retention_policy(self) -> DataFrame:

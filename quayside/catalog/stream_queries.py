@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from quayside.streaming.liveness import liveness_changes, liveness_periods, to_t
 from quayside.streaming.mirror import ContinuousMirror, run_available
 from quayside.streaming.settings import settings_changes, settings_view
 from quayside.streaming.tail import ids_of, tailed_runs
+from quayside.streaming.target import side_by_side
 
 LEASE_SECONDS = 6 * 3600
 # Where the events are cut into three arrivals.
@@ -205,11 +207,10 @@ def _step_views() -> dict[str, str]:
 def sm4(fx: Fixtures) -> DataFrame:
     """Commits as source manifests stream in, in three arrivals, each followed by its prune and tail; nothing twice."""
     path = shared_dir(fx.spark, "continuous-mirror")
-    source, dest = (
-        Catalog(*(settle(df, "mirror-tables") for df in (side.manifests, side.objects, side.checkpoints))) for side in (fx.source, fx.dest)
-    )
+    tables = [df for side in (fx.source, fx.dest) for df in (side.manifests, side.objects, side.checkpoints)]
+    *tables, listing = side_by_side([partial(settle, df, "mirror-tables") for df in (*tables, fx.dst_object)])
     job = ContinuousMirror(
-        fx.spark, path, source, dest, settle(fx.dst_object, "mirror-tables"), fx.pair, fx.mirror_now, fx.retention_policy, fx.src_wal,
+        fx.spark, path, Catalog(*tables[:3]), Catalog(*tables[3:]), listing, fx.pair, fx.mirror_now, fx.retention_policy, fx.src_wal_rows,
         fold_batches=2,
     )
     news = fx.src_manifest.select("db_key", "manifest_id")

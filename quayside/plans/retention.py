@@ -73,9 +73,12 @@ def kept_manifests(dest: Catalog, policy: DataFrame, now: Column) -> DataFrame:
 
 
 def prune_plan(source: Catalog, dest: Catalog, dest_listing: DataFrame, policy: DataFrame, now: Column,
-               pin_prefix: str = "mirror:") -> DataFrame:
+               pin_prefix: str = "mirror:", only_deletes: bool = False) -> DataFrame:
     """A decision and its reason for every manifest and data object of a target.
 
+    With ``only_deletes`` all that is deleted, and not all that is kept: objects that their
+    age or a guard keeps are then not looked up among those that are referenced.
+
     ``policy`` is (db_key, target, keep_s, min_age_s); a NULL ``keep_s`` leaves
     the pair out. ``dest.manifests`` has ``readable``; ``dest_listing`` is
     (db_key, target, kind, object_name, wal_id, last_modified). Data objects
@@ -133,16 +136,23 @@ def prune_plan(source: Catalog, dest: Catalog, dest_listing: DataFrame, policy:
     spared = spared_objects(source).withColumn("_spared", F.lit(True))
     modified = F.unix_micros(F.col("last_modified").cast("timestamp"))
     too_young = F.unix_micros(now.cast("timestamp")) - modified <= (F.col("min_age_s") * 1_000_000).cast("bigint")
+    tail = (F.col("kind") == "wal") & (F.col("wal_id") >= F.col("tail_floor"))
+    pinned = modified >= F.col("floor")
     reason = (
         F.when(F.col("held").isNotNull(), F.col("held"))
-        .when((F.col("kind") == "wal") & (F.col("wal_id") >= F.col("tail_floor")), F.lit("WAL tail"))
+        .when(tail, F.lit("WAL tail"))
         .when(F.col("_referenced"), F.lit("referenced by a kept manifest"))
         .when(F.col("_spared"), F.lit("in the source's closure"))
         .when(too_young, F.lit("too young"))
-        .when(modified >= F.col("floor"), F.lit("newer than the oldest pin"))
+        .when(pinned, F.lit("newer than the oldest pin"))
     )
+    listing = dest_listing.join(guards, PAIR)
+    if only_deletes:
+        manifests = manifests.filter("decision = 'delete'")
+        for kept_by_itself in (F.col("held").isNotNull(), tail, too_young, pinned):
+            listing = listing.filter(~F.coalesce(kept_by_itself, F.lit(False)))
     data = (
-        dest_listing.join(guards, PAIR)
+        listing
         .join(referenced, [*PAIR, "kind", "object_name"], "left")
         .join(spared, ["db_key", "kind", "object_name"], "left")
         .withColumn("_reason", reason)

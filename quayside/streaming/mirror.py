@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions.names import object_class, wal_name
 from quayside.operators.ordered import contiguous_from
+from quayside.operators.sets import looked_up
 from quayside.operators.snapshot import Catalog
 from quayside.plans.mirror import PAIR, commit_order, committed_rows, sync_plan, tail_starts
 from quayside.plans.retention import delete_order, prune_plan
@@ -51,7 +52,7 @@ class ContinuousMirror:
 
     def __init__(self, spark: SparkSession, path: str, source: Catalog, dest: Catalog, dest_listing: DataFrame,
                  pairs: DataFrame, now: Column, policy: DataFrame | None = None, source_wals: DataFrame | None = None, **fold):
-        """``policy`` as for :func:`prune_plan`, without it nothing is pruned; ``source_wals`` is (db_key, wal_id), without it nothing is tailed."""
+        """``policy`` as for :func:`prune_plan`, without it nothing is pruned; ``source_wals`` is (db_key, wal_id), repeated or not, without it nothing is tailed."""
         self.spark, self.path = spark, path.rstrip("/")
         self.source, self.pairs, self.now, self.policy, self.wals = source, pairs, now, policy, source_wals
         self.target = TargetLog(spark, f"{path}/target", dest, dest_listing, **fold)
@@ -78,10 +79,12 @@ class ContinuousMirror:
 
         plan = sync_plan(source, dest, listing, pairs, self.now)
         fresh = plan.commits.drop("commit_seq").join(dest.manifests.select(*PAIR, "manifest_id"), [*PAIR, "manifest_id"], "left_anti")
-        there = listing.select(*PAIR, "kind", "object_name")
+        named = [*PAIR, "kind", "object_name"]
+        # Of the listing, which is large, only what the copies ask for is compared.
+        there = looked_up(listing, plan.copies, named)
         commits, copies = side_by_side([
             partial(self._logged, "commits", commit_order(fresh, PAIR), batch_id),
-            partial(self._logged, "copies", plan.copies.join(there, [*PAIR, "kind", "object_name"], "left_anti"), batch_id),
+            partial(self._logged, "copies", plan.copies.join(there, named, "left_anti"), batch_id),
         ])
         manifests, objects, checkpoints, copied = committed_rows(source, commits, copies, self.now)
         tails, tailed = self._tail(dest.manifests, manifests, listing.unionByName(copied, allowMissingColumns=True), pairs)
@@ -95,7 +98,7 @@ class ContinuousMirror:
         if self.policy is not None:
             dest, listing = self.target.state(batch_id, snapshot, news, pruned=False)
             policy = self.policy.join(pairs.select(*PAIR), PAIR, "left_semi")
-            deletes = delete_order(prune_plan(source, dest, listing, policy, self.now))
+            deletes = delete_order(prune_plan(source, dest, listing, policy, self.now, only_deletes=True))
         deletes = self._logged("deletes", deletes, batch_id)
         self.target.write(batch_id, "removed", {
             "manifests": deletes.filter("kind = 'manifest'").withColumn("manifest_id", object_class(F.concat(F.lit("/"), F.col("object_name")))["id"].cast("bigint")),

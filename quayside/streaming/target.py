@@ -93,12 +93,15 @@ class TargetLog:
     def state(self, until: int, snapshot: int, only: DataFrame | None = None, pruned: bool = True) -> tuple[Catalog, DataFrame]:
         """The target's catalog and listing after batch ``until``, or before its removals.
 
-        The objects and checkpoints of removed manifests are removed with them.
+        The objects and checkpoints of removed manifests are removed with them; a snapshot
+        has none of others, so until something is removed they are taken as they are.
         """
         tables = {name: self.table(name, until, snapshot, only, pruned) for name in KEYS}
         if only is not None:
             # A row per restore point, which every step of a pass asks for.
             tables["manifests"] = settle(tables["manifests"], "target-manifests")
+        if snapshot >= (until if pruned else until - 1):
+            return Catalog(tables["manifests"], tables["objects"], tables["checkpoints"]), tables["listing"]
         there = tables["manifests"].select(*KEYS["manifests"])
         objects, checkpoints = (tables[name].join(there, KEYS["manifests"], "left_semi") for name in ("objects", "checkpoints"))
         return Catalog(tables["manifests"], objects, checkpoints), tables["listing"]

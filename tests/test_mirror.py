@@ -6,8 +6,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from quayside.catalog.fixtures import Fixtures
 from quayside.operators.snapshot import Catalog, manifest_objects, window_objects
 from quayside.plans import audits, lag, mirror, restore, retention
+from quayside.session import settle, shared_dir
+from quayside.streaming.target import TargetLog
 
 NOW = datetime(2024, 6, 1)
 
@@ -232,3 +235,25 @@ def test_nested_manifests(spark):
     got = {(r.manifest_id, r.object_name) for r in manifest_objects(spark.createDataFrame([row, empty], schema)).collect()}
     wal = "wal/{:020d}.sst".format
     assert got == {(5, f"compacted/{x}.sst") for x in "ABCD"} | {(5, wal(i)) for i in (8, 9, 10)}
+
+
+def test_deletes_alone_are_those_among_all_decisions(spark):
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    now, policy = fx.mirror_now, fx.retention_policy
+    dest, listing = (settle(rows, "test") for rows in (fx.dest.manifests, fx.dst_object))
+    dest = Catalog(dest, fx.dest.objects, fx.dest.checkpoints)
+    rows = lambda df: sorted(df.collect(), key=repr)
+    every = retention.prune_plan(fx.source, dest, listing, policy, now)
+    only = rows(retention.prune_plan(fx.source, dest, listing, policy, now, only_deletes=True).filter("decision = 'delete'"))
+    assert only == rows(every.filter("decision = 'delete'"))
+    assert {r.kind for r in only} == {"manifest", "compacted", "wal"}
+
+
+def test_a_target_without_removals_is_taken_as_it_is(spark):
+    """Nothing is joined to find what belongs to a removed manifest as long as none is removed."""
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    dest = Catalog(*(settle(df, "test") for df in (fx.dest.manifests, fx.dest.objects, fx.dest.checkpoints)))
+    target = TargetLog(spark, shared_dir(spark, "target"), dest, settle(fx.dst_object, "test"))
+    catalog, listing = target.state(-1, -1)
+    for df in (catalog.objects, catalog.checkpoints, listing):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
